@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name, module, tables that its ``opN`` function takes in order.
 OPERATORS = [
+    ("op3_ngram_jaccard", "ngram_jaccard", ("documents",)),
     ("op6_packing", "packing", ("documents",)),
     ("op10_decontamination", "decontamination", ("documents", "benchmark")),
 ]
