@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name, module, tables that its ``opN`` function takes in order.
 OPERATORS = [
+    ("op2_toxicity", "toxicity", ("documents", "labels")),
     ("op3_ngram_jaccard", "ngram_jaccard", ("documents",)),
     ("op6_packing", "packing", ("documents",)),
+    ("op8_quality", "quality", ("documents",)),
     ("op10_decontamination", "decontamination", ("documents", "benchmark")),
 ]
 
