@@ -13,6 +13,7 @@ OPERATORS = [
     ("op3_ngram_jaccard", "ngram_jaccard", ("documents",)),
     ("op5_line_dedup", "line_dedup", ("documents",)),
     ("op6_packing", "packing", ("documents",)),
+    ("op7_licenses", "licenses", ("documents",)),
     ("op8_quality", "quality", ("documents",)),
     ("op10_decontamination", "decontamination", ("documents", "benchmark")),
 ]
