@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = [
     ("op2_toxicity", "toxicity", ("documents", "labels")),
     ("op3_ngram_jaccard", "ngram_jaccard", ("documents",)),
+    ("op4_fingerprints", "fingerprints", ("documents",)),
     ("op5_line_dedup", "line_dedup", ("documents",)),
     ("op6_packing", "packing", ("documents",)),
     ("op7_licenses", "licenses", ("documents",)),
