@@ -16,6 +16,7 @@ OPERATORS = [
     ("op6_packing", "packing", ("documents",)),
     ("op7_licenses", "licenses", ("documents",)),
     ("op8_quality", "quality", ("documents",)),
+    ("op9_token_counts", "token_counts", ("documents",)),
     ("op10_decontamination", "decontamination", ("documents", "benchmark")),
 ]
 
