@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -31,6 +32,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers: at most BATCH_ROWS texts an Arrow batch."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
@@ -95,3 +102,15 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+#: Ids (16 bytes each) that may be broadcast to take rows out; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``documents`` less the rows whose doc_id is in ``ids`` (null takes out null)."""
+    gone = materialise(ids.select(F.col("doc_id").alias("_tw_gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_tw_gone"]), "left_anti")

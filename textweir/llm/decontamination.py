@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, blocks, materialise, plain_words, small_batches
+from .common import Memo, as_bytes, blocks, materialise, plain_words, small_batches, without
 
 WINDOW = 13
 #: Text bytes of a block of the index.
@@ -230,6 +230,11 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``documents`` less those that the contamination rule judges contaminated (exact windows only)."""
+    return without(documents, decontaminate(documents, benchmark, slop=0).where(contaminated()))
+
+
 def op10(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return decontaminate(documents, benchmark).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"), "n_near"

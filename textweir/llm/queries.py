@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name, module, tables that its ``opN`` function takes in order.
 OPERATORS = [
+    ("op1_warc", "warc", ("pages",)),
     ("op2_toxicity", "toxicity", ("documents", "labels")),
     ("op3_ngram_jaccard", "ngram_jaccard", ("documents",)),
     ("op4_fingerprints", "fingerprints", ("documents",)),
