@@ -323,14 +323,38 @@ def _explicit(v: _View, m: regex.Match, cfg: UrlConfig) -> tuple[int, list[str]]
     return end, host.labels
 
 
+#: Where a host's dot can stand: glued to what follows, in brackets, between blanks, or as a word.
+_DOT_PLACE = regex.compile(rf"\.{Z}*(?=[\p{{L}}\p{{N}}])|[\s{Z}]\.[\s{Z}]|[\[({{<][\s{Z}]*(?:\.|d[\s{Z}]*[o0]|т)|[\s{Z}](?:d[\s{Z}]*[o0][\s{Z}]*t|т[\s{Z}]*о[\s{Z}]*ч)")
+#: Characters before its dot in which a host's first label must begin.
+_REACH = 160
+
+
+def _dot_places(v: _View) -> list[int]:
+    if any(c in "·•⋅・" for c in v.text):
+        return list(range(v.n))
+    both = {m.start() for m in _DOT_PLACE.finditer(v.raw)}
+    if v.skeleton is not v.raw:
+        both |= {m.start() for m in _DOT_PLACE.finditer(v.skeleton)}
+    return sorted(both)
+
+
 def matches(text: str, cfg: UrlConfig) -> Iterator[Range]:
     """Code-point ranges of links in order; they do not overlap."""
     if not text:
         return
     v = _View(text)
     schemes = {m.start(): m for m in _SCHEME.finditer(v.skeleton)}
-    i = 0
+    dots, starts = _dot_places(v), sorted(schemes)
+    i = d = k = 0
     while i < v.n:
+        while d < len(dots) and dots[d] < i:
+            d += 1
+        while k < len(starts) and starts[k] < i:
+            k += 1
+        ahead = min(dots[d] - _REACH if d < len(dots) else v.n, starts[k] if k < len(starts) else v.n)
+        if ahead > i:  # nothing can begin before
+            i = ahead
+            continue
         if i in schemes:
             got = _explicit(v, schemes[i], cfg)
             if got:
@@ -347,11 +371,7 @@ def matches(text: str, cfg: UrlConfig) -> Iterator[Range]:
         run = i
         while v.word(run):
             run += 1
-        host = None
-        for start in _starts(v, i, run):
-            host = _host(v, start, cfg, False)
-            if host:
-                break
+        host = _host(v, i, cfg, False)
         if host:
             end = _tail(v, host.end)
             if not (i and v.raw[i - 1] == "@") and ".".join(host.labels) not in cfg._allowed:
@@ -376,10 +396,6 @@ def matches(text: str, cfg: UrlConfig) -> Iterator[Range]:
             i = j
 
 
-def _starts(v: _View, i: int, run: int) -> tuple[int, ...]:
-    return (i,)
-
-
 #: Words before a domain that are prose rather than its first, split-off piece.
 _PROSE = frozenset("a an the and or to go see at on in is it of for from visit please check open now not by with this that my our your use try via и в на по из за от".split())
 
