@@ -1,19 +1,320 @@
-"""The registered queries over the driver tables, with their DuckDB equivalents."""
+"""The registered queries over the driver tables, with their DuckDB equivalents where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textweir.functions import columns as C
+from textweir.kernels import profanity as P
+from textweir.kernels.spam import SpamConfig
+from textweir.operators import profanity as profanity_ops
+from textweir.operators import scanners as S
+from textweir.operators import spam
+from textweir.plans.pipeline import TextPipeline, TextRangePipeline, cached
+from textweir.sources import dictionaries
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+#: Words for the literal-term queries (fixed values of the examples).
+INSULTS = "idiot moron worthless pathetic scum loser trash clown stupid disgusting".split()
+ALLOWED_HOSTS = ["m.ththth.example.net", "thther.example.org"]
+SPAM = SpamConfig(min_interval_ms=600_000, duplicate_window_ms=3_600_000, burst_window_ms=14_400_000, burst_max_messages=3)
+TRACKED = SpamConfig(min_interval_ms=600_000, duplicate_window_ms=3_600_000, burst_window_ms=14_400_000, burst_max_messages=3, track_rejected_attempts=True)
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contact_mask(spark, sf_dir)
+
+
+# --- Core ------------------------------------------------------------------
+
+_WS = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+@query(rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents)
+select doc_id, (length(t) + len(regexp_extract_all(t, '[\x{{10000}}-\x{{10FFFF}}]')))::int as text_length, length(t)::int as code_point_length, t = '' as is_empty,
+not regexp_matches(t, '[^\x00-\x7F]') as has_ascii_only, regexp_matches(t, '[^\x00-\x7F]') as has_non_ascii, regexp_matches(t, '\p{{Nd}}') as has_digit, len(regexp_extract_all(t, '\p{{Nd}}'))::int as digit_count,
+regexp_matches(t, '[A-Za-z]') as has_ascii_letter, regexp_matches(t, '{_WS}') as has_whitespace,
+(len(regexp_extract_all(t, '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')) + len(list_filter(regexp_extract_all(t, '\p{{P}}'), lambda x: regexp_matches(x, '[^\x00-\x7F]')))) > 0 as has_punctuation,
+(len(regexp_extract_all(t, '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')) + len(list_filter(regexp_extract_all(t, '\p{{P}}'), lambda x: regexp_matches(x, '[^\x00-\x7F]'))))::int as punctuation_count,
+regexp_matches(t, '[@＠﹫]') as has_at_sign, regexp_matches(t, '[.．﹒․]') as has_dot, regexp_matches(t, '[/／]') as has_slash, regexp_matches(t, '[:：﹕︓]') as has_colon, regexp_matches(t, '[+＋﹢⁺₊﬩]') as has_plus from d
+""")
+def text_hints(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.text_hints("text").alias("h")).select("doc_id", "h.*")
+
+
+@query("""
+with r as (select l_orderkey as k, (l_linenumber * 10 + l_partkey % 7)::int as s, (l_linenumber * 10 + l_partkey % 7 + l_quantity % 13)::int as e from lineitem),
+v as (select * from r where e > s),
+b as (select *, max(e) over (partition by k order by s, e rows between unbounded preceding and 1 preceding) as p from v),
+i as (select *, sum(case when p is null or s > p then 1 else 0 end) over (partition by k order by s, e rows unbounded preceding) as g from b),
+m as (select k, g, min(s) as s, max(e) as e from i group by k, g)
+select k as l_orderkey, count(*)::int as n_ranges, min(s)::int as first_start, max(e)::int as last_end, sum(e - s)::bigint as covered from m group by k
+""")
+def merge_ranges(spark, sf_dir):
+    start = (F.col("l_linenumber") * 10 + F.col("l_partkey") % 7).cast("int")
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(start.alias("start"), (start + (F.col("l_quantity") % 13)).cast("int").alias("end")).alias("r"))
+    m = r.groupBy("l_orderkey").agg(F.collect_list("r").alias("rs")).withColumn("m", C.merge_ranges("rs")).where(F.size("m") > 0)
+    return m.select("l_orderkey", F.size("m").alias("n_ranges"), F.col("m")[0]["start"].alias("first_start"), F.element_at("m", -1)["end"].alias("last_end"), F.aggregate("m", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]).alias("covered"))
+
+
+@query("""select doc_id, substring(t, 1, 5) || repeat('#', least(20, greatest(length(t), 5))::int - 5) || substring(t, 21) as masked
+from (select doc_id, coalesce(text, '') as t from documents)""")
+def mask_ranges(spark, sf_dir):
+    ranges = F.expr("array(named_struct('start', 12, 'end', 20), named_struct('start', 5, 'end', 15), named_struct('start', 9, 'end', 9))")
+    return table(spark, sf_dir, "documents").select("doc_id", C.mask_code_point_ranges("text", ranges, "#").alias("masked"))
+
+
+@query(r"select conv_id, turn, regexp_replace(coalesce(text, ''), '[\x{200B}-\x{200D}\x{2060}\x{FEFF}]', '', 'g') as stripped from conversations")
+def strip_zero_width(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.strip_zero_width("text").alias("stripped"))
+
+
+@query(rf"select conv_id, turn, trim(substring(regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '{_WS}+', ' ', 'g'), 1, 512)) as spam_text from conversations")
+def norm_for_spam(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", spam.normalized_text("text").alias("spam_text"))
+
+
+@query("select role, count(*)::bigint as n, sum(length(lower(nfc_normalize(coalesce(text, '')))))::bigint as chars from conversations group by role")
+def cached_nfkc_by_role(spark, sf_dir):
+    d = cached(table(spark, sf_dir, "conversations"), "text", "folded", C.lower_nfkc)
+    return d.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("folded")).alias("chars"))
+
+
+# --- E-mail ----------------------------------------------------------------
+
+_EMAILS = r"""
+m as (select doc_id, lang, unnest(regexp_extract_all(lower(text), '(?:^|[^a-z0-9._%+\-@\p{L}\p{N}])([a-z0-9._%+\-]+@[a-z0-9.\-]+)(?:$|[^a-z0-9_@.\-\p{L}\p{N}])', 1)) as a from documents),
+p as (select doc_id, lang, ltrim(split_part(a, '@', 1), '.') as loc, rtrim(split_part(a, '@', 2), '.') as dom from m),
+e as (select * from p where length(loc) between 1 and 64 and loc not like '%.' and loc not like '%..%' and dom like '%.%'
+ and len(list_filter(string_split(dom, '.'), lambda x: not regexp_full_match(x, '[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?'))) = 0 and regexp_full_match(string_split(dom, '.')[-1], '[a-z][a-z0-9-]{1,62}'))
+"""
+
+
+def _direct(**options) -> S.Scanner:
+    return S.email_scanner(match_obfuscated=False, **options)
+
+
+def _counts(ranges: str = "ranges"):
+    return F.size(ranges).alias("n_found"), F.aggregate(ranges, F.lit(0), lambda a, r: a + r["end"] - r["start"]).alias("n_chars_found")
+
+
+@query(f"with {_EMAILS} select doc_id, count(*)::int as n_found, sum(length(loc) + 1 + length(dom))::int as n_chars_found from e group by doc_id")
+def email_direct_scan(spark, sf_dir):
+    return _direct().matching(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *_counts())
+
+
+@query(f"with {_EMAILS} select lang, count(distinct doc_id)::bigint as n_docs, count(*)::bigint as n_found from e group by lang")
+def email_by_lang(spark, sf_dir):
+    hits = _direct().matching(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return hits.groupBy("lang").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum(F.size("ranges")).alias("n_found"))
+
+
+@query(f"with {_EMAILS} select doc_id, count(*)::int as n_found, sum(length(loc) + 1 + length(dom))::int as n_chars_found from e where not (dom = 'example.com' or dom like '%.example.com') group by doc_id")
+def email_exclusions(spark, sf_dir):
+    return _direct(exclude_domains=["example.com"]).matching(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *_counts())
+
+
+@query()
+def email_obfuscated(spark, sf_dir):
+    return S.email_scanner().matching(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *_counts())
+
+
+@query("select doc_id, length(coalesce(text, ''))::int as n_before, length(coalesce(text, ''))::int as n_after from documents")
+def email_censor_lengths(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", S.email_scanner().censor("text").alias("c"))
+    return d.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_before"), F.length("c").alias("n_after"))
+
+
+# --- Phone -----------------------------------------------------------------
+
+
+@query()
+def phone_scan(spark, sf_dir):
+    return S.phone_scanner().matching(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *_counts())
+
+
+@query(r"""with m as (select doc_id, text, len(regexp_extract_all(text, '(?:^|[ ])\+1 \([0-9]{3}\) 555-[0-9]{4}(?:$|[ .,\n])')) as n from documents)
+select doc_id, n::int as n_planted, true as caught from m where n > 0""")
+def phone_planted(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_planted", F.regexp_count("text", F.lit(r"(?:^|[ ])\+1 \([0-9]{3}\) 555-[0-9]{4}(?:$|[ .,\n])")))
+    return d.where("n_planted > 0").select("doc_id", "n_planted", (F.size(S.phone_scanner().scan("text")) >= F.col("n_planted")).alias("caught"))
+
+
+@query()
+def phone_by_source(spark, sf_dir):
+    hits = S.phone_scanner().matching(table(spark, sf_dir, "documents").select("source", "text"))
+    return hits.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.size("ranges")).alias("n_found"))
+
+
+# --- URL -------------------------------------------------------------------
+
+
+@query("select page_id, repeat('*', length(url)::int) as censored from pages")
+def url_censor_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.url_scanner().censor("url").alias("censored"))
+
+
+@query("select page_id, not list_contains(['" + "', '".join(ALLOWED_HOSTS) + r"'], regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as has_url from pages")
+def url_allowlist(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.url_scanner(allowed_domains=ALLOWED_HOSTS).check("url").alias("has_url"))
+
+
+@query()
+def url_scan_documents(spark, sf_dir):
+    return S.url_scanner().matching(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *_counts())
+
+
+# --- Profanity -------------------------------------------------------------
+
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_-][\p{L}\p{N}\p{M}_-]*')"
+_INSULT_LIST = "['" + "', '".join(INSULTS) + "']"
+
+
+def _insults() -> P.ProfanityFilter:
+    return P.custom_filter(INSULTS, normalization="latin-preserving")
+
+
+@query(f"select * from (select doc_id, len(list_filter({_TOKENS}, lambda x: list_contains({_INSULT_LIST}, x)))::int as n_matches from documents) where n_matches > 0")
+def profanity_literals(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(profanity_ops.analyze("text", _insults())).alias("n_matches"))
+    return d.where("n_matches > 0")
+
+
+@query(f"select doc_id, term from (select doc_id, unnest(list_distinct({_TOKENS})) as term from documents) where list_contains({_INSULT_LIST}, term)")
+def profanity_literal_join(spark, sf_dir):
+    return profanity_ops.literal_hits(table(spark, sf_dir, "documents"), "text", profanity_ops.vocabulary(spark, INSULTS), ["doc_id"]).select("doc_id", "term")
+
+
+@query(f"""with c as (select doc_id, len(list_filter({_TOKENS}, lambda x: list_contains({_INSULT_LIST}, x))) > 0 as flagged from documents)
+select toxic, flagged, count(*)::bigint as n from c join labels using (doc_id) group by toxic, flagged""")
+def profanity_vs_labels(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", profanity_ops.check("text", _insults()).alias("flagged"))
+    return d.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("toxic", "flagged").agg(F.count("*").alias("n"))
+
+
+_ENGLISH = "|".join(f"(?:{r.source})" for r in P.ENGLISH.rules)
+
+
+@query(f"select * from (select doc_id, len(list_filter({_TOKENS}, lambda x: regexp_full_match(x, '{_ENGLISH}')))::int as n_strict from documents) where n_strict > 0")
+def profanity_strict_en(spark, sf_dir):
+    plain = P.ProfanityFilter(P.ENGLISH)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(profanity_ops.of_mode(profanity_ops.analyze("text", plain), "strict")).alias("n_strict"))
+    return d.where("n_strict > 0")
+
+
+@query()
+def profanity_severities(spark, sf_dir):
+    both = P.compose([P.english_profile(), P.russian_profile()])
+    rows = profanity_ops.match_rows(table(spark, sf_dir, "conversations").select("text"), "text", both)
+    return rows.groupBy("profile_id", "category", "severity", "mode").agg(F.count("*").alias("n"))
+
+
+@query()
+def profanity_rules(spark, sf_dir):
+    return dictionaries.rules_table(spark, P.ENGLISH, P.RUSSIAN).groupBy("language", "category", "severity").agg(F.count("*").alias("n_rules"), F.sum(F.col("strict").cast("int")).alias("n_strict"))
+
+
+@query()
+def dictionary_validation(spark, sf_dir):
+    broken = {"language": "en", "rules": [{"id": "en.vulgar.x", "category": "VULGAR", "severity": "loud", "source": "x(", "match": {"fuzzy": {}}}, {"id": "en.insult.x", "category": "VULGAR", "severity": "low", "source": "x"}]}
+    return dictionaries.issues_table(spark, broken)
+
+
+# --- Pipelines and the spam guard ------------------------------------------
+
+
+def _contacts() -> TextRangePipeline:
+    return TextRangePipeline().use(S.email_scanner()).use(S.url_scanner()).use(S.phone_scanner())
+
+
+@query()
+def contact_mask(spark, sf_dir):
+    """E-mails, links and phones of documents masked in one pass; length and number of ranges by document."""
+    d = _contacts().process(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.where(F.size("ranges") > 0).select("doc_id", F.size("ranges").alias("n_ranges"), (F.length("text") == F.length("censored")).alias("same_length"), "censored")
+
+
+@query()
+def one_mask_pipeline(spark, sf_dir):
+    p = _contacts().use(profanity_ops.scanner(P.english_filter()))
+    return table(spark, sf_dir, "documents").select("lang", p.check("text").alias("hit")).groupBy("lang", "hit").agg(F.count("*").alias("n"))
+
+
+def _messages(spark, sf_dir) -> DataFrame:
+    """Events as messages. Wall-clock timestamps become milliseconds part by part, so no session time zone plays in."""
+    day = F.date_diff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    ms = (day * 86_400 + F.hour("ts") * 3600 + F.minute("ts") * 60) * 1000 + F.expr("extract(second from ts) * 1000").cast("bigint")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("actor_key"), F.col("event_type").alias("text"), ms.cast("double").alias("now_ms"))
+
+
+@query()
+def sequential_pipeline(spark, sf_dir):
+    p = TextPipeline().guard(spam.guard(SPAM)).use(S.email_scanner()).use(S.url_scanner())
+    out = p.process(_messages(spark, sf_dir))
+    return out.groupBy("allowed", "reason").agg(F.count("*").alias("n"), F.count("output").alias("n_output"))
+
+
+_EVENTS = "ev as (select event_id, user_id as u, event_type as t, epoch_ms(ts) as m, row_number() over (partition by user_id order by event_id) as r from events)"
+_FOLD = f"""with recursive {_EVENTS},
+s(u, r, event_id, reason, last, acc) as (
+ select u, r, event_id, null::varchar, m, [{{'t': t, 'at': m}}] from ev where r = 1
+ union all
+ select u, r, event_id, reason, case when reason is null then m else last end, case when reason is null then list_append(acc, {{'t': t, 'at': m}}) else acc end from (
+  select ev.u, ev.r, ev.event_id, ev.t, ev.m, s.last, s.acc,
+   case when ev.m - s.last < 600000 then 'too_fast' when len(list_filter(s.acc, lambda x: x.t = ev.t and ev.m - x.at < 3600000)) > 0 then 'duplicate' when len(list_filter(s.acc, lambda x: ev.m - x.at < 14400000)) >= 3 then 'burst' end as reason
+  from s join ev on ev.u = s.u and ev.r = s.r + 1))"""
+
+
+@query(_FOLD + " select event_id, reason is null as allowed, reason from s")
+def spam_untracked(spark, sf_dir):
+    return spam.decide(_messages(spark, sf_dir), SPAM).select(F.col("seq").alias("event_id"), "decision.allowed", "decision.reason")
+
+
+@query(_FOLD + " select reason, count(*)::bigint as n from s group by reason")
+def guard_reason_counts(spark, sf_dir):
+    return spam.decide(_messages(spark, sf_dir), SPAM).groupBy(F.col("decision.reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+_WINDOWS = f"""with {_EVENTS},
+w as (select event_id, m, lag(m) over (partition by u order by event_id) as p, lag(m) over (partition by u, t order by event_id) as q, lag(m, 3) over (partition by u order by event_id) as b from ev),
+d as (select event_id, case when m - p < 600000 then 'too_fast' when m - q < 3600000 then 'duplicate' when m - b < 14400000 then 'burst' end as reason from w)
+select event_id, reason is null as allowed, reason from d"""
+
+
+@query(_WINDOWS)
+def spam_tracked_window(spark, sf_dir):
+    return spam.decide_tracked(_messages(spark, sf_dir), TRACKED).select(F.col("seq").alias("event_id"), "decision.allowed", "decision.reason")
+
+
+@query(_WINDOWS)
+def spam_tracked_fold(spark, sf_dir):
+    return spam.decide(_messages(spark, sf_dir), TRACKED).select(F.col("seq").alias("event_id"), "decision.allowed", "decision.reason")
