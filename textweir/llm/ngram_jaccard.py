@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, materialise, shuffle_parts, small_batches
+from .common import as_bytes, blocks, materialise, shuffle_parts, small_batches, without
 from .shingles import components, mix, shingle_set, word_memo
 
 SIMILARITY = 80  # per cent
@@ -360,6 +360,17 @@ def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY, k: int =
     return out.select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"))
 
 
+def one_of_each(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """``documents`` with one document of each component: that with the smallest doc_id, of rows that repeat it one."""
+    found = materialise(near_duplicates(documents, similarity, k), "near")
+    out = without(documents, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    twice = materialise(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1"), "twice")
+    if twice.isEmpty():
+        return out
+    repeated = out.join(twice.select("doc_id"), "doc_id", "left_semi").select(documents.columns)
+    return without(out, twice).unionByName(repeated.dropDuplicates(["doc_id"]))
+
+
 def op3(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents)
 
