@@ -2,7 +2,7 @@
 
 Overlapping heuristics vote good, bad or nothing on every document. Vote patterns are counted over all documents (a
 native pre-aggregated count, at most 3^m rows), expectation-maximisation on those counts estimates each heuristic's
-accuracies and the class prior, and the posteriors label a bounded sample (``train_rows`` documents, chosen by hash) on
+accuracies and the class prior, and the posteriors label a bounded sample (about ``train_rows`` documents, chosen by hash, at most twice as many) on
 which a hashed linear scorer is trained in numpy. The scorer rates every whole text. No gold label is used.
 
 Null, empty and blank texts have no evidence: every heuristic abstains and the score is the prior's. Repeated rows and
@@ -61,7 +61,7 @@ def statistics(text: bytes) -> tuple[dict[str, float], Counter, int]:
             "pipes": counts[b"|"] / n,
             "distinct": len(counts) / min(n, 400) if n >= 20 else 1.0,
             "runs": sum(map(bytes.__eq__, words, words[1:])) / n if n >= 20 else 0.0,
-            "function": sum(map(FUNCTION_WORDS.__contains__, lower.split())) / n if n >= 10 else 0.05,
+            "function": sum(map(FUNCTION_WORDS.__contains__, lower.split())) / n if n >= 50 else 0.05,
         },
         counts,
         n,
@@ -170,13 +170,21 @@ def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray,
     if not seen:
         return np.zeros(DIMENSIONS + 1), 0.5, np.full((len(LABELLERS), 2, 3), 1 / 3)
     prior, p = expectation_maximisation(np.array([r["pattern"] for r in seen]), np.array([r["count"] for r in seen], float))
-    sample = d.orderBy(F.xxhash64("_tw_text"), F.length("_tw_text")).limit(train_rows).collect()
-    memo, rows, v = Memo(_shape), [], []
-    for r in sample:
-        stats, counts, n = statistics(bytes(r[0]))
-        rows.append(features(stats, counts, n, memo))
-        v.append(votes(stats))
-    return train(rows, posterior(np.array(v).reshape(-1, len(LABELLERS)), prior, p)), prior, p
+    share = min(1.0, train_rows / sum(r["count"] for r in seen))
+    chosen = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = chosen.select(as_bytes().alias("text")).mapInArrow(_features_of, "pattern bigint, slots array<bigint>, shares array<double>").limit(2 * train_rows).collect()
+    v = np.array([unpack(r["pattern"]) for r in sample]).reshape(-1, len(LABELLERS))
+    return train([(np.array(r["slots"], np.int64), np.array(r["shares"])) for r in sample], posterior(v, prior, p)), prior, p
+
+
+def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo = Memo(_shape, 200_000)
+    for batch in batches:
+        got = []
+        for text in batch.column("text").to_pylist():
+            stats, counts, n = statistics(text)
+            got.append((pattern(votes(stats)), *(x.tolist() for x in features(stats, counts, n, memo))))
+        yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))], names=["pattern", "slots", "shares"])
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float, np.ndarray], prefix: str = "") -> DataFrame:
