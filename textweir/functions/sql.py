@@ -9,31 +9,21 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from textweir.functions import columns as C
 from textweir.kernels import profanity
 from textweir.kernels import spam as spam_kernel
 from textweir.kernels import text as T
 from textweir.operators import scanners as S
 
 
-def register(spark: SparkSession) -> None:
-    for s in (S.url_scanner(), S.email_scanner(), S.phone_scanner()):
-        kernel, first = s.kernel, s.first
-
-        @F.pandas_udf(C.RANGES)
-        def scan(text: pd.Series, kernel=kernel) -> pd.Series:
-            return pd.Series([S._structs(kernel(t or "")) for t in text])
+def _null_safe(f):
+    return lambda t: f(t or "")
 
-        @F.pandas_udf(BooleanType())
-        def check(text: pd.Series, first=first) -> pd.Series:
-            return text.map(lambda t: first(t or "")).astype(bool)
 
-        @F.pandas_udf(StringType())
-        def censor(text: pd.Series, kernel=kernel) -> pd.Series:
-            return text.map(lambda t: T.censor(t or "", kernel(t or "")))
-
-        for verb, f in (("scan", scan), ("check", check), ("censor", censor)):
-            spark.udf.register(f"{verb}_{s.name}", f)
+def register(spark: SparkSession) -> None:
+    for s in (S.url_scanner(), S.email_scanner(), S.phone_scanner()):
+        spark.udf.register(f"scan_{s.name}", S._scan_udf(_null_safe(s.kernel)))
+        spark.udf.register(f"check_{s.name}", S._check_udf(_null_safe(s.first)))
+        spark.udf.register(f"censor_{s.name}", S._censor_udf([s.kernel], s.mask_char))
     english = profanity.english_filter()
 
     @F.pandas_udf(StringType())

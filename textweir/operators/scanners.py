@@ -44,7 +44,7 @@ def _check_udf(check: Callable[[str], bool]):
 def _censor_udf(kernels: list[Kernel], mask: str):
     @F.pandas_udf(StringType())
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: T.censor(t, [r for k in kernels for r in k(t)], mask))
+        return text.map(lambda t: T.censor(t or "", [r for k in kernels for r in k(t or "")], mask))
 
     return run
 
