@@ -12,6 +12,8 @@ are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +30,9 @@ SHARD_ITEMS = 40_000
 #: Bins in a row, emptiest first, that the local search fails to empty before it ends.
 PATIENCE = 24
 
+#: Marks that may close a chunk; no apostrophe, which the tokenizer joins with letters.
+CLOSING = ".,;:!?#%&*$|"
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
@@ -38,14 +43,84 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def chunk_encoder(path: str):
-    """text -> its ids as little-endian uint32 bytes. The tokenizer drops white space and never looks across it, so
-    space-separated chunks are encoded once and kept."""
-    from tokenizers import Tokenizer
+class ChunkEncoder:
+    """Texts -> their ids as little-endian uint32 bytes.
+
+    The tokenizer drops white space and never looks across it, so space-separated chunks are encoded once and kept. It
+    also splits letters from marks and lower-cases, so a chunk of letters and closing marks is put together from its
+    lower-cased letters and its marks; letters not met before are encoded together, as words of one text. Both stores
+    empty themselves at ``limit`` entries."""
+
+    def __init__(self, path: str, limit: int = 700_000):
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    memo = Memo(lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes(), limit=300_000)
-    return lambda text: b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.chunks: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
+        self.marks = Memo(self.whole, 10_000)
+
+    def whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, cores: list[str]) -> None:
+        """Lower-cased words of letters only: each is one pre-token, numbered in order."""
+        got = self.tokenizer.encode(" ".join(cores), add_special_tokens=False)
+        at = np.array(got.word_ids, np.int64)
+        ends = 4 * np.searchsorted(at, np.arange(len(cores)), "right")
+        data = np.array(got.ids, "<u4").tobytes()
+        if len(at) and at[-1] == len(cores) - 1 and np.all(np.diff(at) >= 0):
+            self.cores.update(zip(cores, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
+        else:
+            self.cores.update((c, self.whole(c)) for c in cores)
+
+    def prepare(self, fresh: list[str]) -> None:
+        if len(self.cores) + len(fresh) > self.limit:
+            self.cores = {"": b""}
+        split: list[tuple[str, str, str]] = []
+        for chunk in fresh:
+            letters = chunk.rstrip(CLOSING)
+            core = letters.lower() if letters.isascii() else unicodedata.normalize("NFC", letters).lower()
+            if core.isalpha() and (letters.isascii() or not _SPECIAL.intersection(letters)):
+                split.append((chunk, core, chunk[len(letters) :]))
+            else:
+                self.chunks[chunk] = self.whole(chunk)
+        if new := list(dict.fromkeys(core for _, core, _ in split if core not in self.cores)):
+            self.learn(new)
+        self.chunks.update((chunk, self.cores[core] + self.marks[mark] if mark else self.cores[core]) for chunk, core, mark in split)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        found = [t.replace("\n", " ").split(" ") for t in texts]
+        every: set[str] = set()
+        for f in found:
+            every.update(f)
+        if len(self.chunks) + len(every) > self.limit:
+            self.chunks.clear()
+        fresh = [c for c in every if c not in self.chunks]
+        if fresh:
+            self.prepare(fresh)
+        return [b"".join(map(self.chunks.__getitem__, f)) for f in found]
+
+
+#: Letters whose lower case depends on their neighbours or grows.
+_SPECIAL = frozenset("Σİ")
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> ChunkEncoder:
+    """A worker's encoder, kept from task to task."""
+    return ChunkEncoder(path)
+
+
+def encode_blocks(encode: ChunkEncoder, texts: list[str], chars: int = 4_000_000) -> Iterator[bytes]:
+    """Encode so much text at a time that its distinct chunks fit the stores."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= chars:
+            yield from encode(held)
+            held, size = [], 0
+    yield from encode(held)
 
 
 def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -54,12 +129,12 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
     small_batches(documents.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
+        encode = _encoder(path)
         for batch in batches:
-            encode = encode or chunk_encoder(path)
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text or "") + b"\0\0\0\0"
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_blocks(encode, texts)):
+                ids += b"\0\0\0\0"
                 n = len(ids) // 4
                 for k, start in enumerate(range(0, n, capacity)):
                     out["doc_id"].append(doc)
