@@ -236,11 +236,16 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op10(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return decontaminate(documents, benchmark).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"), "n_near"
+    return decontaminate(documents, benchmark, slop=0).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated")
     )
 
 
+def proximity_matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents with exact or proximity places of benchmark windows, and how many."""
+    return decontaminate(documents, benchmark).where("n_near > 0 or n_hit > 0").select("doc_id", "n_words", "n_hit", "n_near")
+
+
 ORACLE = r"""
 with d as (select row_number() over () as k, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
 b as (select item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from benchmark),

@@ -28,14 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _query(name: str, module: str, tables: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        operator = getattr(importlib.import_module(f"{__package__}.{module}"), name.split("_")[0])
+        operator = getattr(importlib.import_module(f"{__package__}.{module}"), name.split("_")[0] if name.startswith("op") else name)
         return operator(*(table(spark, sf_dir, t) for t in tables))
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name, module, tables) for name, module, tables in OPERATORS}
+    found = {name: _query(name, module, tables) for name, module, tables in OPERATORS}
+    found["decontamination_proximity"] = _query("proximity_matches", "decontamination", ("documents", "benchmark"))
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
