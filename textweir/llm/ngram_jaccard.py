@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, materialise, shuffle_parts, small_batches, without
+from .common import as_bytes, blocks, materialise, reclaim, shuffle_parts, small_batches, without
 from .shingles import components, mix, shingle_set, word_memo
 
 SIMILARITY = 80  # per cent
@@ -41,9 +41,12 @@ SMALL_KEY = 32
 CROWD = 64
 #: Text bytes of a map block; bytes of estimated input a bucket of keys; nodes of a block of a large key.
 BLOCK_BYTES, BUCKET_BYTES, BLOCK_NODES = 6_000_000, 8_000_000, 8192
-#: Sketch-close pairs a node proposes in each round over the large keys; the last round has no bound.
-ROUNDS = (4, 64, None)
+#: Sketch-close pairs a node proposes of a large key in each round; later rounds look at the keys where one had more, the
+#: last has no bound.
+ROUNDS = (1, 8, 64, None)
 NULL_ID = -(2**63)
+#: Nodes (16 bytes each) that may be broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_NODES = 1_000_000
 
 _SCHEMA = "kind int, bucket bigint, doc_id bigint, node bigint, n bigint, surplus array<int>, sketch binary, keys binary, nodes binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("surplus", pa.list_(pa.int32())), ("sketch", pa.binary()), ("keys", pa.binary()), ("nodes", pa.binary())])
@@ -218,16 +221,18 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _within_sketch(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow a link."""
+    """Pairs (a, b) whose sizes and sketches allow a link, and the sketches' distance (apart)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            keep = _apart(_bits(batch.column("sa")), _bits(batch.column("sb"))) * (100 + similarity) <= (100 - similarity) * n if batch.num_rows else np.zeros(0, bool)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            if batch.num_rows:
+                n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                apart = _apart(_bits(batch.column("sa")), _bits(batch.column("sb")))
+                keep = pa.array(apart * (100 + similarity) <= (100 - similarity) * n)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart)], names=["a", "b", "apart"]).filter(keep)
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint, apart bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -243,6 +248,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"x{c}"))
+    pairs = pairs.select("a", "b")
+    if pairs.count() <= BROADCAST_NODES:  # only the sets of these pairs travel: that of a with the pair, that of b to it
+        ends = F.broadcast(pairs.select("b").distinct())
+        return side("a").join(F.broadcast(pairs), "a").join(side("b").join(ends, "b", "left_semi"), "b").mapInArrow(run, "a bigint, b bigint")
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -261,28 +270,39 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
     d = documents.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), as_bytes().alias("text"))
-    return d.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node bigint, tokens binary").dropDuplicates(["node"])
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
+    sets = materialise(d.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node bigint, tokens binary"), "sets")
+    if sets.groupBy("node").count().where("count > 1").isEmpty():
+        return sets
+    return materialise(sets.dropDuplicates(["node"]), "sets")  # rows that repeat a doc_id
 
 
 def _propose(similarity: int, quota: int | None):
-    """Rows sorted by (key, block): pairs across components within the Hamming bound, ``quota`` a node (all where None)."""
+    """Rows sorted by (key, block): pairs across components within the Hamming bound, the closest ``quota`` of a node (all
+    where None), and, as ``over``, the keys where a node has more."""
 
-    def group(a: np.ndarray, n: np.ndarray, label: np.ndarray, minor: np.ndarray, sketch: np.ndarray):
+    def group(key: int, a: np.ndarray, n: np.ndarray, label: np.ndarray, minor: np.ndarray, sketch: np.ndarray):
+        out, over = [], False
         for i in np.flatnonzero(minor):
             close = (label != label[i]) & (~minor | (a > a[i]))
             close &= np.minimum(n, n[i]) * 100 >= similarity * np.maximum(n, n[i])
             j = np.flatnonzero(close)
             if len(j):
-                j = j[_apart(sketch[j], sketch[i]) * (100 + similarity) <= (100 - similarity) * (n[j] + n[i])]
-                yield from ((min(int(a[i]), int(x)), max(int(a[i]), int(x))) for x in a[j[:quota]])
+                apart = _apart(sketch[j], sketch[i])
+                within = apart * (100 + similarity) <= (100 - similarity) * (n[j] + n[i])
+                j = j[within][np.argsort(apart[within], kind="stable")]
+                over |= quota is not None and len(j) > quota
+                out += [(min(int(a[i]), int(x)), max(int(a[i]), int(x)), None) for x in a[j[:quota]]]
+        return out + [(None, None, key)] if over else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush():
             t = pa.Table.from_batches(held)
-            out = sorted(set(group(*(t.column(c).to_numpy() for c in ("node", "n", "label")), t.column("minor").to_numpy(zero_copy_only=False), _bits(t.column("sketch")))))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+            out = group(int(at[0]), *(t.column(c).to_numpy() for c in ("node", "n", "label")), t.column("minor").to_numpy(zero_copy_only=False), _bits(t.column("sketch")))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "over"])
 
         at = None
         for batch in batches:
@@ -313,7 +333,7 @@ def _large_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame, similari
     m = m.withColumn("minor", F.col("label") != F.col("major")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     m = m.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("own"))))
     m = m.select("key", "block", "node", "n", "label", "minor", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "node")
-    return m.mapInArrow(_propose(similarity, quota), "a bigint, b bigint").distinct()
+    return m.mapInArrow(_propose(similarity, quota), "a bigint, b bigint, over bigint").distinct()
 
 
 def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -323,8 +343,8 @@ def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE)
     size = int(str(documents.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = min(max((size // BUCKET_BYTES).bit_length(), 6), 24)
     d = documents.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), as_bytes().alias("text"))
-    mapped = d.mapInArrow(_map_blocks(bits, similarity, k), _SCHEMA)
-    found = materialise(mapped.repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _SCHEMA), "found")
+    found = materialise(d.mapInArrow(_map_blocks(bits, similarity, k), _SCHEMA).repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _SCHEMA), "found")
+    reclaim(spark)
     rows = found.where(F.col("kind") == NODE).select("doc_id", "node", "n")
     nodes = found.where((F.col("kind") == NODE) & F.col("sketch").isNotNull())
     nodes = materialise(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("surplus").alias("surplus"), F.first("sketch").alias("sketch")), "nodes")
@@ -338,14 +358,31 @@ def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE)
         large = materialise(large.withColumn("band", F.col("key").bitwiseAND(255).cast("int")).join(bound, ["node", "band"]).select("key", "node"), "large")
         any_large = not large.isEmpty()
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(large.select("node")).distinct()
-    sets = materialise(_sets_of(documents, wanted.join(nodes.select("node", "doc_id"), "node"), k), "sets")
-    links = materialise(_verified(pairs, sets, similarity), "links")
+    sets = _sets_of(documents, materialise(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted"), k)
+    reclaim(spark)
+    # a node's closest pair first; what then still lies across components is verified in full
+    ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "apart").unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "apart"))
+    closest = ends.groupBy("u").agg(F.min_by("v", "apart").alias("v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    links = materialise(_verified(materialise(closest, "closest"), sets, similarity), "links")
     labels = components(links)
+    reclaim(spark)
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    across = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    across = materialise(across.select("a", "b"), "across")
+    if not across.isEmpty():
+        links = links.unionAll(materialise(_verified(across, sets, similarity), "links"))
+        labels = components(links)
     for quota in ROUNDS if any_large else ():
-        more = materialise(_verified(_large_pairs(large, nodes, labels, similarity, quota), sets, similarity), "links")
+        found = materialise(_large_pairs(large, nodes, labels, similarity, quota), "proposed")
+        more = materialise(_verified(found.where("a is not null"), sets, similarity), "links")
+        reclaim(spark)
         if not more.isEmpty():
             links = links.unionAll(more)
             labels = components(links)
+        over = found.where("over is not null").select(F.col("over").alias("key")).distinct()
+        if quota is None or over.isEmpty():
+            break
+        large = materialise(large.join(over, "key"), "large")
     return rows, labels
 
 
