@@ -41,9 +41,6 @@ SMALL_KEY = 32
 CROWD = 64
 #: Text bytes of a map block; bytes of estimated input a bucket of keys; nodes of a block of a large key.
 BLOCK_BYTES, BUCKET_BYTES, BLOCK_NODES = 6_000_000, 8_000_000, 8192
-#: Sketch-close pairs a node proposes of a large key in each round; later rounds look at the keys where one had more, the
-#: last has no bound.
-ROUNDS = (1, 8, 64, None)
 NULL_ID = -(2**63)
 #: Nodes (16 bytes each) that may be broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
@@ -278,31 +275,42 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return materialise(sets.dropDuplicates(["node"]), "sets")  # rows that repeat a doc_id
 
 
-def _propose(similarity: int, quota: int | None):
-    """Rows sorted by (key, block): pairs across components within the Hamming bound, the closest ``quota`` of a node (all
-    where None), and, as ``over``, the keys where a node has more."""
+def _propose(similarity: int, forest: bool):
+    """Rows sorted by (key, block): pairs across components within the Hamming bound. With ``forest`` only the pairs, closest
+    first, that join the key's members if all of them are links; else all of them."""
+
+    def group(a: np.ndarray, n: np.ndarray, label: np.ndarray, minor: np.ndarray, sketch: np.ndarray):
+        out, root = [], {int(x): int(x) for x in label}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
 
-    def group(key: int, a: np.ndarray, n: np.ndarray, label: np.ndarray, minor: np.ndarray, sketch: np.ndarray):
-        out, over = [], False
         for i in np.flatnonzero(minor):
             close = (label != label[i]) & (~minor | (a > a[i]))
             close &= np.minimum(n, n[i]) * 100 >= similarity * np.maximum(n, n[i])
             j = np.flatnonzero(close)
-            if len(j):
-                apart = _apart(sketch[j], sketch[i])
-                within = apart * (100 + similarity) <= (100 - similarity) * (n[j] + n[i])
-                j = j[within][np.argsort(apart[within], kind="stable")]
-                over |= quota is not None and len(j) > quota
-                out += [(min(int(a[i]), int(x)), max(int(a[i]), int(x)), None) for x in a[j[:quota]]]
-        return out + [(None, None, key)] if over else out
+            if not len(j):
+                continue
+            apart = _apart(sketch[j], sketch[i])
+            within = apart * (100 + similarity) <= (100 - similarity) * (n[j] + n[i])
+            for x in j[within][np.argsort(apart[within], kind="stable")].tolist():
+                if forest:
+                    one, other = top(int(label[i])), top(int(label[x]))
+                    if one == other:
+                        continue
+                    root[max(one, other)] = min(one, other)
+                out.append((min(int(a[i]), int(a[x])), max(int(a[i]), int(a[x]))))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush():
             t = pa.Table.from_batches(held)
-            out = group(int(at[0]), *(t.column(c).to_numpy() for c in ("node", "n", "label")), t.column("minor").to_numpy(zero_copy_only=False), _bits(t.column("sketch")))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "over"])
+            out = group(*(t.column(c).to_numpy() for c in ("node", "n", "label")), t.column("minor").to_numpy(zero_copy_only=False), _bits(t.column("sketch")))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
         at = None
         for batch in batches:
@@ -322,7 +330,7 @@ def _propose(similarity: int, quota: int | None):
     return run
 
 
-def _large_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: int, quota: int | None) -> DataFrame:
+def _large_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: int, forest: bool) -> DataFrame:
     """Candidate pairs of the large keys across components. A key's members outside its largest component go to all of
     its blocks, the others to one: the work is members times strays, never all pairs."""
     m = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -333,7 +341,7 @@ def _large_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame, similari
     m = m.withColumn("minor", F.col("label") != F.col("major")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     m = m.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("own"))))
     m = m.select("key", "block", "node", "n", "label", "minor", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "node")
-    return m.mapInArrow(_propose(similarity, quota), "a bigint, b bigint, over bigint").distinct()
+    return m.mapInArrow(_propose(similarity, forest), "a bigint, b bigint").distinct()
 
 
 def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -372,17 +380,19 @@ def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE)
     if not across.isEmpty():
         links = links.unionAll(materialise(_verified(across, sets, similarity), "links"))
         labels = components(links)
-    for quota in ROUNDS if any_large else ():
-        found = materialise(_large_pairs(large, nodes, labels, similarity, quota), "proposed")
-        more = materialise(_verified(found.where("a is not null"), sets, similarity), "links")
+    if any_large:  # keys of several blocks: their members against one of them, so that few are strays afterwards
+        vast = materialise(large.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("a")).where(F.col("c") > BLOCK_NODES), "vast")
+        if not vast.isEmpty():
+            stars = materialise(large.join(vast, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
+            links = links.unionAll(materialise(_verified(stars, sets, similarity), "links"))
+            labels = components(links)
+    for forest in (True, False) if any_large else ():  # a spanning choice of pairs; then all that still lie across components
+        found = materialise(_large_pairs(large, nodes, labels, similarity, forest), "proposed")
+        more = materialise(_verified(found, sets, similarity), "links")
         reclaim(spark)
         if not more.isEmpty():
             links = links.unionAll(more)
             labels = components(links)
-        over = found.where("over is not null").select(F.col("over").alias("key")).distinct()
-        if quota is None or over.isEmpty():
-            break
-        large = materialise(large.join(over, "key"), "large")
     return rows, labels
 
 
