@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textweir.sources.tables import read_table as table
+
 #: Query name, module, tables that its ``opN`` function takes in order.
 OPERATORS = [
     ("op1_warc", "warc", ("pages",)),
@@ -22,10 +24,6 @@ OPERATORS = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _query(name: str, module: str, tables: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         operator = getattr(importlib.import_module(f"{__package__}.{module}"), name.split("_")[0] if name.startswith("op") else name)
