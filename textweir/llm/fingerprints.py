@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_parts, small_batches
 
-#: Chunks average 32 bytes, in paragraphs of under SHORT bytes 8; sections average 8 paragraphs.
-CHUNK_MASK, SHORT_MASK, SHORT, SECTION_MASK = 31, 7, 256, 7
+#: Chunks average 64 bytes, in paragraphs of under SHORT bytes 8; sections average 8 paragraphs.
+CHUNK_MASK, SHORT_MASK, SHORT, SECTION_MASK = 63, 7, 256, 7
 _FACTORS = [np.uint32(x | 1) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646C, 0xFD7046C5, 0xB55A4F09)]
 
 
