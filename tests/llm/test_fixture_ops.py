@@ -245,6 +245,13 @@ def test_license_rules(spark):
     assert len(licenses.rules()) > 300
 
 
+def test_license_words_between_underscores(spark):
+    texts = ["CC_BY_NC", "CC-BY_NC", "_CC BY-NC_", "see _cc_by_nc_ here", "_CC0_", "xcc by nc", "cc by ncx", "\u00e9cc by nc"]
+    got = [(r.n_base, r.first_word, r.labels) for r in licenses.op7(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert got[:5] == [(1, 0, "cc-by-nc")] * 3 + [(1, 1, "cc-by-nc"), (0, None, "cc0")]
+    assert [n for n, _, _ in got[5:]] == [0, 0, 0]
+
+
 def test_token_counts(docs, rows, empty):
     from tokenizers import Tokenizer
 

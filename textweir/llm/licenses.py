@@ -127,7 +127,7 @@ SIGNATURES = [
 
 #: A document without any of these holds no rule's text (every rule needs a name, a grant or a reservation).
 PREFILTER = (
-    r"(?i)licen[cs]|copyright|gpl|wtfpl|creative" + SEPARATORS + "commons|public" + SEPARATORS + r"domain|\bcc0|\bcc" + SEPARATORS + r"(?:by|zero)\b|bsd|permission|redistribut|compliance|all" + SEPARATORS + "rights|proprietary|neither" + SEPARATORS + r"the|mit" + SEPARATORS + "no|warranty"
+    r"(?i)licen[cs]|copyright|gpl|wtfpl|creative" + SEPARATORS + "commons|public" + SEPARATORS + "domain|(?:^|" + SEPARATORS + ")cc(?:0|" + SEPARATORS + "(?:by|zero)(?:" + SEPARATORS + "|$))|bsd|permission|redistribut|compliance|all" + SEPARATORS + "rights|proprietary|neither" + SEPARATORS + r"the|mit" + SEPARATORS + "no|warranty"
 )
 
 
