@@ -172,6 +172,34 @@ def test_decontamination(spark, docs, rows, empty, limit, monkeypatch):
     assert row.n_hit == 0 and row.n_near > 0
 
 
+def near_places(words, windows, slop=2, share=0.8):
+    """Brute force over one document: places with enough terms nearby and one in its own place."""
+    at = lambda p: words[p] if 0 <= p < len(words) else None
+    found = set()
+    for g in windows:
+        k = len(g)
+        for s in range(-k - slop, len(words) + slop):
+            if sum(any(at(s + o + d) == x for d in range(-slop, slop + 1)) for o, x in enumerate(g)) >= share * k and any(at(s + o) == x for o, x in enumerate(g)):
+                found.add(s)
+    return found
+
+
+def test_proximity_does_not_depend_on_the_block(spark):
+    item = [f"item{k}" for k in range(30)]
+    apart = [w if k % 7 else f"other{k}" for k, w in enumerate(item)]
+    moved = item[:6] + ["more"] + item[6:20] + item[21:]
+    texts = [(1, item), (2, apart), (3, moved), (4, item[5:11] + ["x"] * 20), (5, item[2:]), (6, ["y"] * 20 + item[:6]), (7, item[6:13] + ["z"] * 9)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    windows = [item[i : i + 13] for i in range(18)]
+    want = {i: len(near_places(w, windows)) for i, w in texts}
+    assert want[2] > 0 and want[4] == want[6] == want[7] == 0
+    frame = lambda t: spark.createDataFrame([(i, " ".join(w)) for i, w in t], "doc_id bigint, text string").coalesce(1)
+    together = {r.doc_id: r.n_near for r in decontamination.decontaminate(frame(texts), items).collect()}
+    alone = {t[0]: decontamination.decontaminate(frame([t]), items).first().n_near for t in texts}
+    assert together == alone == want
+    assert {r.doc_id for r in decontamination.proximity_matches(frame(texts), items).collect()} == {1, 2, 3, 5}
+
+
 def test_fingerprints(docs, rows, empty):
     keyed = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     got = fingerprints.op4(docs).collect()

@@ -102,40 +102,56 @@ def _exact(tokens, terms, offsets, positions, rows, windows):
     return (np.concatenate(found_w), np.concatenate(found_at)) if found_w else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _near(tokens, offsets, positions, windows, slop: int, share: float):
-    """Anchor places of proximity matches: the window's rarest term, with at least ``share`` of its terms within ``slop`` places of theirs."""
+def _near(tokens, offsets, positions, starts, n_words, windows, slop: int, share: float):
+    """Proximity matches: places where at least ``share`` of a window's terms stand within ``slop`` places of theirs, and one in its own.
+
+    A match lacks at most ``allowed`` terms, so it holds one of any ``allowed + 1``: each of the rarest so many (absent
+    terms first) is an anchor in turn. The anchor itself may be ``slop`` off. All terms are of the anchor's document, so
+    what is found does not depend on the block. Returns document and place as one number, once per place."""
     k = windows.shape[1]
     allowed = k - int(np.ceil(share * k))
     df = np.where(windows >= 0, np.diff(offsets)[np.maximum(windows, 0)], 0)
-    order = np.argsort(np.where(df == 0, np.iinfo(np.int64).max, df), axis=1, kind="stable")
-    n = np.take_along_axis(df, order[:, :1], 1)[:, 0]
-    n[(df == 0).sum(1) > allowed] = 0
+    order = np.argsort(df, axis=1, kind="stable")
+    hopeless = (df == 0).sum(1) > allowed
     out = []
-    for part in np.array_split(np.arange(len(windows)), max(1, int(n.sum()) // CANDIDATES)):
-        w = np.repeat(part, n[part])
-        if not len(w):
-            continue
-        anchor = order[part, 0]
-        begin = offsets[np.maximum(windows[part, anchor], 0)]
-        shift = np.repeat(begin - np.concatenate([[0], np.cumsum(n[part])[:-1]]), n[part])
-        at = positions[np.arange(len(w)) + shift].astype(np.int64) - np.repeat(anchor, n[part])
-        missed = np.zeros(len(w), np.int16)
-        for j in range(1, k):
-            off = order[w, j]
-            want = windows[w, off]
-            seen = np.zeros(len(w), bool)
-            for d in range(-slop, slop + 1):
-                p = at + off + d
-                seen |= tokens[np.clip(p, 0, len(tokens) - 1)] == want
-            missed += ~(seen & (want >= 0))
-            keep = missed <= allowed
-            w, at, missed = w[keep], at[keep], missed[keep]
-            if not len(w):
-                break
-        out.append(np.unique(at))
+    for rank in range(allowed + 1):
+        n = np.where(hopeless, 0, np.take_along_axis(df, order[:, rank : rank + 1], 1)[:, 0])
+        cuts = np.searchsorted(np.cumsum(n), np.arange(CANDIDATES, int(n.sum()), CANDIDATES))
+        for part in np.split(np.arange(len(windows)), cuts):
+            places = np.repeat(part, n[part])
+            if not len(places):
+                continue
+            anchor = order[part, rank]
+            begin = offsets[np.maximum(windows[part, anchor], 0)]
+            shift = np.repeat(begin - np.concatenate([[0], np.cumsum(n[part])[:-1]]), n[part])
+            stands = positions[np.arange(len(places)) + shift].astype(np.int64)
+            doc = np.searchsorted(starts, stands, "right") - 1
+            for off in range(-slop, slop + 1):
+                out.append(_verified(tokens, starts, n_words, windows, order, places, doc, stands - np.repeat(anchor, n[part]) + off, slop, allowed))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
+def _verified(tokens, starts, n_words, windows, order, w, doc, at, slop: int, allowed: int):
+    """Document and place, as one number, of those places ``at`` of the windows ``w`` that are proximity matches."""
+    missed, placed = np.zeros(len(w), np.int16), np.zeros(len(w), bool)
+    for j in range(windows.shape[1]):
+        off = order[w, j]
+        want, own = windows[w, off], at + off
+        seen = np.zeros(len(w), bool)
+        for d in range(-slop, slop + 1):
+            p = own + d
+            same = (tokens[np.clip(p, 0, len(tokens) - 1)] == want) & (p >= starts[doc]) & (p < starts[doc] + n_words[doc])
+            seen |= same
+            if d == 0:
+                placed |= same & (want >= 0)
+        missed += ~(seen & (want >= 0))
+        keep = missed <= allowed
+        w, doc, at, missed, placed = w[keep], doc[keep], at[keep], missed[keep], placed[keep]
+        if not len(w):
+            break
+    return np.unique((doc[placed] << 32) + at[placed] - starts[doc[placed]] + (1 << 16))
+
+
 def search_index(index: DataFrame, windows: dict[tuple[int, ...], set], slop: int = 2, share: float = 0.8) -> DataFrame:
     """Per document: merged word spans under exact windows, the items found, and the number of proximity places."""
     keys = list(windows)
@@ -164,11 +180,11 @@ def search_index(index: DataFrame, windows: dict[tuple[int, ...], set], slop: in
                     got_a.append(a)
                     got_n.append(np.full(len(w), size))
                     if slop and size > 4:
-                        near.append(_near(tokens, offsets, positions, at, slop, share))
+                        near.append(_near(tokens, offsets, positions, starts, n_words, at, slop, share))
                 w, a, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (got_w, got_a, got_n))
                 near = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
                 doc = np.searchsorted(starts, a, "right") - 1
-                near_of = np.bincount(np.searchsorted(starts, np.maximum(near, 0), "right") - 1, minlength=len(starts)) if len(near) else np.zeros(len(starts), np.int64)
+                near_of = np.bincount(near >> 32, minlength=len(starts))
                 order = np.lexsort((a, doc))
                 w, a, n, doc = w[order], a[order], n[order], doc[order]
                 bounds = np.searchsorted(doc, np.arange(len(starts) + 1))
