@@ -82,6 +82,22 @@ def test_near_duplicates(docs, rows, empty, small, crowd, monkeypatch):
         assert ngram_jaccard.op3(empty).collect() == []
 
 
+@pytest.mark.parametrize("small, crowd", [(32, 64), (3, 3)])
+def test_all_links(docs, rows, empty, small, crowd, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "SMALL_KEY", small)
+    monkeypatch.setattr(ngram_jaccard, "CROWD", crowd)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_NODES", 4 if small == 3 else 8192)
+    sets = [five(t) for _, t in rows]
+    alike = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = sorted(((i, len(x), sum(alike(x, y) for y in sets) - bool(x)) for (i, _), x in zip(rows, sets)), key=repr)
+    assert sorted(map(tuple, ngram_jaccard.link_counts(docs).collect()), key=repr) == want
+    found = ngram_jaccard.links(docs)[1]
+    different = {frozenset(x) for x in sets if x}
+    assert found.where("a >= b").isEmpty() and found.distinct().count() == found.count() == sum(alike(x, y) for x in different for y in different if x != y) // 2
+    if small == 32:
+        assert ngram_jaccard.link_counts(empty).collect() == []
+
+
 def test_pigeonhole_bounds():
     bands = ngram_jaccard.size_bands(80)
     for n in range(1, 400):

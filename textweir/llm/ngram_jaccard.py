@@ -344,8 +344,18 @@ def _large_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame, similari
     return m.mapInArrow(_propose(similarity, forest), "a bigint, b bigint").distinct()
 
 
-def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, node, n; labels: node, label): every document's node, and the component of each node with links."""
+def _all_large_pairs(large: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """All candidate pairs of the large keys: a key's members are dealt into ranges, each two of which meet in one tile."""
+    keys = materialise(large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("n_blocks")), "keys")
+    m = large.join(keys, "key").join(nodes.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    m = m.withColumns({"label": F.col("node"), "minor": F.col("own") <= F.col("other"), "block": F.least("own", "other").cast("bigint") * F.col("n_blocks") + F.greatest("own", "other")})
+    m = m.select("key", "block", "node", "n", "label", "minor", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "node")
+    return m.mapInArrow(_propose(similarity, False), "a bigint, b bigint").distinct()
+
+
+def _candidates(documents: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """rows (doc_id, node, n), nodes, pairs of small keys within the Hamming bound, large keys' members, sets, whether there are large keys."""
     spark = documents.sparkSession
     small_batches(spark)
     size = int(str(documents.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -368,6 +378,35 @@ def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE)
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(large.select("node")).distinct()
     sets = _sets_of(documents, materialise(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted"), k)
     reclaim(spark)
+    return rows, nodes, pairs, large, sets, any_large
+
+
+def links(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, node, n; links: a, b): every document's node, and every link between different nodes, a < b. Rows of
+    one node (with n > 0) are linked too, as are their copies to those of a linked node; these are not written out."""
+    rows, nodes, pairs, large, sets, any_large = _candidates(documents, similarity, k)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if any_large:
+        pairs = materialise(pairs.unionAll(_all_large_pairs(large, nodes, similarity)).distinct(), "proposed")
+    return rows, materialise(_verified(pairs, sets, similarity), "links")
+
+
+def link_counts(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, n_links (other rows that are linked to it, copies included) of every row."""
+    rows, found = links(documents, similarity, k)
+    rows = materialise(rows, "rows")
+    copies = rows.where("n > 0").groupBy("node").agg(F.count("*").alias("c"))
+    both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("c").alias("others"))
+    per = copies.join(others, "node", "left").select("node", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = rows.join(per, "node", "left")
+    return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, node, n; labels: node, label): every document's node, and the component of each node with links."""
+    spark = documents.sparkSession
+    rows, nodes, pairs, large, sets, any_large = _candidates(documents, similarity, k)
     # a node's closest pair first; what then still lies across components is verified in full
     ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "apart").unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "apart"))
     closest = ends.groupBy("u").agg(F.min_by("v", "apart").alias("v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()

@@ -35,6 +35,7 @@ def _query(name: str, module: str, tables: tuple[str, ...]) -> Callable[[SparkSe
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _query(name, module, tables) for name, module, tables in OPERATORS}
     found["decontamination_proximity"] = _query("proximity_matches", "decontamination", ("documents", "benchmark"))
+    found["ngram_jaccard_links"] = _query("link_counts", "ngram_jaccard", ("documents",))
     return found
 
 
