@@ -289,6 +289,53 @@ def test_license_rules(spark):
     assert len(licenses.rules()) > 300
 
 
+def texts_of(pattern):
+    """One text for each choice of alternatives and options of a regex."""
+    from re import _constants as c, _parser
+
+    def one(op, arg):
+        if op is c.LITERAL:
+            return {chr(arg)}
+        if op is c.SUBPATTERN:
+            return many(arg[3])
+        if op is c.BRANCH:
+            return set().union(*map(many, arg[1]))
+        if op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            return set().union(*({x * n for x in many(arg[2])} for n in {arg[0], max(1, arg[0])}))
+        if op is c.IN:
+            return set().union(*({chr(a[0])} if o is c.RANGE else {"7"} if o is c.CATEGORY else {chr(a)} for o, a in arg))
+        return {"y"} if op is c.ANY else 1 / 0
+
+    def many(items):
+        out = {""}
+        for item in items:
+            out = {a + b for a in out for b in one(*item)}
+        return out
+
+    return many(_parser.parse(pattern))
+
+
+def test_license_keywords_follow_from_the_regexes():
+    ruled = [(regex, keyword) for _, regex, keyword in licenses.NAMES] + [(regex, keyword) for _, regex, keyword, _, _ in licenses.SIGNATURES] + [(regex, keyword) for _, regex, keyword, alone in licenses.IDENTIFIERS if alone]
+    for regex, keyword in ruled:
+        for text in texts_of(regex):
+            assert any(f" {x} " in f" {text} " for x in keyword.split("|")), (text, keyword)
+            assert re.search(licenses.PREFILTER, text), text
+    for _, regex, keyword, _ in licenses.IDENTIFIERS:
+        assert all(any(f" {x} " in f" {text} " for x in keyword.split("|")) for text in texts_of(regex))
+    assert len(licenses.rules()) == 5 * len(licenses.NAMES) + len(licenses.IDENTIFIERS) + sum(x[3] for x in licenses.IDENTIFIERS) + len(licenses.SIGNATURES)
+
+
+def test_license_alternatives(spark):
+    cases = [
+        ("licensed under GPL v3", "gpl-3"), ("GNU General Public License v2", "gpl-2"), ("GPL v1", "gpl-1"), ("LGPL v2", "lgpl-2"), ("LGPL v2.1", "lgpl-2.1"), ("LGPL v3", "lgpl-3"), ("AGPL v3", "agpl-3"), ("FreeBSD license", "bsd-2"), ("simplified BSD", "bsd-2"),
+        ("0BSD", "bsd-0"), ("Creative Commons Zero", "cc0"), ("unauthorized copying is prohibited", "proprietary"), ("SPDX-License-Identifier: MIT", "mit"), ("Apache-2.0", "apache-2"), ("SPDX-License-Identifier: MPL-2.0", "mpl-2"), ("BSL-1.0", "bsl-1"),
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", "apache-2,mit"), ("SPDX-License-Identifier: (GPL-2.0-or-later OR BSD-3-Clause) AND ISC", "bsd-3,gpl-2,isc"), ("ich komme mit ruby", ""), ("license identifier here, come mit ruby", ""),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    assert [(cases[r.doc_id][0], r.labels) for r in licenses.op7(d).orderBy("doc_id").collect()] == cases
+
+
 def test_license_words_between_underscores(spark):
     texts = ["CC_BY_NC", "CC-BY_NC", "_CC BY-NC_", "see _cc_by_nc_ here", "_CC0_", "xcc by nc", "cc by ncx", "\u00e9cc by nc"]
     got = [(r.n_base, r.first_word, r.labels) for r in licenses.op7(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]

@@ -20,7 +20,7 @@ BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Licenses: label, the words that name it (regex over single-spaced lower-case words), keyword that such text must hold.
+#: Licenses: label, the words that name it (regex over single-spaced lower-case words), words of which such text holds one at least.
 NAMES = [
     ("mit", r"mit licen[cs]e", "mit"),
     ("mit-0", r"mit no attribution(?: licen[cs]e)?", "attribution"),
@@ -29,24 +29,24 @@ NAMES = [
     ("apache-1.1", r"apache (?:software )?licen[cs]e (?:version )?1 1", "apache"),
     ("apache-2", r"apache (?:software )?licen[cs]e (?:version |v )?(?:2 0|2|v2)(?: 0)?", "apache"),
     ("apache", r"apache (?:software )?licen[cs]e", "apache"),
-    ("gpl-1", r"(?:gnu )?(?:general public licen[cs]e|gpl) (?:version |v )?(?:1|v1)(?: 0)?", "1"),
-    ("gpl-2", r"(?:gnu )?(?:general public licen[cs]e|gpl) (?:as published by the free software foundation )?(?:either )?(?:version |v )?(?:2|v2)(?: 0)?(?: or (?:any |at your option )?(?:any )?later(?: version)?)?", "2"),
-    ("gpl-3", r"(?:gnu )?(?:general public licen[cs]e|gpl) (?:as published by the free software foundation )?(?:either )?(?:version |v )?(?:3|v3)(?: 0)?(?: or (?:any |at your option )?(?:any )?later(?: version)?)?", "3"),
+    ("gpl-1", r"(?:gnu )?(?:general public licen[cs]e|gpl) (?:version |v )?(?:1|v1)(?: 0)?", "1|v1"),
+    ("gpl-2", r"(?:gnu )?(?:general public licen[cs]e|gpl) (?:as published by the free software foundation )?(?:either )?(?:version |v )?(?:2|v2)(?: 0)?(?: or (?:any |at your option )?(?:any )?later(?: version)?)?", "2|v2"),
+    ("gpl-3", r"(?:gnu )?(?:general public licen[cs]e|gpl) (?:as published by the free software foundation )?(?:either )?(?:version |v )?(?:3|v3)(?: 0)?(?: or (?:any |at your option )?(?:any )?later(?: version)?)?", "3|v3"),
     ("gpl-2", r"gplv2", "gplv2"),
     ("gpl-3", r"gplv3", "gplv3"),
     ("gpl", r"gnu (?:general public licen[cs]e|gpl)", "gnu"),
-    ("lgpl-2", r"(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl) (?:version |v )?(?:2|v2)(?: 0)?", "2"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl) (?:version |v )?(?:2 1|v2 1)", "2"),
-    ("lgpl-3", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl) (?:version |v )?(?:3|v3)(?: 0)?", "3"),
+    ("lgpl-2", r"(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl) (?:version |v )?(?:2|v2)(?: 0)?", "2|v2"),
+    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl) (?:version |v )?(?:2 1|v2 1)", "2|v2"),
+    ("lgpl-3", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl) (?:version |v )?(?:3|v3)(?: 0)?", "3|v3"),
     ("lgpl", r"gnu (?:(?:lesser|library) general public licen[cs]e|lgpl)", "gnu"),
-    ("agpl-3", r"(?:gnu )?(?:affero general public licen[cs]e|agpl) (?:version |v )?(?:3|v3)(?: 0)?", "3"),
+    ("agpl-3", r"(?:gnu )?(?:affero general public licen[cs]e|agpl) (?:version |v )?(?:3|v3)(?: 0)?", "3|v3"),
     ("agpl", r"(?:gnu )?affero general public licen[cs]e", "affero"),
     ("gfdl-1.3", r"(?:gnu )?free documentation licen[cs]e (?:version )?1 3", "documentation"),
     ("gfdl", r"(?:gnu )?free documentation licen[cs]e", "documentation"),
-    ("bsd-2", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", "clause"),
+    ("bsd-2", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", "bsd|freebsd"),
     ("bsd-3", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?", "bsd"),
     ("bsd-4", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?", "bsd"),
-    ("bsd-0", r"(?:bsd zero clause|zero clause bsd|0bsd)(?: licen[cs]e)?", "bsd"),
+    ("bsd-0", r"(?:bsd zero clause|zero clause bsd|0bsd)(?: licen[cs]e)?", "bsd|0bsd"),
     ("bsd", r"bsd(?: style)? licen[cs]e", "bsd"),
     ("mpl-1.1", r"mozilla public licen[cs]e (?:version )?1 1", "mozilla"),
     ("mpl-2", r"mozilla public licen[cs]e (?:version |v )?2(?: 0)?", "mozilla"),
@@ -78,10 +78,10 @@ NAMES = [
     ("odbl-1", r"open (?:data commons )?(?:open )?database licen[cs]e", "database"),
     ("odc-by", r"open data commons attribution licen[cs]e", "attribution"),
     ("pddl", r"public domain dedication(?: and licen[cs]e)?", "dedication"),
-    ("cc0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc0"),
-    ("cc-by", r"(?:cc by|creative commons attribution)(?: licen[cs]e)?(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "by"),
+    ("cc0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc0|zero"),
+    ("cc-by", r"cc by(?: licen[cs]e)?(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "by"),
     ("cc-by", r"creative commons attribution(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "commons"),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: licen[cs]e)?(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "sa"),
+    ("cc-by-sa", r"cc by sa(?: licen[cs]e)?(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "sa"),
     ("cc-by-sa", r"creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "commons"),
     ("cc-by-nd", r"cc by nd(?: [1-4] [05])?", "nd"),
     ("cc-by-nd", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?", "commons"),
@@ -94,6 +94,44 @@ NAMES = [
     ("cc", r"creative commons licen[cs]e", "commons"),
 ]
 
+#: SPDX identifiers whose words no name above holds: label, regex, keyword, whether it counts by itself. The others are words of
+#: everyday texts, so they count after "license identifier" only, also in an expression ("MIT OR Apache-2.0").
+IDENTIFIERS = [
+    ("mit", r"mit", "mit", False),
+    ("mit-0", r"mit 0", "mit", False),
+    ("x11", r"x11", "x11", False),
+    ("isc", r"isc", "isc", False),
+    ("apache-1.1", r"apache 1 1", "apache", True),
+    ("apache-2", r"apache 2 0", "apache", True),
+    ("gfdl-1.3", r"gfdl 1 3", "gfdl", True),
+    ("gfdl", r"gfdl 1 [12]", "gfdl", True),
+    ("mpl-1.1", r"mpl 1 1", "mpl", True),
+    ("mpl-2", r"mpl 2 0", "mpl", True),
+    ("epl-1", r"epl 1 0", "epl", True),
+    ("epl-2", r"epl 2 0", "epl", True),
+    ("eupl", r"eupl 1 [012]", "eupl", True),
+    ("cddl-1", r"cddl 1 [01]", "cddl", True),
+    ("cpl-1", r"cpl 1 0", "cpl", True),
+    ("ms-pl", r"ms pl", "pl", False),
+    ("ms-rl", r"ms rl", "rl", False),
+    ("bsl-1", r"bsl 1 0", "bsl", True),
+    ("busl-1.1", r"busl 1 1", "busl", True),
+    ("elastic-2", r"elastic 2 0", "elastic", False),
+    ("sspl-1", r"sspl 1 0", "sspl", True),
+    ("zlib", r"zlib", "zlib", False),
+    ("artistic-2", r"artistic 2 0", "artistic", False),
+    ("artistic", r"artistic 1 0", "artistic", False),
+    ("postgresql", r"postgresql", "postgresql", False),
+    ("psf-2", r"(?:psf|python) 2 0(?: 1)?", "psf|python", False),
+    ("ruby", r"ruby", "ruby", False),
+    ("php-3", r"php 3 01?", "php", False),
+    ("openssl", r"openssl", "openssl", False),
+    ("ofl-1.1", r"ofl 1 1", "ofl", True),
+    ("odbl-1", r"odbl 1 0", "odbl", True),
+    ("odc-by", r"odc by 1 0", "odc", True),
+    ("pddl", r"pddl 1 0", "pddl", True),
+]
+
 #: Ways to grant a license: regex around the name, extra keyword, priority, weight.
 FORMS = [
     (r"{name}", None, 40, 0.7),
@@ -118,7 +156,7 @@ SIGNATURES = [
     ("public-domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain", "domain", 70, 0.9),
     ("public-domain", r"(?:is|are) in the public domain", "domain", 50, 0.7),
     ("proprietary", r"all rights reserved", "reserved", 30, 0.5),
-    ("proprietary", r"(?:unauthori[sz]ed|no) (?:copying|reproduction|use|distribution)(?: of this file)? (?:is (?:strictly )?prohibited|without (?:prior )?(?:written )?permission)", "permission", 45, 0.7),
+    ("proprietary", r"(?:unauthori[sz]ed|no) (?:copying|reproduction|use|distribution)(?: of this file)? (?:is (?:strictly )?prohibited|without (?:prior )?(?:written )?permission)", "prohibited|permission", 45, 0.7),
     ("proprietary", r"proprietary and confidential", "proprietary", 45, 0.7),
     ("proprietary", r"end user licen[cs]e agreement", "agreement", 45, 0.7),
     ("copyright", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 20, 0.4),
@@ -127,13 +165,18 @@ SIGNATURES = [
 
 #: A document without any of these holds no rule's text (every rule needs a name, a grant or a reservation).
 PREFILTER = (
-    r"(?i)licen[cs]|copyright|gpl|wtfpl|creative" + SEPARATORS + "commons|public" + SEPARATORS + "domain|(?:^|" + SEPARATORS + ")cc(?:0|" + SEPARATORS + "(?:by|zero)(?:" + SEPARATORS + "|$))|bsd|permission|redistribut|compliance|all" + SEPARATORS + "rights|proprietary|neither" + SEPARATORS + r"the|mit" + SEPARATORS + "no|warranty"
+    r"(?i)licen[cs]|copyright|gpl|wtfpl|creative" + SEPARATORS + "commons|public" + SEPARATORS + "domain|(?:^|" + SEPARATORS + ")cc(?:0|" + SEPARATORS + "(?:by|zero)(?:" + SEPARATORS + "|$))|bsd|permission|redistribut|compliance|all" + SEPARATORS + "rights|proprietary|neither" + SEPARATORS + r"the|mit" + SEPARATORS + "no|warranty|prohibited|(?:^|" + SEPARATORS + ")(?:apache|gfdl|[me]pl|eupl|cddl|cpl|bu?sl|sspl|ofl|odbl|odc" + SEPARATORS + "by|pddl)" + SEPARATORS + "[123]"
 )
 
 
 def rules() -> list[tuple[str, str, str, str, int, float]]:
-    """(label, regex, keyword, second keyword, priority, weight), by priority; names times forms, then the signatures."""
+    """(label, regex, keywords, second keywords, priority, weight), by priority; names times forms, the identifiers, then the signatures."""
     out = [(label, form.replace("{name}", name), keyword, extra or keyword, priority, weight) for label, name, keyword in NAMES for form, extra, priority, weight in FORMS]
+    known = "|".join([r"[al]?gpl [123] [01]", r"bsd [234] clause", "0bsd", "wtfpl", "unlicense", "cc0 1 0", r"cc by(?: nc)?(?: sa| nd)? [1-4] [05]", *(regex for _, regex, _, _ in IDENTIFIERS)])
+    operand = f"(?:(?:{known})(?: only| or later)? (?:or|and) )?"  # written out, as Java wants a look-behind's greatest length
+    after = rf"(?<=licen[cs]e identifier {operand * 8})"
+    out += [(label, f"(?={regex} ){after}{regex}(?: only| or later)?", keyword, "identifier", 90, 1.0) for label, regex, keyword, _ in IDENTIFIERS]
+    out += [(label, regex, keyword, keyword, 40, 0.7) for label, regex, keyword, alone in IDENTIFIERS if alone]
     out += [(label, regex, keyword, keyword, priority, weight) for label, regex, keyword, priority, weight in SIGNATURES]
     return sorted(out, key=lambda r: -r[4])
 
@@ -157,7 +200,7 @@ def _exactly(regex: str) -> str:
 
 def _table(entries: list[tuple]) -> Column:
     names = ("label", "regex", "first", "second", "priority", "weight")
-    return F.array(*(F.struct(*(F.lit(f" {v} " if n in ("first", "second") else _exactly(v) if n == "regex" else v).alias(n) for n, v in zip(names, e)), F.lit(i).alias("rule")) for i, e in enumerate(entries)))
+    return F.array(*(F.struct(*((F.array(*(F.lit(f" {x} ") for x in v.split("|"))) if n in ("first", "second") else F.lit(_exactly(v) if n == "regex" else v)).alias(n) for n, v in zip(names, e)), F.lit(i).alias("rule")) for i, e in enumerate(entries)))
 
 
 def detections(documents: DataFrame) -> DataFrame:
@@ -168,7 +211,8 @@ def detections(documents: DataFrame) -> DataFrame:
     d = d.withColumn("_words", F.when(F.col("_text").isNotNull(), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("_text"), SEPARATORS, " ")), F.lit(" ")))).drop("_text")
 
     def matched(table: Column) -> Column:
-        gated = F.filter(table, lambda r: F.contains(F.col("_words"), r["first"]) & F.contains(F.col("_words"), r["second"]))
+        holds = lambda keywords: F.exists(keywords, lambda x: F.contains(F.col("_words"), x))
+        gated = F.filter(table, lambda r: holds(r["first"]) & holds(r["second"]))
         hits = lambda r: F.transform(_places(F.col("_words"), r["regex"]), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"), r["rule"].alias("rule")))
         return F.when(F.col("_words").isNotNull(), F.flatten(F.transform(gated, hits))).otherwise(F.expr(none))
 
