@@ -50,3 +50,12 @@ def test_gate_is_a_superset():
 def test_linear():
     for text in ("0" * 20_000, "1 " * 10_000, '{"a":' * 2_000, "(" * 5_000):
         K.scan(text)
+
+
+def test_metadata_behind_many_objects():
+    items = ", ".join('{"id": %d, "tags": [{}, "a}\\"{"]}' % i for i in range(40))
+    page = '{"items": [' + items + '], "cursor": 1784477618588, "serverTs": "1784477618588", "tel": "+79991234567"}'
+    for text in (page, "log: {x " + page + " and {", '" {' + page):
+        assert [text[a:b] for a, b in K.scan(text)] == ["+79991234567"], text
+    assert len(K.scan(page[:-1])) == 3  # no complete object
+    assert K._objects('{"a": {"b": 1}, } {"c": [1, {}]} {"d" 1} [{}]') == [(6, 14), (18, 32), (42, 44)]

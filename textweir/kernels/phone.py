@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from bisect import bisect_right
 from calendar import monthrange
 from collections.abc import Iterator
 
@@ -83,8 +84,67 @@ def _is_coordinate(m: regex.Match) -> bool:
     return lat <= 90 and lon <= 180
 
 
-def _inside_object(text: str, position: int) -> bool:
-    """Whether some complete JSON object of the text holds ``position``."""
+_JSON_TOKEN = regex.compile(r'"(?:[^"\\]|\\.)*+(?:"|$)|[{}\[\]:,]|[^"{}\[\]:,\s]+', regex.DOTALL)
+
+
+def _objects(text: str) -> list[tuple[int, int]]:
+    """Merged spans of all complete JSON objects: one pass with a stack, from each brace outside of any.
+
+    A container that is no JSON is given up when it closes; the objects inside it stay, and what follows is read on."""
+    spans: list[tuple[int, int]] = []
+    stack: list[list] = []  # [opening, start, whether JSON so far, what may come next]
+
+    def value(good: bool = True) -> None:
+        if stack:
+            top = stack[-1]
+            top[2] = top[2] and good and top[3] in ("value", "value or end")
+            top[3] = "comma or end"
+
+    at = text.find("{")
+    while 0 <= at < len(text):
+        if not stack:
+            at = text.find("{", at)
+            if at < 0:
+                break
+        m = _JSON_TOKEN.search(text, at)
+        if not m:
+            break
+        t, at = m.group(), m.end()
+        if t[0] in "{[":
+            stack.append([t, m.start(), True, "key or end" if t == "{" else "value or end"])
+        elif t[0] in "}]":
+            want = "{" if t == "}" else "["
+            while stack and stack[-1][0] != want:
+                stack.pop()
+                value(False)
+            if stack:
+                _, start, good, state = stack.pop()
+                good = good and state in ("comma or end", "key or end", "value or end")
+                if good and want == "{":
+                    spans.append((start, at))
+                value(good)
+        elif t == ":":
+            stack[-1][2] = stack[-1][2] and stack[-1][3] == "colon"
+            stack[-1][3] = "value"
+        elif t == ",":
+            stack[-1][2] = stack[-1][2] and stack[-1][3] == "comma or end"
+            stack[-1][3] = "key" if stack[-1][0] == "{" else "value"
+        else:
+            try:
+                json.loads(t)
+                good = True
+            except ValueError:
+                good = False
+            if t[0] == '"' and stack[-1][0] == "{" and stack[-1][3] in ("key", "key or end"):
+                stack[-1][2], stack[-1][3] = stack[-1][2] and good, "colon"
+            else:
+                value(good)
+    return merge(spans)
+
+
+def _behind_stray_quote(text: str, position: int) -> bool:
+    """Whether one of the nearest braces opens a JSON object that holds ``position``: for text whose quotes do not pair up, which
+    hides objects from ``_objects``."""
     decode, start = json.JSONDecoder().raw_decode, position
     for _ in range(16):
         start = text.rfind("{", 0, start)
@@ -101,12 +161,17 @@ def _inside_object(text: str, position: int) -> bool:
 
 def _metadata(text: str) -> Iterator[tuple[int, int]]:
     """Code-point spans of cursor and timestamp numbers, in exact ASCII spelling, inside complete JSON objects."""
+    objects = None
     for m in _META.finditer(text):
         try:
             key = json.loads(m["key"])
         except ValueError:
             continue
-        if key not in ("cursor", "serverTs") or not m["n"].isascii() or not _inside_object(text, m.start("n")):
+        if key not in ("cursor", "serverTs") or not m["n"].isascii():
+            continue
+        objects = _objects(text) if objects is None else objects
+        i = bisect_right(objects, (m.start("n"), len(text) + 1)) - 1
+        if (i < 0 or objects[i][1] <= m.start("n")) and not _behind_stray_quote(text, m.start("n")):
             continue
         end, close = m.end(), m["q"]
         rest = text[end:]
