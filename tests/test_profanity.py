@@ -101,3 +101,13 @@ def test_cli(tmp_path, capsys):
     assert D.main([str(bad), "--format", "json"]) == 1
     assert D.main([str(tmp_path / "none.json")]) == 2 and D.main([]) == 2 and D.main(["--x"]) == 2
     assert '"valid": false' in capsys.readouterr().out
+
+
+def test_any_number_of_marks_between_letters():
+    for mark in (".", "-", "*", " . "):
+        for n in (1, 4, 5, 40):
+            word = (mark * n).join("fuck")
+            assert EN.censor(f"so {word}!") == "so " + "*" * len(word) + "!", word
+    spread = ".......".join("сука")
+    assert P.russian_filter().check(spread)
+    assert not EN.check("f" + "." * 3000 + "x" + "." * 3000 + "uck")
