@@ -236,6 +236,17 @@ def test_fingerprints(docs, rows, empty):
     assert fa != fb and fingerprints.edits(fa, fb) and fingerprints.edits(fa, fa) == []
 
 
+def test_fingerprints_of_a_paragraph_that_grows():
+    r = random.Random(3)
+    text = " ".join(words_of(r, 90, 5000)).encode()
+    for n in (100, 250, 255, 256, 257, 300, 400):
+        for more in (1, 10, 100):
+            kept, grown = (fingerprints.leaves(fingerprints.tree(text[:x])) for x in (n, n + more))
+            assert sum(size * c for (_, size), c in (kept - grown).items()) <= 160
+            assert fingerprints.likeness(kept, grown) > 2 * max(0, n - 160) / (2 * n + more)
+            assert n > 255 or list(fingerprints._cuts(text[:n]))[:-1] == [c for c in fingerprints._cuts(text[: n + more]) if c < n]
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 

@@ -12,6 +12,7 @@ follow each other in text order; null ids come first; other columns are ignored;
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_parts, small_batches
 
-#: Chunks average 64 bytes, in paragraphs of under SHORT bytes 8; sections average 8 paragraphs.
-CHUNK_MASK, SHORT_MASK, SHORT, SECTION_MASK = 63, 7, 256, 7
+#: Chunks average 8 bytes in the first SHORT bytes of a paragraph and 32 after them; sections average 8 paragraphs. The place of
+#: a cut never depends on what follows it, and the cuts of the larger mask are cuts of the smaller one too.
+CHUNK_MASK, SHORT_MASK, SHORT, SECTION_MASK = 31, 7, 256, 7
 _FACTORS = [np.uint32(x | 1) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646C, 0xFD7046C5, 0xB55A4F09)]
 
 
@@ -39,8 +41,9 @@ def _cuts(data: bytes) -> list[int]:
     h *= np.uint32(0x2C1B3C6D)
     h ^= h >> np.uint32(12)
     lines = np.flatnonzero(a == 10) + 1
-    sizes = np.diff(np.concatenate([[0], lines, [len(a)]]))
-    mask = np.repeat(np.where(sizes < SHORT, np.uint32(SHORT_MASK), np.uint32(CHUNK_MASK)), sizes)
+    starts = np.concatenate([[0], lines])
+    into = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    mask = np.where(into < SHORT, np.uint32(SHORT_MASK), np.uint32(CHUNK_MASK))
     ends = np.flatnonzero(((h & mask) == 0) | (a == 10)) + 1
     return ends.tolist() if len(ends) and ends[-1] == len(a) else [*ends.tolist(), len(a)]
 
@@ -67,13 +70,13 @@ def tree(data: bytes) -> list[list[list[tuple[bytes, int]]]]:
 
 
 def fingerprint(data: bytes, nodes: list) -> str:
-    """root|section;section with section = hash:paragraph,paragraph and paragraph = its leaves, eight hex digits each."""
+    """root|section;section with section = hash:paragraph,paragraph and paragraph = its leaves, four bytes each, in base 64."""
     digest = lambda *parts: hashlib.blake2b(b"".join(parts), digest_size=8).digest()
     parts, tops = [], []
     for section in nodes:
         below = [digest(b"p", *(leaf for leaf, _ in p)) for p in section]
         tops.append(digest(b"s", *below))
-        parts.append(tops[-1].hex() + ":" + ",".join("".join(leaf.hex() for leaf, _ in p) for p in section))
+        parts.append(tops[-1].hex() + ":" + ",".join(base64.b64encode(b"".join(leaf for leaf, _ in p)).decode().rstrip("=") for p in section))
     root = hashlib.sha256(b"r" + b"".join(tops) + hashlib.sha256(data).digest()).hexdigest()[:32]
     return root + "|" + ";".join(parts)
 
