@@ -6,8 +6,10 @@ proposes candidates; obfuscated ones with a bare "at" must also stand where an a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import regex
 
@@ -34,7 +36,9 @@ FORWARD_PROSE = frozenset("apply code form page shop shopping study work".split(
 PROSE = COPULA_PROSE | OBJECT_PROSE | SENTENCE_PROSE
 
 _LOCAL = r"[a-z0-9._%+\-]"
-_DIRECT = regex.compile(rf"(?<![{_LOCAL[1:-1]}@\p{{L}}\p{{N}}])({_LOCAL}+)@([a-z0-9.\-]+)(?![a-z0-9_@\p{{L}}\p{{N}}])")
+#: The domain takes all it can: an address whose domain runs on into a word is none. Zero-width marks end local and domain.
+_MARK = rf"[{''.join(ZEROS)}]"
+_DIRECT = regex.compile(rf"(?<![{_LOCAL[1:-1]}@\p{{L}}\p{{N}}]{_MARK}*)({_LOCAL}+)@([a-z0-9.\-]++)(?!{_MARK}*[a-z0-9_@\p{{L}}\p{{N}}])")
 _S = r"[ \t\n\r\x0b\x0c ]"
 _H = r"[ \t ]"
 _AT = rf"(?:{_H}*(?P<wrapped>[\[({{<]){_H}*(?:at|@){_H}*[\])}}>]{_H}*|{_H}+at{_H}+|{_H}*@{_H}*)"
@@ -42,7 +46,11 @@ _DOT = rf"(?:{_H}*[\[({{<]{_H}*(?:dot|\.){_H}*[\])}}>]{_H}*|{_H}+dot{_H}+|{_H}*\
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _OBFUSCATED = regex.compile(rf"(?<![\p{{L}}\p{{N}}_.%+@-])(?P<local>[a-z0-9_%+][a-z0-9_%+-]{{2,63}}){_AT}(?P<domain>{_LABEL}(?:{_DOT}{_LABEL})*)(?![\p{{L}}\p{{N}}_@])")
 _DOT_SPLIT = regex.compile(_DOT)
-_WORD = regex.compile(r"e-mail|reply-to|[\p{L}\p{N}']+")
+#: Read from the right: words, what ends a phrase, and a label of up to four words with its colon or dash.
+_LAST_WORD = regex.compile(r"(?r)(?<![\p{L}\p{N}'])(?:e-mail|reply-to)|[\p{L}\p{N}']+")
+_PHRASE_END = regex.compile(r"[.!?;,\n\r:()\[\]{}<>|]")
+_LAST_LABEL = regex.compile(rf"(?r)(?P<label>(?:[\p{{L}}-]+{_H}+){{0,3}}[\p{{L}}-]+){_H}*(?::{_S}*|-{_H}+)")
+_LISTED = regex.compile(rf"{_S}*(?:,{_S}*)?(?:(?:and|or){_S}+)?")
 _TLD = regex.compile(r"[a-z][a-z0-9-]{1,62}")
 #: What a text must hold before the kernel looks at it.
 GATE = r"(?iu)@|＠|﹫|a[\W_]*t|[^\x00-\x7F]"
@@ -81,12 +89,13 @@ def valid_domain(domain: str, cfg: EmailConfig) -> bool:
     return bool(_TLD.fullmatch(labels[-1]))
 
 
-def _fold(text: str) -> tuple[str, list[int]]:
+def _fold(text: str, marks: bool = False) -> tuple[str, list[int]]:
+    """The folded text, without its zero-width marks unless ``marks``, and the code point of each of its characters."""
     if text.isascii():
         return text.lower(), list(range(len(text) + 1))
     out, at = [], []
     for i, f in enumerate(fold_code_points(text)):
-        if text[i] not in ZEROS:
+        if marks or text[i] not in ZEROS:
             out.append(f)
             at += [i] * len(f)
     return "".join(out), [*at, len(text)]
@@ -101,15 +110,17 @@ def _direct(s: str, cfg: EmailConfig) -> Iterator[tuple[int, int]]:
             yield m.end(1) - len(local), m.start(2) + len(trimmed)
 
 
-def _phrase_words(s: str, end: int) -> list[str]:
-    """Words of the phrase that ends at ``end``, nearest first: no sentence mark, line break or list comma between."""
-    begin = max(s.rfind(c, 0, end) for c in ".!?;,\n\r:()[]{}<>|") + 1
-    return [m.group() for m in _WORD.finditer(s, begin, end)][::-1][:8]
+def _phrase_words(s: str, end: int, ends: list[int]) -> list[str]:
+    """Words of the phrase that ends at ``end``, nearest first: no sentence mark, line break or list comma (``ends``) between.
+
+    The rules look no further than eight words back."""
+    i = bisect_left(ends, end)
+    return [m.group() for m in islice(_LAST_WORD.finditer(s, ends[i - 1] + 1 if i else 0, end), 8)]
 
 
 def _label_before(s: str, end: int) -> str | None:
     """The label ('Email:', 'Reply-To -') right before ``end``, else None; '' for a heading that is no e-mail label."""
-    m = regex.search(rf"(?P<label>[\p{{L}}-]+(?:{_H}+[\p{{L}}-]+){{0,3}}?){_H}*(?::{_S}*|-{_H}+)$", s[max(0, end - 60) : end])
+    m = _LAST_LABEL.match(s, 0, end)
     if not m:
         return None
     words = regex.split(rf"{_H}+", m.group("label").strip("-").strip())
@@ -163,8 +174,8 @@ def _introduced(local: str, words: list[str]) -> bool:
     return False
 
 
-def _obfuscated(s: str, cfg: EmailConfig, direct: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    accepted_end, introduced = -1, False
+def _obfuscated(s: str, cfg: EmailConfig) -> Iterator[tuple[int, int]]:
+    accepted_end, introduced, ends = -1, False, None
     at = 0
     while m := _OBFUSCATED.search(s, at):
         local = m.group("local")
@@ -183,8 +194,7 @@ def _obfuscated(s: str, cfg: EmailConfig, direct: list[tuple[int, int]]) -> Iter
             at = m.start("domain")
             continue
         bare = m.group("wrapped") is None
-        gap = s[accepted_end:start] if accepted_end >= 0 else None
-        listed = gap is not None and bool(regex.fullmatch(rf"{_S}*(?:,{_S}*)?(?:(?:and|or){_S}+)?", gap)) and gap.strip() != ""
+        listed = accepted_end >= 0 and bool(_LISTED.fullmatch(s, accepted_end, start)) and s[accepted_end:start].strip() != ""
         if bare:
             label = _label_before(s, start)
             if label is not None:
@@ -192,7 +202,8 @@ def _obfuscated(s: str, cfg: EmailConfig, direct: list[tuple[int, int]]) -> Iter
             elif listed and introduced:
                 ok = True
             else:
-                ok = _introduced(local, _phrase_words(s, start))
+                ends = [e.start() for e in _PHRASE_END.finditer(s)] if ends is None else ends
+                ok = _introduced(local, _phrase_words(s, start, ends))
             if not ok:
                 at = m.end("local") + 1 if local != "at" else end
                 accepted_end = -1
@@ -207,10 +218,11 @@ def matches(text: str, cfg: EmailConfig) -> list[Range]:
     if not text:
         return []
     s, at = _fold(text)
-    found = list(_direct(s, cfg)) if "@" in s else []
+    marked, places = (s, at) if text.isascii() or ZEROS.isdisjoint(text) else _fold(text, True)
+    found = [(places[a], places[b - 1] + 1) for a, b in _direct(marked, cfg)] if "@" in s else []
     if cfg.match_obfuscated and ("at" in s or "@" in s):
-        found += _obfuscated(s, cfg, found)
-    return [(at[a], at[b - 1] + 1) for a, b in found]
+        found += [(at[a], at[b - 1] + 1) for a, b in _obfuscated(s, cfg)]
+    return found
 
 
 def scan(text: str, cfg: EmailConfig = EmailConfig()) -> list[Range]:
