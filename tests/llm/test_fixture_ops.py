@@ -230,9 +230,31 @@ def test_fingerprints(docs, rows, empty):
     want = {i: hashlib.sha256(fingerprints.edited(t, following[i]).encode()).hexdigest() for i, t in unique if i in following}
     have = {r.doc_id: r.edited_sha256 for r in got}
     assert all(have[i] == h for i, h in want.items())
+    own = {r.doc_id: r for r in got}
+    for i, t in unique:
+        assert own[i].n_chars == len(t) and own[i].fingerprint == fingerprints.fingerprint(fingerprints.tree(t.encode()))
+        if i in following:  # the likeness follows from the fingerprints alone
+            after, changed = following[i], (t[: len(t) - len(t) // 4] + following[i][: len(t) // 4]).encode()
+            assert own[i].edited_fingerprint == fingerprints.fingerprint(fingerprints.tree(changed))
+            next_print = fingerprints.fingerprint(fingerprints.tree(after.encode()))
+            for near, other in ((own[i].near_edited, own[i].edited_fingerprint), (own[i].near_next, next_print)):
+                a, b = (sorted(fingerprints.leaves_of(f).elements()) for f in (own[i].fingerprint, other))
+                both, left = 0, list(b)
+                for leaf in a:
+                    if leaf in left:
+                        left.remove(leaf)
+                        both += leaf[1]
+                total = sum(n for _, n in a) + sum(n for _, n in b)
+                assert abs(near - (2 * both / total if total else 1.0)) < 1e-12
+    last = max(i for i, _ in rows if i is not None)
+    assert {r.edited_sha256 for r in got if r.doc_id == last} == {hashlib.sha256(fingerprints.edited(dict(rows)[last], keyed[0][1] or "").encode()).hexdigest()} or keyed[0][0] is None
+    roots = defaultdict(set)
+    for r in got:
+        roots[r.fingerprint.split("|")[0]].add(r.fingerprint)
+    assert all(len(v) == 1 for v in roots.values()) and len(roots) == len({t or "" for _, t in rows})
     assert fingerprints.op4(empty).collect() == []
     a, b = "one line here\n" * 3 + "last words", "one line here\n" * 3 + "other words"
-    fa, fb = (fingerprints.fingerprint(x.encode(), fingerprints.tree(x.encode())) for x in (a, b))
+    fa, fb = (fingerprints.fingerprint(fingerprints.tree(x.encode())) for x in (a, b))
     assert fa != fb and fingerprints.edits(fa, fb) and fingerprints.edits(fa, fa) == []
 
 

@@ -2,12 +2,15 @@
 
 Paragraphs are lines; a paragraph's bytes are cut into chunks where a rolling hash of eight bytes says so, so an edit
 moves few boundaries; sections are runs of paragraphs that end where a paragraph's hash says so. A leaf is a chunk's
-hash, a node the hash of its children, the root that of the sections. The fingerprint is the root and the tree, as text.
+hash of 16 bytes, a node the hash of its children, the root that of the sections: roots are equal if and only if the
+texts are. The fingerprint is the root and the tree as text, a leaf as four bytes of its hash and its length (up to 255).
 Equal texts have equal fingerprints; different roots mean different texts, and differing branches locate the edit.
-Likeness is the share of leaf bytes (by chunk, with multiplicity) that two trees have in common.
+Likeness is the share of leaf bytes (by chunk, with multiplicity) that two fingerprints have in common.
 
 Null text is empty; an empty text is a root without sections; two empty texts are alike (1). Rows that repeat a doc_id
-follow each other in text order; null ids come first; other columns are ignored; an empty table gives no rows.
+follow each other in the order of their texts' hashes; null ids come first; other columns are ignored; an empty table
+gives no rows. Texts travel once, to the range of ids that they belong to; a range's first text also goes to the range
+before, as the text that follows there.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_parts, small_batches
+from .common import map_arrow, shuffle_parts
 
 #: Chunks average 8 bytes in the first SHORT bytes of a paragraph and 32 after them; sections average 8 paragraphs. The place of
 #: a cut never depends on what follows it, and the cuts of the larger mask are cuts of the smaller one too.
@@ -57,7 +60,7 @@ def tree(data: bytes) -> list[list[list[tuple[bytes, int]]]]:
         return []
     for end in _cuts(data):
         chunk = data[start:end]
-        paragraph.append((hashlib.blake2b(chunk, digest_size=4).digest(), end - start))
+        paragraph.append((hashlib.blake2b(chunk, digest_size=16).digest(), end - start))
         start = end
         if chunk[-1] == 10:
             sections[-1].append(paragraph)
@@ -69,16 +72,30 @@ def tree(data: bytes) -> list[list[list[tuple[bytes, int]]]]:
     return [s for s in sections if s]
 
 
-def fingerprint(data: bytes, nodes: list) -> str:
-    """root|section;section with section = hash:paragraph,paragraph and paragraph = its leaves, four bytes each, in base 64."""
-    digest = lambda *parts: hashlib.blake2b(b"".join(parts), digest_size=8).digest()
+def fingerprint(nodes: list) -> str:
+    """root|section;section with section = hash:paragraph,paragraph and paragraph = its leaves, five bytes each, in base 64."""
+    digest = lambda *parts: hashlib.blake2b(b"".join(parts), digest_size=16).digest()
     parts, tops = [], []
     for section in nodes:
         below = [digest(b"p", *(leaf for leaf, _ in p)) for p in section]
         tops.append(digest(b"s", *below))
-        parts.append(tops[-1].hex() + ":" + ",".join(base64.b64encode(b"".join(leaf for leaf, _ in p)).decode().rstrip("=") for p in section))
-    root = hashlib.sha256(b"r" + b"".join(tops) + hashlib.sha256(data).digest()).hexdigest()[:32]
-    return root + "|" + ";".join(parts)
+        parts.append(tops[-1][:8].hex() + ":" + ",".join(base64.b64encode(b"".join(leaf[:4] + bytes((min(n, 255),)) for leaf, n in p)).decode().rstrip("=") for p in section))
+    return digest(b"r", *tops).hex() + "|" + ";".join(parts)
+
+
+def leaves(nodes: list) -> Counter:
+    """A tree's leaves as its fingerprint holds them."""
+    return Counter((leaf[:4], min(n, 255)) for s in nodes for p in s for leaf, n in p)
+
+
+def leaves_of(print_: str) -> Counter:
+    """The leaves that a fingerprint holds."""
+    out: Counter = Counter()
+    for section in filter(None, print_.split("|")[1].split(";")):
+        for paragraph in section.split(":")[1].split(","):
+            raw = base64.b64decode(paragraph + "=" * (-len(paragraph) % 4))
+            out.update((raw[i : i + 4], raw[i + 4]) for i in range(0, len(raw), 5))
+    return out
 
 
 def likeness(a: Counter, b: Counter) -> float:
@@ -88,10 +105,6 @@ def likeness(a: Counter, b: Counter) -> float:
     return 2 * both / total if total else 1.0
 
 
-def leaves(nodes: list) -> Counter:
-    return Counter(leaf for s in nodes for p in s for leaf in p)
-
-
 def edits(a: str, b: str) -> list[tuple[int, int]]:
     """(section, paragraph) places of ``a``'s fingerprint whose branch is not in ``b``'s."""
     if a.split("|")[0] == b.split("|")[0]:
@@ -110,53 +123,54 @@ def edited(text: str, following: str) -> str:
 
 def compare(text: str, following: str) -> tuple:
     data, changed = text.encode(), edited(text, following).encode()
-    own, other, after = tree(data), tree(changed), tree(following.encode())
+    own, other = tree(data), tree(changed)
     mine = leaves(own)
-    return len(text), hashlib.sha256(changed).hexdigest(), fingerprint(data, own), fingerprint(changed, other), likeness(mine, leaves(other)), likeness(mine, leaves(after))
+    return len(text), hashlib.sha256(changed).hexdigest(), fingerprint(own), fingerprint(other), likeness(mine, leaves(other)), likeness(mine, leaves(tree(following.encode())))
 
 
 _RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.int32()), ("text", pa.string())])
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of one range: each with its follower; the first and last texts go out for the neighbours (edge 1, 2)."""
-    part, held = TaskContext.get().partitionId(), None
+    """Rows of ranges in order, each with its follower; a range's last row is the first of the next range, which only follows."""
+    held = None
     for batch in batches:
         out = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            if held is None:
-                out.append((doc, *[None] * 6, part, 1, text))
-            else:
-                out.append((held[0], *compare(held[1], text), None, 0, None))
-            held = (doc, text)
-        yield _rows(out)
-    if held:
-        yield _rows([(held[0], *[None] * 6, part, 2, held[1])])
-
-
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield _rows([(doc, *compare(text, after), None, 0, None) for doc, text, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after")))]).select(_ARROW.names[:7])
+        for part, ahead, doc, text in zip(*(batch.column(c).to_pylist() for c in ("_part", "_ahead", "doc_id", "text"))):
+            if held and held[0] == part:
+                out.append((held[1], *compare(held[2], text)))
+            held = None if ahead else (part, doc, text)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+
+
+def _range_starts(keys: DataFrame) -> list[tuple[int, int]]:
+    """The first (id, text hash) of each of as many ranges as there are shuffle partitions, with about as many rows each."""
+    dealt = keys.repartitionByRange(shuffle_parts(keys.sparkSession), "_id", "_hash").groupBy(F.spark_partition_id().alias("p"))
+    return sorted((r.k["_id"], r.k["_hash"]) for r in dealt.agg(F.min(F.struct("_id", "_hash")).alias("k")).collect())
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, in ascending doc_id."""
-    spark = documents.sparkSession
-    small_batches(spark)
     d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = ["doc_id", F.xxhash64("text")]
-    done = d.repartitionByRange(shuffle_parts(spark), *key).sortWithinPartitions(*key).mapInArrow(_chain, _RESULT + ", part int, edge int, text string")
-    done = materialise(done, "fingerprints")
-    edge = done.where("edge > 0").select("doc_id", "part", "edge", "text")  # two rows a range
-    order = Window.orderBy("part", "edge")
-    after = F.coalesce(F.lead("text").over(order), F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    last = edge.withColumn("after", after).where("edge = 2").select("doc_id", "text", "after")
-    return done.where("edge = 0").select(*_ARROW.names[:7]).unionByName(last.mapInArrow(_ends, _RESULT))
+    key = {"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_hash": F.xxhash64("text")}
+    starts = _range_starts(d.select(*(c.alias(n) for n, c in key.items())))
+    if not starts:
+        return map_arrow(d.withColumns({"_part": F.lit(0), "_ahead": F.lit(False)}), _chain, _RESULT)
+    dtype = np.dtype([("id", np.int64), ("hash", np.int64)])
+    bounds = np.array(starts, dtype)
+
+    @F.pandas_udf("array<int>")
+    def ranges(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        rows = np.empty(len(ids), dtype)
+        rows["id"], rows["hash"] = ids, hashes
+        at = np.searchsorted(bounds, rows, "right") - 1
+        first = bounds[at] == rows
+        return pd.Series([[p, (p - 1) % len(bounds)] if f else [p] for p, f in zip(at.tolist(), first.tolist())])
+
+    dealt = d.withColumns(key).withColumn("_ranges", ranges("_id", "_hash")).select("*", F.posexplode("_ranges").alias("_copy", "_part")).withColumn("_ahead", F.col("_copy") > 0)
+    dealt = dealt.repartitionById(len(bounds), "_part").sortWithinPartitions("_part", "_ahead", "_id", "_hash")
+    return map_arrow(dealt.select("_part", "_ahead", "doc_id", "text"), _chain, _RESULT)
 
 
 def op4(documents: DataFrame) -> DataFrame:
