@@ -27,10 +27,23 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/textweir-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most ``rows`` rows an Arrow batch for the steps that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialise(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later stages neither recompute it nor depend on lost executors."""
     path = f"{work_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(df.sparkSession, batch_rows):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

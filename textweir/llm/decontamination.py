@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, blocks, materialise, plain_words, small_batches, without
+from .common import Memo, as_bytes, blocks, map_arrow, materialise, plain_words, without
 
 WINDOW = 13
 #: Text bytes of a block of the index.
@@ -49,7 +49,6 @@ def windows_of(items: list[tuple], size: int = WINDOW) -> dict[tuple[int, ...],
 
 def build_index(documents: DataFrame, vocabulary: set[int] | None) -> DataFrame:
     """Postings by block. ``vocabulary``: term hashes worth storing (bounded by the benchmark); None stores all terms."""
-    small_batches(documents.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(lambda w: t if (t := _term(w)) and (vocabulary is None or t in vocabulary) else 0)
@@ -71,7 +70,7 @@ def build_index(documents: DataFrame, vocabulary: set[int] | None) -> DataFrame:
                 schema=pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("offsets", pa.binary()), ("positions", pa.binary())]),
             )
 
-    return documents.select("doc_id", as_bytes().alias("text")).mapInArrow(index, INDEX)
+    return map_arrow(documents.select("doc_id", as_bytes().alias("text")), index, INDEX)
 
 
 def _exact(tokens, terms, offsets, positions, rows, windows):
@@ -205,7 +204,7 @@ def search_index(index: DataFrame, windows: dict[tuple[int, ...], set], slop: in
                     schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit_from", pa.list_(pa.int32())), ("hit_to", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("n_near", pa.int64()), ("block", pa.string()), ("ordinal", pa.int32())]),
                 )
 
-    return index.mapInArrow(search, HITS)
+    return map_arrow(index, search, HITS)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, slop: int = 2, share: float = 0.8, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:

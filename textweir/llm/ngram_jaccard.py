@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, materialise, reclaim, shuffle_parts, small_batches, without
+from .common import as_bytes, blocks, map_arrow, materialise, reclaim, shuffle_parts, without
 from .shingles import components, mix, shingle_set, word_memo
 
 SIMILARITY = 80  # per cent
@@ -39,8 +39,11 @@ SKETCH = 16
 SMALL_KEY = 32
 #: Nodes of one key in one map block that go to the stash.
 CROWD = 64
-#: Text bytes of a map block; bytes of estimated input a bucket of keys; nodes of a block of a large key.
-BLOCK_BYTES, BUCKET_BYTES, BLOCK_NODES = 6_000_000, 8_000_000, 8192
+#: Text bytes of a map block; bytes of estimated input a bucket of keys, and the fewest bits of a bucket's number, so that a
+#: block's keys travel in rows of some kilobytes; nodes of a block of a large key; entries of a row of the stash.
+BLOCK_BYTES, BUCKET_BYTES, BUCKET_BITS, BLOCK_NODES, STASH = 6_000_000, 4_000_000, 12, 8192, 4096
+#: Rows of whole sets in an Arrow batch.
+SET_ROWS = 100
 NULL_ID = -(2**63)
 #: Nodes (16 bytes each) that may be broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
@@ -140,7 +143,8 @@ def _map_blocks(bucket_bits: int, similarity: int, k: int):
             count = np.diff(np.append(starts, len(key)))
             crowd = np.repeat(count > CROWD, count)
             if crowd.any():
-                yield _rows(kind=[LARGE], bucket=[int(node[0] % np.uint64(1 << 20))], keys=[key[crowd].tobytes()], nodes=[node[crowd].tobytes()])
+                parts = [(key[crowd][i : i + STASH], node[crowd][i : i + STASH]) for i in range(0, int(crowd.sum()), STASH)]
+                yield _rows(kind=[LARGE] * len(parts), bucket=[int(n[0] % np.uint64(1 << 20)) for _, n in parts], keys=[k.tobytes() for k, _ in parts], nodes=[n.tobytes() for _, n in parts])
                 marks = key[starts[count > CROWD]]  # node 0 tells the bucket that the key is large
                 key, node = np.concatenate([key[~crowd], marks]), np.concatenate([node[~crowd], np.zeros(len(marks), np.uint64)])
                 order = np.argsort(key, kind="stable")
@@ -206,7 +210,7 @@ def _unpack(df: DataFrame, names: tuple[str, str]) -> DataFrame:
             for x, y in zip(batch.column("keys").to_pylist(), batch.column("nodes").to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], names=list(names))
 
-    return df.select("keys", "nodes").mapInArrow(run, f"{names[0]} bigint, {names[1]} bigint")
+    return map_arrow(df.select("keys", "nodes"), run, f"{names[0]} bigint, {names[1]} bigint")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -229,7 +233,7 @@ def _within_sketch(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart)], names=["a", "b", "apart"]).filter(keep)
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint, apart bigint")
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a bigint, b bigint, apart bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -248,8 +252,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     pairs = pairs.select("a", "b")
     if pairs.count() <= BROADCAST_NODES:  # only the sets of these pairs travel: that of a with the pair, that of b to it
         ends = F.broadcast(pairs.select("b").distinct())
-        return side("a").join(F.broadcast(pairs), "a").join(side("b").join(ends, "b", "left_semi"), "b").mapInArrow(run, "a bigint, b bigint")
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
+        return map_arrow(side("a").join(F.broadcast(pairs), "a").join(side("b").join(ends, "b", "left_semi"), "b"), run, "a bigint, b bigint")
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a bigint, b bigint")
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -269,7 +273,7 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     d = documents.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), as_bytes().alias("text"))
     if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
-    sets = materialise(d.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node bigint, tokens binary"), "sets")
+    sets = materialise(map_arrow(d.join(wanted, "doc_id").select("node", "text"), run, "node bigint, tokens binary"), "sets", SET_ROWS)
     if sets.groupBy("node").count().where("count > 1").isEmpty():
         return sets
     return materialise(sets.dropDuplicates(["node"]), "sets")  # rows that repeat a doc_id
@@ -341,7 +345,7 @@ def _large_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame, similari
     m = m.withColumn("minor", F.col("label") != F.col("major")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     m = m.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("own"))))
     m = m.select("key", "block", "node", "n", "label", "minor", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "node")
-    return m.mapInArrow(_propose(similarity, forest), "a bigint, b bigint").distinct()
+    return map_arrow(m, _propose(similarity, forest), "a bigint, b bigint").distinct()
 
 
 def _all_large_pairs(large: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
@@ -351,17 +355,17 @@ def _all_large_pairs(large: DataFrame, nodes: DataFrame, similarity: int) -> Dat
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     m = m.withColumns({"label": F.col("node"), "minor": F.col("own") <= F.col("other"), "block": F.least("own", "other").cast("bigint") * F.col("n_blocks") + F.greatest("own", "other")})
     m = m.select("key", "block", "node", "n", "label", "minor", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "node")
-    return m.mapInArrow(_propose(similarity, False), "a bigint, b bigint").distinct()
+    return map_arrow(m, _propose(similarity, False), "a bigint, b bigint").distinct()
 
 
 def _candidates(documents: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, bool]:
     """rows (doc_id, node, n), nodes, pairs of small keys within the Hamming bound, large keys' members, sets, whether there are large keys."""
     spark = documents.sparkSession
-    small_batches(spark)
     size = int(str(documents.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bits = min(max((size // BUCKET_BYTES).bit_length(), 6), 24)
+    bits = min(max((size // BUCKET_BYTES).bit_length(), BUCKET_BITS), 24)
     d = documents.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), as_bytes().alias("text"))
-    found = materialise(d.mapInArrow(_map_blocks(bits, similarity, k), _SCHEMA).repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _SCHEMA), "found")
+    keyed = map_arrow(d, _map_blocks(bits, similarity, k), _SCHEMA).repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket")
+    found = materialise(map_arrow(keyed, _match, _SCHEMA), "found")
     reclaim(spark)
     rows = found.where(F.col("kind") == NODE).select("doc_id", "node", "n")
     nodes = found.where((F.col("kind") == NODE) & F.col("sketch").isNotNull())
@@ -388,7 +392,7 @@ def links(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if any_large:
         pairs = materialise(pairs.unionAll(_all_large_pairs(large, nodes, similarity)).distinct(), "proposed")
-    return rows, materialise(_verified(pairs, sets, similarity), "links")
+    return rows, materialise(_verified(pairs, sets, similarity), "links", SET_ROWS)
 
 
 def link_counts(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
@@ -410,24 +414,24 @@ def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE)
     # a node's closest pair first; what then still lies across components is verified in full
     ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "apart").unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "apart"))
     closest = ends.groupBy("u").agg(F.min_by("v", "apart").alias("v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    links = materialise(_verified(materialise(closest, "closest"), sets, similarity), "links")
+    links = materialise(_verified(materialise(closest, "closest"), sets, similarity), "links", SET_ROWS)
     labels = components(links)
     reclaim(spark)
     label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     across = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
     across = materialise(across.select("a", "b"), "across")
     if not across.isEmpty():
-        links = links.unionAll(materialise(_verified(across, sets, similarity), "links"))
+        links = links.unionAll(materialise(_verified(across, sets, similarity), "links", SET_ROWS))
         labels = components(links)
     if any_large:  # keys of several blocks: their members against one of them, so that few are strays afterwards
         vast = materialise(large.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("a")).where(F.col("c") > BLOCK_NODES), "vast")
         if not vast.isEmpty():
             stars = materialise(large.join(vast, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
-            links = links.unionAll(materialise(_verified(stars, sets, similarity), "links"))
+            links = links.unionAll(materialise(_verified(stars, sets, similarity), "links", SET_ROWS))
             labels = components(links)
     for forest in (True, False) if any_large else ():  # a spanning choice of pairs; then all that still lie across components
         found = materialise(_large_pairs(large, nodes, labels, similarity, forest), "proposed")
-        more = materialise(_verified(found, sets, similarity), "links")
+        more = materialise(_verified(found, sets, similarity), "links", SET_ROWS)
         reclaim(spark)
         if not more.isEmpty():
             links = links.unionAll(more)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, materialise, parts_for, small_batches
+from .common import Memo, map_arrow, materialise, parts_for
 
 CAPACITY = 2048
 #: Pieces a shard; its bins waste less than one sequence.
@@ -126,7 +126,6 @@ def encode_blocks(encode: ChunkEncoder, texts: list[str], chars: int = 4_000_000
 def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: where it starts in its document's ids, its length and the CRC-32 of its ids."""
     path = tokenizer or default_tokenizer()
-    small_batches(documents.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
@@ -144,7 +143,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
                     out["ids_crc32"].append(zlib.crc32(ids[4 * start : 4 * (start + capacity)]))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
-    return documents.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return map_arrow(documents.select("doc_id", "text"), cut, PIECES)
 
 
 def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[int]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, small_batches
+from .common import Memo, as_bytes, map_arrow
 
 #: Documents on which the scorer is trained.
 TRAIN_ROWS = 6000
@@ -149,7 +149,6 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs:
 
 def _each(documents: DataFrame, schema: str, names: list[str], make):
     """Map whole texts: ``make(memo)`` gives a function of a text."""
-    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make(Memo(_shape, 200_000))
@@ -159,7 +158,7 @@ def _each(documents: DataFrame, schema: str, names: list[str], make):
             kept = [x for x in batch.schema.names if x != "_tw_text"]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([g[i] for g in got], pa.int64() if i == 1 else pa.float64()) for i in range(len(names)))], names=[*kept, *names])
 
-    return documents.mapInArrow(run, schema)
+    return map_arrow(documents, run, schema)
 
 
 def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float, np.ndarray]:
@@ -172,7 +171,7 @@ def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray,
     prior, p = expectation_maximisation(np.array([r["pattern"] for r in seen]), np.array([r["count"] for r in seen], float))
     share = min(1.0, train_rows / sum(r["count"] for r in seen))
     chosen = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = chosen.select(as_bytes().alias("text")).mapInArrow(_features_of, "pattern bigint, slots array<bigint>, shares array<double>").limit(2 * train_rows).collect()
+    sample = map_arrow(chosen.select(as_bytes().alias("text")), _features_of, "pattern bigint, slots array<bigint>, shares array<double>").limit(2 * train_rows).collect()
     v = np.array([unpack(r["pattern"]) for r in sample]).reshape(-1, len(LABELLERS))
     return train([(np.array(r["slots"], np.int64), np.array(r["shares"])) for r in sample], posterior(v, prior, p)), prior, p
 

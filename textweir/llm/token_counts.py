@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, small_batches
+from .common import Memo, map_arrow
 
 #: How the tokenizer splits text into pre-tokens (fixed value of the public vocabulary).
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -147,7 +147,6 @@ def sample_edits(text: str) -> list[tuple[int, int, str]]:
 def token_counts(documents: DataFrame, tokenizer: str | None = None, edits=sample_edits) -> DataFrame:
     """doc_id, n_chars, n_tokens, and after ``edits(text)``: n_edited_chars, n_edited_tokens, n_reencoded (characters)."""
     path = tokenizer or default_tokenizer()
-    small_batches(documents.sparkSession)
     names = ["n_chars", "n_tokens", "n_edited_chars", "n_edited_tokens", "n_reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +160,7 @@ def token_counts(documents: DataFrame, tokenizer: str | None = None, edits=sampl
                 rows.append((len(text), before, len(tree.text), tree.tokens, again))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))], names=["doc_id", *names])
 
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return map_arrow(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def op9(documents: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
+from .common import as_bytes, map_arrow
 
 #: Labelled documents used at most: half of them toxic if there are as many.
 TRAIN_ROWS = 6000
@@ -221,7 +221,6 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
 
 def score(documents: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, score and the guessed language of every whole text."""
-    small_batches(documents.sparkSession)
     names = [*CUES, "none"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +240,7 @@ def score(documents: DataFrame, net: Network | None) -> DataFrame:
             got = net.probability(np.concatenate(z), langs) if net and docs else np.zeros(len(docs))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.astype(np.float64)), pa.array([names[i] for i in langs], pa.string())], names=["doc_id", "score", "guessed_lang"])
 
-    return documents.select("doc_id", as_bytes().alias("text")).mapInArrow(run, "doc_id bigint, score double, guessed_lang string")
+    return map_arrow(documents.select("doc_id", as_bytes().alias("text")), run, "doc_id bigint, score double, guessed_lang string")
 
 
 def held_out(column: str = "doc_id"):
