@@ -10,10 +10,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import accumulate
 
 import regex
 
-from .text import ZEROS, censor, cp_to_u16, merge, u16_to_cp
+from .text import ZEROS, censor, merge, u16_to_cp, u16_width
 
 SEVERITIES = ("soft", "low", "medium", "high")
 CATEGORIES = ("OBSCENE_MAT", "STRONG_INSULT", "VULGAR", "EUPHEMISM", "TRANSLIT")
@@ -23,6 +24,8 @@ LATIN_TO_CYRILLIC = str.maketrans("aeopcyxkmhtb", "аеорсухкмнть")
 _GONE = "￿"
 _TOKEN = regex.compile(r"[\p{L}\p{N}_-][\p{L}\p{N}\p{M}_\-￿]*")
 _WORD = regex.compile(r"[\p{L}\p{N}]")
+_TAIL = regex.compile(r"-\p{L}+")
+_ASTRAL = regex.compile(r"[\U00010000-\U0010FFFF]")
 #: What may stand between the letters of a loose rule: any number of marks, or a few with digits among them.
 _BETWEEN = r"(?:[^\p{L}\p{N}]*|[^\p{L}\p{N}]{0,3}\p{N}[^\p{L}]{0,3})"
 
@@ -82,19 +85,34 @@ class Options:
         return Options(both(self.categories, other.categories), both(self.severities, other.severities), least)
 
 
+class _Folds(dict):
+    """Code point -> its folded character, worked out when first met."""
+
+    def __init__(self, cyrillic: bool):
+        super().__init__()
+        self.cyrillic = cyrillic
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        if c in ZEROS:
+            out = _GONE
+        else:
+            c = chr(point - 0xFEE0) if 0xFF01 <= point <= 0xFF5E else c
+            low = c.lower()
+            out = (low if len(low) == 1 else c).replace("ё", "е")
+            out = out.translate(LATIN_TO_CYRILLIC) if self.cyrillic else out
+        self[point] = out
+        return out
+
+
+_FOLDS = {"default": _Folds(True), "latin-preserving": _Folds(False)}
+
+
 def fold(text: str, strategy: str = "default") -> str:
     """Same length: lower case, full-width ASCII to ASCII, yo to ye, zero-width marks to one mark, look-alikes to Cyrillic."""
-    out = []
-    for c in text:
-        if c in ZEROS:
-            out.append(_GONE)
-            continue
-        if 0xFF01 <= ord(c) <= 0xFF5E:
-            c = chr(ord(c) - 0xFEE0)
-        low = c.lower()
-        out.append(low if len(low) == 1 else c)
-    s = "".join(out).replace("ё", "е")
-    return s if strategy == "latin-preserving" else s.translate(LATIN_TO_CYRILLIC)
+    if strategy == "latin-preserving" and text.isascii():
+        return text.lower()
+    return text.translate(_FOLDS[strategy])
 
 
 _ATOM = regex.compile(r"\[\^?\]?[^\]]*\]|\\p\{[^}]*\}|\\.|\(\?[:=!<][=!]?|\(|\)|\||[?*+]\??|\{\d+(?:,\d*)?\}\??|.", regex.DOTALL)
@@ -122,8 +140,24 @@ def loosened(source: str, stretch: bool) -> str:
     return "".join(out)
 
 
+#: Where a match may begin and end: at no letter or digit, seen through combining and zero-width marks.
+_BEGIN, _END_OF = rf"(?<![\p{{L}}\p{{N}}][\p{{Mn}}{_GONE}]*)", rf"(?![\p{{Mn}}{_GONE}]*[\p{{L}}\p{{N}}])"
+#: Pieces of one or two letters or digits with white space (and marks) between them, in which a spread word can stand.
+_SPREAD = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}](?:[^\p{L}\p{N}\s]*+[\p{L}\p{N}])?[^\p{L}\p{N}\s]*+\s[^\p{L}\p{N}]*+)+[\p{L}\p{N}](?:[^\p{L}\p{N}\s]*+[\p{L}\p{N}])?(?![\p{L}\p{N}])[^\p{L}\p{N}\s]*+")
+#: Chunks and spread pieces longer than this are not remembered; so many others are.
+_SHORT, _REMEMBERED = 64, 200_000
+MODES = ("strict", "loose")
+
 #: Two views in which the letters of a loosened match stand together: with the digits that stand for letters, and without.
-_SQUEEZE = (regex.compile(r"[^\p{L}@0369]+|([\p{L}@])(?=\1)"), regex.compile(r"[^\p{L}@]+|([\p{L}@])(?=\1)"))
+_SQUEEZE = (regex.compile(r"[^\p{L}@\n]+|([\p{L}@])(?=\1)"), regex.compile(r"[^\p{L}@0369\n]+|([\p{L}@])(?=\1)"))
+_DIGITS, _MARKS = regex.compile("[0369]"), regex.compile(rf"[\p{{M}}{_GONE}]+")
+
+
+def _views(s: str) -> Iterator[str]:
+    """The squeezed views of lines: letters only, then with the digits if there are any."""
+    yield _SQUEEZE[0].sub("", s)
+    if _DIGITS.search(s):
+        yield _SQUEEZE[1].sub("", s)
 
 
 def _squeezed(source: str) -> str:
@@ -174,7 +208,7 @@ class ProfanityFilter:
         d, strategy = self.dictionary, self.strategy
         rules = sorted(d.rules if d else (), key=lambda r: -len(r.source))
         strict = [(p, r) for r in rules if r.strict and (p := _compiled(f"(?:{fold_pattern(r.source)})"))]
-        loose = [(p, r) for r in rules if r.loose and (p := _compiled(loosened(fold_pattern(r.source), r.loose.stretch)))]
+        loose = [(p, r) for r in rules if r.loose and (p := _compiled(f"{_BEGIN}(?:{loosened(fold_pattern(r.source), r.loose.stretch)}){_END_OF}"))]
         known = [t for t in terms(self.strict_terms)]
         words = {fold(t, strategy): t for t in known if _TOKEN.fullmatch(fold(t, strategy))}
         phrases = [p for t in known if fold(t, strategy) not in words and (p := _compiled(literal_pattern(t, False, strategy)))]
@@ -182,7 +216,8 @@ class ProfanityFilter:
         object.__setattr__(self, "_parts", (strict, loose, words, phrases, free))
         # one alternation of all sources, to skip texts and tokens that no rule can match
         plain = [_squeezed(fold_pattern(r.source)) for r in rules if r.loose] + [_squeezed(literal_pattern(t, False, strategy)) for t in terms(self.loose_terms)]
-        object.__setattr__(self, "_any", (_either([p.pattern for p, _ in strict]), _either(plain), {}))
+        literal = regex.compile(r"\L<words>", words=list(words)) if words else None
+        object.__setattr__(self, "_any", (_either([p.pattern for p, _ in strict]), _either(plain), {}, {}, literal))
 
     @property
     def strategy(self) -> str:
@@ -207,7 +242,7 @@ class ProfanityFilter:
         def first(t: str) -> Rule | None:
             return next((r for p, r in rules if p.fullmatch(t)), None) if t and anything and anything.fullmatch(t) else None
 
-        clean = regex.sub(r"[\p{M}￿]", "", token)
+        clean = token if token.isascii() else _MARKS.sub("", token)
         hit = first(clean) or first(clean.strip("-_"))
         out: list[tuple[int, int, Rule | None]] = []
         if hit or clean in words:
@@ -215,53 +250,93 @@ class ProfanityFilter:
         elif "-" in token:
             at = 0
             for part in token.split("-"):
-                hit = first(regex.sub(r"[\p{M}￿]", "", part))
+                hit = first(_MARKS.sub("", part))
                 if hit:
                     out.append((at, at + len(part), hit))
                 at += len(part) + 1
         memo[token] = tuple(out) or None
         return memo[token]
 
-    def _strict(self, s: str) -> Iterator[tuple[int, int, Rule | None]]:
-        phrases = self._parts[3]
-        for m in _TOKEN.finditer(s):
-            found = self._token(m.group())
-            if found is not None:
-                for a, b, rule in found:
-                    yield m.start() + a, m.start() + b, rule
-        for p in phrases:
-            for m in p.finditer(s):
-                if _clear(s, m.start(), m.end()):
-                    yield m.start(), m.end(), None
-
-    def _loose(self, s: str) -> Iterator[tuple[int, int, Rule | None]]:
-        _, rules, _, _, free = self._parts
-        anything = self._any[1]
-        if not anything or not any(anything.search(q.sub("", s)) for q in _SQUEEZE):
-            return
-        for p, r in [*rules, *((p, None) for p in free)]:
-            for m in p.finditer(s):
-                a, b = m.span()
-                if r and r.loose.hyphen_tail and s[b : b + 1] == "-":
-                    tail = regex.match(r"-\p{L}+", s[b:])
-                    b += tail.end() if tail and tail.end() > r.loose.hyphen_tail_min else 0
-                if b > a and _clear(s, a, b) and _one_word(s[a:b]):
-                    yield a, b, r
-
-    def matches(self, text: str, options: Options = Options()) -> Iterator[Match]:
+    def _chunk(self, chunk: str, spread: bool) -> tuple[tuple, tuple]:
+        """Strict and loose matches (place, end, rule number, rule) inside a chunk without white space, or the loose ones that
+        reach over the white space of a spread stretch; remembered if it is short."""
+        memo = self._any[3]
+        if (key := (chunk, spread)) in memo:
+            return memo[key]
+        strict: list[tuple] = []
+        loose: list[tuple] = []
+        if not spread:
+            for m in _TOKEN.finditer(chunk):
+                strict += [(m.start() + a, m.start() + b, 0, r) for a, b, r in self._token(m.group()) or ()]
+        anything, (_, rules, _, _, free) = self._any[1], self._parts
+        if anything and any(map(anything.search, _views(chunk.replace("\n", " ")))):
+            for number, (p, r) in enumerate([*rules, *((p, None) for p in free)]):
+                for m in p.finditer(chunk):
+                    a, b = m.span()
+                    if r and r.loose.hyphen_tail and chunk[b : b + 1] == "-":
+                        tail = _TAIL.match(chunk, b)
+                        b += len(tail.group()) if tail and len(tail.group()) > r.loose.hyphen_tail_min else 0
+                    if b > a and _clear(chunk, a, b) and (len(chunk[a:b].split()) > 1) == spread and _one_word(chunk[a:b]):
+                        loose.append((a, b, number, r))
+        found = (tuple(strict), tuple(loose))
+        if len(chunk) <= _SHORT:
+            if len(memo) >= _REMEMBERED:
+                memo.clear()
+            memo[key] = found
+        return found
+
+    def _clean(self, lines: str) -> bool:
+        """Whether chunks, one a line, hold nothing that a rule or literal could match; one look at all of them together."""
+        strict, loose, _, _, literal = self._any
+        plain = lines if lines.isascii() else _MARKS.sub("", lines)
+        return not (strict and strict.search(plain) or literal and literal.search(plain) or loose and any(map(loose.search, _views(lines))))
+
+    def _found(self, s: str, modes: tuple[str, ...]) -> Iterator[tuple[str, int, int, Rule | None]]:
+        """(mode, place, end, rule) in a folded text: a match stands in one chunk or in a spread stretch, so each different one
+        is looked at once, and texts whose chunks all are known to be clean cost no more than the split."""
+        chunks = s.split()
+        memo = self._any[3]
+        fresh = [c for c in set(chunks) if (c, False) not in memo]
+        if fresh and self._clean("\n".join(fresh)):
+            if len(memo) + len(fresh) > _REMEMBERED:
+                memo.clear()
+            memo.update(((c, False), ((), ())) for c in fresh if len(c) <= _SHORT)
+            hits = {c for c in set(chunks).difference(fresh) if any(self._chunk(c, False))}
+        else:
+            hits = {c for c in set(chunks) if any(self._chunk(c, False))}
+        strict: list[tuple] = []
+        loose: list[tuple] = []
+        at = 0
+        for c in chunks if hits else ():
+            at = s.index(c, at)
+            if c in hits:
+                one, other = self._chunk(c, False)
+                strict += [(at + a, at + b, n, r) for a, b, n, r in one]
+                loose += [(at + a, at + b, n, r) for a, b, n, r in other]
+            at += len(c)
+        if "strict" in modes:
+            yield from (("strict", a, b, r) for a, b, _, r in strict)
+            for p in self._parts[3]:
+                yield from (("strict", *m.span(), None) for m in p.finditer(s) if _clear(s, *m.span()))
+        if "loose" in modes and self._any[1]:
+            for m in _SPREAD.finditer(s):
+                loose += [(m.start() + a, m.start() + b, n, r) for a, b, n, r in self._chunk(m.group(), True)[1]]
+            yield from (("loose", a, b, r) for a, b, _, r in sorted(loose, key=lambda x: (x[2], x[0])))
+
+    def matches(self, text: str, options: Options = Options(), modes: tuple[str, ...] = MODES) -> Iterator[Match]:
         """Strict matches, then loose ones."""
         if not text:
             return
-        s = fold(text, self.strategy)
-        for mode, found in (("strict", self._strict(s)), ("loose", self._loose(s))):
-            for a, b, r in found:
-                (start, end), = cp_to_u16(text, [(a, b)])
-                m = Match(start, end, mode, *((r.id, r.category, r.severity) if r else ()))
-                if options.accepts(m) and not (r and self.exclude and self.exclude(text, a, b)):
-                    yield m
+        places = None
+        for mode, a, b, r in self._found(fold(text, self.strategy), modes):
+            if places is None:
+                places = range(len(text) + 1) if not _ASTRAL.search(text) else [0, *accumulate(map(u16_width, text))]
+            m = Match(places[a], places[b], mode, *((r.id, r.category, r.severity) if r else ()))
+            if options.accepts(m) and not (r and self.exclude and self.exclude(text, a, b)):
+                yield m
 
-    def analyze(self, text: str, options: Options = Options()) -> list[Match]:
-        return list(self.matches(text, options))
+    def analyze(self, text: str, options: Options = Options(), modes: tuple[str, ...] = MODES) -> list[Match]:
+        return list(self.matches(text, options, modes))
 
     def check(self, text: str, options: Options = Options()) -> bool:
         return next(self.matches(text, options), None) is not None
@@ -290,7 +365,7 @@ def _clear(s: str, a: int, b: int) -> bool:
 
 def _one_word(part: str) -> bool:
     """Spread letters or one word; never pieces of two words: with blanks inside, pieces hold at most two letters."""
-    pieces = [p for p in regex.split(r"\s+", part) if _WORD.search(p)]
+    pieces = [p for p in part.split() if _WORD.search(p)]
     return len(pieces) <= 1 or all(len(_WORD.findall(p)) <= 2 for p in pieces)
 
 
@@ -425,8 +500,8 @@ class ComposedFilter:
 
     selections: tuple[tuple[Profile, Options], ...]
 
-    def analyze(self, text: str, options: Options = Options()) -> list[Match]:
-        found = [replace(m, profile_id=p.id, language_tag=p.language_tag) for p, own in self.selections for m in p.filter.analyze(text, own.narrowed(options))]
+    def analyze(self, text: str, options: Options = Options(), modes: tuple[str, ...] = MODES) -> list[Match]:
+        found = [replace(m, profile_id=p.id, language_tag=p.language_tag) for p, own in self.selections for m in p.filter.analyze(text, own.narrowed(options), modes)]
         return sorted(found, key=lambda m: (m.start, m.end))
 
     def check(self, text: str, options: Options = Options()) -> bool:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from textweir.functions import columns as C
-from textweir.kernels.profanity import SEVERITIES, ComposedFilter, Options, ProfanityFilter, terms
+from textweir.kernels.profanity import MODES, SEVERITIES, ComposedFilter, Options, ProfanityFilter, terms
 from textweir.operators.scanners import Scanner
 
 MATCH = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())] + [StructField(n, StringType()) for n in ("mode", "rule_id", "category", "severity", "profile_id", "language_tag")])
@@ -20,14 +20,15 @@ _NAMES = MATCH.fieldNames()
 Filter = ProfanityFilter | ComposedFilter
 
 
-def analyze(text: Column | str, profanity: Filter, options: Options = Options()) -> Column:
-    """array<match>, strict before loose; offsets are UTF-16 units. The compiled filter ships with the plan, once a task."""
+def analyze(text: Column | str, profanity: Filter, options: Options = Options(), modes: tuple[str, ...] = MODES) -> Column:
+    """array<match>, strict before loose, of ``modes`` only; offsets are UTF-16 units. The compiled filter ships with the plan,
+    once a task. Marked as not to be repeated, so a filter on the matches does not run the kernel again."""
 
     @F.pandas_udf(MATCHES)
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(_NAMES, astuple(m))) for m in profanity.analyze(t, options)] for t in texts])
+        return pd.Series([[dict(zip(_NAMES, astuple(m))) for m in profanity.analyze(t, options, modes)] for t in texts])
 
-    return run(C.normalize_text(text))
+    return run.asNondeterministic()(C.normalize_text(text))
 
 
 def check(text: Column | str, profanity: Filter, options: Options = Options()) -> Column:
@@ -35,7 +36,7 @@ def check(text: Column | str, profanity: Filter, options: Options = Options()) -
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: profanity.check(t, options)).astype(bool)
 
-    return run(C.normalize_text(text))
+    return run.asNondeterministic()(C.normalize_text(text))
 
 
 def censor(text: Column | str, profanity: Filter, options: Options = Options()) -> Column:
@@ -43,7 +44,7 @@ def censor(text: Column | str, profanity: Filter, options: Options = Options())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: profanity.censor(t, options))
 
-    return run(C.normalize_text(text))
+    return run.asNondeterministic()(C.normalize_text(text))
 
 
 def scanner(profanity: Filter, options: Options = Options(), name: str = "profanity", mask_char: str = "*") -> Scanner:

@@ -53,8 +53,9 @@ def _censor_udf(kernels: list[Kernel], mask: str):
 class Scanner:
     """``gate``: a regex that every text with a match satisfies; rows that fail it never reach Python.
 
-    The kernel sees null for gated rows' place only through ``when``: Catalyst still ships the batch, so use
-    :meth:`matching` to filter rows before the kernel where only hits are wanted."""
+    Rows that fail the gate still travel with their batch, as empty texts; :meth:`matching` filters them before the kernel
+    where only hits are wanted. Kernels are marked nondeterministic, which tells Catalyst to evaluate them once, however
+    often their result is used; filters on other columns belong before the scan."""
 
     name: str
     kernel: Kernel
@@ -71,18 +72,19 @@ class Scanner:
         return F.when(self.gate(c), c).otherwise(F.lit(""))
 
     def scan(self, text: Column | str) -> Column:
-        return _scan_udf(self.kernel)(self._gated(text))
+        return _scan_udf(self.kernel).asNondeterministic()(self._gated(text))
 
     def check(self, text: Column | str) -> Column:
-        return _check_udf(self.first)(self._gated(text))
+        return _check_udf(self.first).asNondeterministic()(self._gated(text))
 
     def censor(self, text: Column | str) -> Column:
         c = C.normalize_text(text)
-        return F.when(self.gate(c), _censor_udf([self.kernel], self.mask_char)(self._gated(c))).otherwise(c)
+        return F.when(self.gate(c), _censor_udf([self.kernel], self.mask_char).asNondeterministic()(self._gated(c))).otherwise(c)
 
     def matching(self, df: DataFrame, text: str = "text", ranges: str = "ranges") -> DataFrame:
-        """Rows with matches and their ranges: the gate runs as a filter below the kernel."""
-        return df.where(self.gate(text)).withColumn(ranges, self.scan(text)).where(F.size(ranges) > 0)
+        """Rows with matches and their ranges: the gate runs as a filter below the kernel, which runs once."""
+        found = _scan_udf(self.kernel).asNondeterministic()(C.normalize_text(text))
+        return df.where(self.gate(text)).withColumn(ranges, found).where(F.size(ranges) > 0)
 
 
 def url_scanner(tlds=(), allowed_domains=(), mask_char: object = "*") -> Scanner:

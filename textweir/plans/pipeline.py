@@ -47,12 +47,12 @@ class TextRangePipeline:
                 rows.append({"ranges": _structs(T.merge(r for _, rs in each for r in rs)), "results": [{"name": n, "ranges": _structs(rs)} for n, rs in each]})
             return pd.DataFrame(rows, columns=["ranges", "results"])
 
-        return run(F.when(self._gate(c), c).otherwise(F.lit("")))
+        return run.asNondeterministic()(F.when(self._gate(c), c).otherwise(F.lit("")))
 
     def check(self, text: Column | str = "text") -> Column:
         """Whether any scanner hits; the first hit ends a row's work."""
         c, firsts = C.normalize_text(text), [s.first for s in self.scanners]
-        return _check_udf(lambda t: bool(t) and any(f(t) for f in firsts))(F.when(self._gate(c), c).otherwise(F.lit("")))
+        return _check_udf(lambda t: bool(t) and any(f(t) for f in firsts)).asNondeterministic()(F.when(self._gate(c), c).otherwise(F.lit("")))
 
     def censor(self, text: Column | str = "text", mask: object = "*") -> Column:
         c, kernels, m = C.normalize_text(text), [s.kernel for s in self.scanners], T.mask_char(mask, True)
@@ -62,7 +62,7 @@ class TextRangePipeline:
             return texts.map(lambda t: T.censor(t, [r for k in kernels for r in k(t)], m))
 
         gate = self._gate(c)
-        return F.when(gate, run(F.when(gate, c).otherwise(F.lit("")))).otherwise(c)
+        return F.when(gate, run.asNondeterministic()(F.when(gate, c).otherwise(F.lit("")))).otherwise(c)
 
     def process(self, df: DataFrame, text: str = "text", mask: object = "*") -> DataFrame:
         """``df`` with ``ranges``, ``results`` and ``censored``; the mask is Catalyst's, over the scanned ranges."""

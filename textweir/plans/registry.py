@@ -224,7 +224,7 @@ _ENGLISH = "|".join(f"(?:{r.source})" for r in P.ENGLISH.rules)
 @query(f"select * from (select doc_id, len(list_filter({_TOKENS}, lambda x: regexp_full_match(x, '{_ENGLISH}')))::int as n_strict from documents) where n_strict > 0")
 def profanity_strict_en(spark, sf_dir):
     plain = P.ProfanityFilter(P.ENGLISH)
-    d = table(spark, sf_dir, "documents").select("doc_id", F.size(profanity_ops.of_mode(profanity_ops.analyze("text", plain), "strict")).alias("n_strict"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(profanity_ops.analyze("text", plain, modes=("strict",))).alias("n_strict"))
     return d.where("n_strict > 0")
 
 
