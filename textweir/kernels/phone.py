@@ -27,8 +27,8 @@ _DIGIT = {chr(z + d): str(d) for z in ZERO_DIGITS for d in range(10)}
 MIN_DIGITS, MAX_DIGITS = 10, 15
 #: Words after which digits may follow without a blank (fixed values).
 LABELS = "tel phone mobile cell call fax whatsapp telegram viber тел".split()
-#: What a text must hold: ten digits, or anything beyond ASCII.
-GATE = r"(?s)[^\x00-\x7F]|(?:[0-9][^0-9]*){10}"
+#: What a text must hold: ten digits of any script without a letter between them.
+GATE = r"(?:[\p{Nd}\p{No}][^\p{L}\p{Nd}\p{No}]*+){10}"
 
 _UUID = regex.compile(r"(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])")
 _IPV4 = regex.compile(r"(?<![\d.+])(?:\d{1,3}\.){3}\d{1,3}(?:/\d{1,2}(?!\d)|:\d{1,5}(?!\d))?(?![\d]|\.\d)")
@@ -44,9 +44,19 @@ _LEAST = regex.compile(r"(?<!\d)-2147483648(?!\d)")
 _IPV6 = regex.compile(r"(?<![0-9a-z:])(?:[0-9a-f]{1,4}:){1,7}:?(?:[0-9a-f]{1,4}(?::|(?![0-9a-z])))*(?=\d{10,}|[ ,;)]|$)")
 _META = regex.compile(r'(?P<key>"(?:[^"\\]|\\.){1,40}")[ \t\r\n]*:[ \t\r\n]*(?P<q>"?)(?P<n>\d{13})(?P<seq>-0)?(?=(?P=q)|-)')
 
+#: Braces and quotes from the right, a quote with the backslashes before it.
+_BACKWARD = regex.compile(r'(?r)\\*+"|[{}]')
+#: A number behind a cursor, also when it is masked already.
+_NUMBER_AFTER = regex.compile(r"-(?:0-)?(?:\d{10,15}|([^\w\s])\1{9,}+)")
+
 _SEP = r"[ \-./()‐‑‒–—·]"
-_RUN = regex.compile(rf"[(+ ]*\d(?:{_SEP}{{0,4}}\+?\d)*(?: ?\))?")
+_RUN = regex.compile(rf"(?:\G|(?<![(+ ]))[(+ ]*+\d(?:{_SEP}{{0,4}}\+?\d)*(?: ?\))?")
 _GROUP = regex.compile(r"\d+")
+#: What may stand before a number's first digit, from its first sign on.
+_LEAD = regex.compile(r"(?:[+(][+( ]*)?$")
+_CLOSE, _EXTENSION, _CODE = regex.compile(r" ?\)"), regex.compile(r"(?:x|ext)\.?\d"), regex.compile(r"[*#]+\d")
+_LABELS = tuple(LABELS)
+_LABELLED = regex.compile(rf"(?:{'|'.join(LABELS)})[ :.(+]*$")
 
 
 class _Folded:
@@ -142,26 +152,34 @@ def _objects(text: str) -> list[tuple[int, int]]:
     return merge(spans)
 
 
-def _behind_stray_quote(text: str, position: int) -> bool:
-    """Whether one of the nearest braces opens a JSON object that holds ``position``: for text whose quotes do not pair up, which
-    hides objects from ``_objects``."""
-    decode, start = json.JSONDecoder().raw_decode, position
-    for _ in range(16):
-        start = text.rfind("{", 0, start)
-        if start < 0:
-            return False
-        try:
-            _, end = decode(text, start)
-        except ValueError:
+def _behind_stray_quote(text: str, position: int, ends: dict[int, int]) -> bool:
+    """Whether ``position`` lies in a JSON object that starts at the nearest brace, going back, that no later brace closes: for
+    text whose quotes do not pair up, which hides objects from ``_objects``. ``ends``: where objects tried before end."""
+    depth, quoted = 0, False
+    for m in _BACKWARD.finditer(text, 0, position):
+        c = m.group()
+        if c[-1] == '"':
+            quoted = quoted if len(c) % 2 == 0 else not quoted  # behind an odd number of backslashes it is no quote
+        elif quoted:
             continue
-        if end > position:
-            return True
+        elif c == "}":
+            depth += 1
+        elif depth:
+            depth -= 1
+        else:
+            start = m.start()
+            if start not in ends:
+                try:
+                    ends[start] = json.JSONDecoder().raw_decode(text, start)[1]
+                except (ValueError, RecursionError):
+                    ends[start] = 0
+            return ends[start] > position
     return False
 
 
 def _metadata(text: str) -> Iterator[tuple[int, int]]:
     """Code-point spans of cursor and timestamp numbers, in exact ASCII spelling, inside complete JSON objects."""
-    objects = None
+    objects, ends = None, {}
     for m in _META.finditer(text):
         try:
             key = json.loads(m["key"])
@@ -171,17 +189,17 @@ def _metadata(text: str) -> Iterator[tuple[int, int]]:
             continue
         objects = _objects(text) if objects is None else objects
         i = bisect_right(objects, (m.start("n"), len(text) + 1)) - 1
-        if (i < 0 or objects[i][1] <= m.start("n")) and not _behind_stray_quote(text, m.start("n")):
+        if (i < 0 or objects[i][1] <= m.start("n")) and not _behind_stray_quote(text, m.start("n"), ends):
             continue
         end, close = m.end(), m["q"]
-        rest = text[end:]
-        if rest.startswith("-") or m["seq"] and rest.startswith("-"):
-            if regex.match(r"-(?:0-)?\d{10,15}" + ('"' if close else ""), rest):
+        if text.startswith("-", end):
+            after = _NUMBER_AFTER.match(text, end)
+            if after and text.startswith(close, after.end()):
                 yield m.start("n"), end
         elif m["seq"]:
-            if key == "cursor" and close and rest.startswith('"'):
+            if key == "cursor" and close and text.startswith('"', end):
                 yield m.start("n"), end
-        elif not close or rest.startswith('"'):
+        elif text.startswith(close, end):
             yield m.start("n"), end
 
 
@@ -227,18 +245,15 @@ def _exact(groups: list[str], plus: bool) -> bool:
 
 def _left_ok(s: str, i: int) -> bool:
     """Nothing glued to the left: a letter, digit or underscore, also behind one sign or dot, unless it is a label."""
-    j = i
-    while j > 0 and s[j - 1] in "+(. -" and j > i - 1:
-        j -= 1
     if i == 0:
         return True
     c = s[i - 1]
     if c.isalnum() or c == "_":
-        return s[:i].endswith(tuple(LABELS)) and s[i] in "+(" or unicodedata.category(c) in ("So",) or not c.isalpha() and not c.isdigit() and c != "_"
+        return s.endswith(_LABELS, 0, i) and s[i] in "+(" or unicodedata.category(c) in ("So",) or not c.isalpha() and not c.isdigit() and c != "_"
     if c in ".-" and i > 1 and (s[i - 2].isalnum() or s[i - 2] == "_"):
         if c == "-":
             return s[i - 2].isdigit()
-        return s[: i - 1].endswith(tuple(LABELS)) or s[i - 2].isdigit()
+        return s.endswith(_LABELS, 0, i - 1) or s[i - 2].isdigit()
     return True
 
 
@@ -247,41 +262,43 @@ def _right_ok(s: str, i: int) -> bool:
         return True
     c = s[i]
     if c.isalnum() or c == "_":
-        return bool(regex.match(r"(?:x|ext)\.?\d", s[i:]))
-    return not (c in "*#" and regex.match(r"[*#]+\d", s[i:]))
+        return bool(_EXTENSION.match(s, i))
+    return not (c in "*#" and _CODE.match(s, i))
 
 
 def _in_run(s: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    groups = [(lo + m.start(), lo + m.end()) for m in _GROUP.finditer(s[lo:hi])]
+    """Numbers of a run of digit groups. A number has at most fifteen digits, so at most fifteen groups are looked at from each."""
+    groups = [m.span() for m in _GROUP.finditer(s, lo, hi)]
     i = 0
     while i < len(groups):
-        best = None
         start = groups[i][0]
-        lead = start
-        while lead > lo and s[lead - 1] in "+( ":
-            lead -= 1
-        while lead < start and s[lead] == " ":
-            lead += 1
+        lead = groups[i - 1][1] if i else lo
+        lead = start - len(_LEAD.search(s, lead, start).group())
         head = s[lead:start]
-        plus = "+" in head
-        label = bool(regex.search(rf"(?:{'|'.join(LABELS)})[ :.(+]*$", s[max(0, lead - 20) : lead]))
-        for j in range(len(groups), i, -1):
+        plus, digits, ends = "+" in head, 0, []
+        for j in range(i, len(groups)):
+            digits += groups[j][1] - groups[j][0]
+            if digits > MAX_DIGITS:
+                break
+            if digits >= MIN_DIGITS:
+                ends.append(j + 1)
+        best = None
+        label = bool(ends) and bool(_LABELLED.search(s, max(0, lead - 20), lead))
+        for j in reversed(ends):
             end = groups[j - 1][1]
             texts = [s[a:b] for a, b in groups[i:j]]
-            if sum(map(len, texts)) > MAX_DIGITS:
-                continue
             inner = s[start:end]
-            if j > i + 1 and any(max(len(g), 0) > 6 for g in texts) and not plus:
+            if j > i + 1 and not plus and max(map(len, texts)) > 6:
                 continue
-            if any(x in inner for x in ("--", "..", "//", " -  ", "+")) and "+" in inner:
+            if "+" in inner:
                 continue
             opens = head.count("(") + inner.count("(")
             closed = inner.count(")")
             stop = end
             if opens > closed:
-                m = regex.match(r" ?\)", s[end:])
+                m = _CLOSE.match(s, end)
                 if m:
-                    stop = end + m.end()
+                    stop = m.end()
                     closed += 1
             paren = "(" in head and closed >= 1
             if closed > opens or opens > closed and "(" in inner:
@@ -293,8 +310,9 @@ def _in_run(s: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
                     continue
             if not _shaped(texts, plus, paren, label) or not _left_ok(s, begin) or not _right_ok(s, stop):
                 continue
-            if best is None or _exact(texts, plus) and not best[3]:
-                best = (begin, stop, j, _exact(texts, plus))
+            exact = _exact(texts, plus)
+            if best is None or exact and not best[3]:
+                best = (begin, stop, j, exact)
         if best:
             yield best[0], best[1]
             i = best[2]
