@@ -34,6 +34,8 @@ MIN_WORDS = 50
 #: More than the lines of a document, whose number is an int.
 _STEP = 1 << 31
 _KEYS = ["_tw_doc", "_tw_hash"]
+#: Rows of a key that are not shuffled together.
+_HOT = 2_000
 #: Neighbours of the suffix array that are looked through together for the start of their interval.
 _BLOCK = 50_000
 
@@ -74,6 +76,17 @@ def _numbered(df: DataFrame, by: list[str], number: str) -> DataFrame:
     return dealt.join(F.broadcast(before), "_part").withColumn(number, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
+def _joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (key, c rows of it, ...). Keys of more than ``_HOT`` rows, of which there is at most
+    one in ``_HOT`` rows, go to the rows; the others' groups are small."""
+    hot = table.where(F.col("c") > _HOT).withColumn("_hot", F.lit(True)).drop("c")
+    if hot.isEmpty():
+        return rows.join(table.drop("c"), key)
+    one = rows.join(F.broadcast(hot), key).drop("_hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return one.unionByName(rest.join(table.where(F.col("c") <= _HOT).drop("c"), key))
+
+
 def suffix_ranks(suffixes: DataFrame, longest: int) -> DataFrame:
     """(s, j, r) of suffixes (s sequence, j, h line id): their order by at least ``longest`` lines. An end ranks lowest."""
     ranks = suffixes.select("s", "j", F.col("h").alias("r"))
@@ -106,7 +119,7 @@ def _later(found: DataFrame, min_words: int) -> DataFrame:
         return rows.select(*_KEYS, "start", "stop").limit(0)
     runs = rows.where("n is not null").join(suffix_ranks(rows, longest), ["s", "j"])
     runs = materialise(runs.select(*_KEYS, "start", "stop", "n", "head", "r", _place(F.col("start")).alias("place")), "runs")
-    array = runs.groupBy("r").agg(F.min("place").alias("place"), F.max("place").alias("last"), F.min("n").alias("n"), F.first("head").alias("head"))
+    array = runs.groupBy("r").agg(F.min("place").alias("place"), F.max("place").alias("last"), F.min("n").alias("n"), F.first("head").alias("head"), F.count("*").alias("c"))
     array = _numbered(array, ["r"], "at").withColumn("block", F.floor(F.col("at") / _BLOCK))
     # a block's last row stands in the next block too, as the neighbour of its first
     array = array.withColumn("block", F.explode(F.when(F.col("at") % _BLOCK == _BLOCK - 1, F.array("block", F.col("block") + 1)).otherwise(F.array("block"))))
@@ -116,17 +129,17 @@ def _later(found: DataFrame, min_words: int) -> DataFrame:
     array = array.where(F.floor(F.col("at") / _BLOCK) == F.col("block")).withColumn("opens", F.when(F.col("lcp") < F.col("n"), F.col("at")))
     array = materialise(array.withColumn("own", F.last("opens", True).over(w)).drop("head"), "suffix_array")
     carried = array.groupBy("block").agg(F.max("opens").alias("most")).select("block", F.max("most").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    member = array.join(carried, "block").select("r", "place", "last", F.coalesce("own", "carried").alias("interval"))
+    member = array.join(carried, "block").select("r", "place", "last", "c", F.coalesce("own", "carried").alias("interval"))
     intervals = member.groupBy("interval").agg(F.min("place").alias("first"), F.max("last").alias("last")).where("last > first")
-    firsts = materialise(member.join(intervals.select("interval", "first"), "interval").select("r", "first"), "firsts")
-    return materialise(runs.join(firsts, "r").where("place > first").select(*_KEYS, "start", "stop"), "later")
+    firsts = materialise(member.join(intervals.select("interval", "first"), "interval").select("r", "first", "c"), "firsts")
+    return materialise(_joined(runs.drop("head"), firsts, "r").where("place > first").select(*_KEYS, "start", "stop"), "later")
 
 
 def removed_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document with later copies: its merged runs of lines to remove, ``_tw_runs`` array<struct<start, stop>>."""
     found = materialise(segments(documents, min_words), "segments")
-    firsts = found.groupBy("name").agg(F.min("place").alias("first"))
-    found = materialise(found.join(firsts, "name"), "segments")
+    firsts = materialise(found.groupBy("name").agg(F.min("place").alias("first"), F.count("*").alias("c")), "firsts")
+    found = materialise(_joined(found, firsts, "name"), "segments")
     once = found.where("place = first")
     later = found.where("place > first").select(*_KEYS, F.col("lines")[0]["i"].alias("start"), F.element_at("lines", -1)["i"].alias("stop"))
     later = later.unionAll(_later(once, min_words))
@@ -141,7 +154,8 @@ def removed_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``documents`` with ``text`` less the later copies of repeated runs, and ``_tw_lines``, ``_tw_removed`` line counts."""
-    d = _keyed(documents).join(removed_runs(documents, min_words), _KEYS, "left")
+    # the runs grow with the documents: joined by a shuffle at every size
+    d = _keyed(documents).join(removed_runs(documents, min_words).hint("merge"), _KEYS, "left")
     stays = lambda r, k: F.concat(F.array_repeat(F.lit(True), r["start"] - F.coalesce(F.get("_tw_runs", k - 1)["stop"] + 1, F.lit(0))), F.array_repeat(F.lit(False), r["stop"] - r["start"] + 1))
     kept = F.array_join(F.zip_with(_lines(), F.flatten(F.transform("_tw_runs", stays)), lambda x, f: F.when(F.coalesce(f, F.lit(True)), x)), "\n")
     lines = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(_lines()))
