@@ -10,9 +10,14 @@ ignored. Everything happens inside a row: no shuffle, no join.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Detections of a row that are looked through together.
+_CHUNK = 256
+
 #: Phrases of the base rule and their labels (fixed values).
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
@@ -185,13 +190,32 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, inside an expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chunks(items: Column) -> Column:
+    """An array cut into arrays of at most _CHUNK items."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / _CHUNK).cast("int") - 1, F.lit(0))), lambda c: F.slice(items, c * _CHUNK + 1, _CHUNK))
+
+
 def _places(words: Column, regex: Column) -> Column:
-    """Word ranges of the matches of ``regex`` in ' w0 w1 ... ': pieces between matches start and end with a space."""
+    """Word ranges of the matches of ``regex`` in ' w0 w1 ... ': pieces between matches start and end with a space. Running
+    sums are taken in chunks, as growing an array by one copies it."""
     pieces = F.transform(F.split(words, regex, -1), lambda p: _spaces(p) - 1)
     matches = F.transform(F.regexp_extract_all(words, regex, F.lit(0)), lambda m: _spaces(m) + 1)
-    empty = F.expr("struct(0 as at, cast(array() as array<struct<start:int,stop:int>>) as found)")
+    none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
     step = lambda acc, x: F.struct((acc["at"] + x["p"] + x["m"]).alias("at"), F.concat(acc["found"], F.array(F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("stop")))).alias("found"))
-    return F.aggregate(F.slice(F.arrays_zip(pieces.alias("p"), matches.alias("m")), 1, F.size(matches)), empty, step, lambda acc: acc["found"])
+    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda acc, x: acc + x["p"] + x["m"])
+    before = lambda chunks: F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + total(c))))
+    ranges = lambda z: F.aggregate(z["chunk"], F.struct(z["at"].alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    all_of = lambda chunks: F.flatten(F.transform(F.filter(F.arrays_zip(chunks.alias("chunk"), before(chunks).alias("at")), lambda z: z["chunk"].isNotNull()), ranges))
+    return _let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(_let(_chunks_of_pairs(pieces, m), all_of)))
+
+
+def _chunks_of_pairs(pieces: Column, matches: Column) -> Column:
+    return _let(F.slice(F.arrays_zip(pieces.alias("p"), matches.alias("m")), 1, F.size(matches)), _chunks)
 
 
 def _exactly(regex: str) -> str:
@@ -208,7 +232,7 @@ def detections(documents: DataFrame) -> DataFrame:
     none = "cast(array() as array<struct<start:int,stop:int,label:string,priority:int,weight:double,rule:int>>)"
     text = F.coalesce("text", F.lit(""))
     d = documents.select("doc_id", F.regexp_count(text, F.lit(WORDS)).cast("bigint").alias("n_words"), F.when(text.rlike(PREFILTER), text).alias("_text"))
-    d = d.withColumn("_words", F.when(F.col("_text").isNotNull(), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("_text"), SEPARATORS, " ")), F.lit(" ")))).drop("_text")
+    d = d.withColumn("_words", F.when(F.col("_text").isNotNull(), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("_text", string.ascii_uppercase, string.ascii_lowercase), SEPARATORS, " ")), F.lit(" ")))).drop("_text")
 
     def matched(table: Column) -> Column:
         holds = lambda keywords: F.exists(keywords, lambda x: F.contains(F.col("_words"), x))
@@ -224,7 +248,15 @@ def detections(documents: DataFrame) -> DataFrame:
         same = (o["start"] == x["start"]) & (o["stop"] == x["stop"])
         return inside & ((o["priority"] > x["priority"]) | ((o["priority"] == x["priority"]) & (longer | (same & (o["rule"] < x["rule"])))))
 
-    return d.withColumn("found", F.filter("_all", lambda x: ~F.exists("_all", lambda o: beats(o, x)))).drop("_all", "_words")
+    # a detection that contains another begins no more than the longest one's words before it: in order of their starts, only
+    # those of the chunk and of that stretch before it are compared
+    d = d.withColumn("_all", F.array_sort("_all"))
+    reach = F.array_max(F.transform("_all", lambda x: x["stop"] - x["start"]))
+    d = d.withColumn("_reach", reach)
+    near = lambda xs: F.filter("_all", lambda o: (o["start"] >= xs[0]["start"] - F.col("_reach")) & (o["start"] <= F.element_at(xs, -1)["start"]))
+    kept = lambda z: F.filter(z["xs"], lambda x: ~F.exists(z["near"], lambda o: beats(o, x)))
+    found = F.flatten(F.transform(F.transform(_chunks(F.col("_all")), lambda xs: F.struct(xs.alias("xs"), near(xs).alias("near"))), kept))
+    return d.withColumn("found", F.when(F.size("_all") == 0, F.expr(none)).otherwise(found)).drop("_all", "_words", "_reach")
 
 
 def op7(documents: DataFrame) -> DataFrame:
