@@ -20,6 +20,7 @@ empty and blank texts have no shingles and no links; other columns are ignored;
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ CROWD = 64
 #: Text bytes of a map block; bytes of estimated input a bucket of keys, and the fewest bits of a bucket's number, so that a
 #: block's keys travel in rows of some kilobytes; nodes of a block of a large key; entries of a row of the stash.
 BLOCK_BYTES, BUCKET_BYTES, BUCKET_BITS, BLOCK_NODES, STASH = 6_000_000, 4_000_000, 12, 8192, 4096
-#: Rows of whole sets in an Arrow batch.
-SET_ROWS = 100
+#: Rows of whole texts in an Arrow batch, sets that a worker keeps, pairs that it hands on at once.
+SET_ROWS, KEPT_SETS, PAIRS_AT_ONCE = 100, 32, 100_000
 NULL_ID = -(2**63)
 #: Nodes (16 bytes each) that may be broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
@@ -236,55 +237,68 @@ def _within_sketch(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataF
     return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a bigint, b bigint, apart bigint")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs whose whole sets are similar enough: 100 * both >= similarity * either."""
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: int, k: int) -> DataFrame:
+    """Pairs whose whole sets are similar enough: 100 * both >= similarity * either. Compressed texts travel, a third of the size
+    of their sets; sets are made where they are compared, those of the last few nodes are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = word_memo()
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(node: int, packed: bytes) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= KEPT_SETS:
+                    sets.clear()
+                sets[node] = shingle_set(zlib.decompress(packed), memo, k)
+            return sets[node]
+
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "xa", "xb"))):
+                y, x = set_of(b, y), set_of(a, x)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"x{c}"))
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("packed").alias(f"x{c}"))
     pairs = pairs.select("a", "b")
-    if pairs.count() <= BROADCAST_NODES:  # only the sets of these pairs travel: that of a with the pair, that of b to it
+    if pairs.count() <= BROADCAST_NODES:  # only the texts of these pairs travel: that of a with the pair, that of b to it
         ends = F.broadcast(pairs.select("b").distinct())
-        return map_arrow(side("a").join(F.broadcast(pairs), "a").join(side("b").join(ends, "b", "left_semi"), "b"), run, "a bigint, b bigint")
-    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a bigint, b bigint")
+        both = side("a").join(F.broadcast(pairs), "a").join(side("b").join(ends, "b", "left_semi").hint("merge"), "b")
+    else:
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return map_arrow(both, run, "a bigint, b bigint")
 
 
-def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes, from the text of one document each (node, doc_id)."""
+def _texts_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, packed) of the wanted nodes: the compressed text of one document each (node, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in batches:
-            nodes, tokens = [], []
+            nodes, packed = [], []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
                 s = shingle_set(text, memo, k)
                 if len(s) and np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()) or 1).view(np.int64) == node:
                     nodes.append(node)
-                    tokens.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
+                    packed.append(zlib.compress(text, 6))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], names=["node", "packed"])
 
     d = documents.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), as_bytes().alias("text"))
     if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
-    sets = materialise(map_arrow(d.join(wanted, "doc_id").select("node", "text"), run, "node bigint, tokens binary"), "sets", SET_ROWS)
-    if sets.groupBy("node").count().where("count > 1").isEmpty():
-        return sets
-    return materialise(sets.dropDuplicates(["node"]), "sets")  # rows that repeat a doc_id
+    texts = materialise(map_arrow(d.join(wanted, "doc_id").select("node", "text"), run, "node bigint, packed binary"), "texts")
+    if texts.groupBy("node").count().where("count > 1").isEmpty():
+        return texts
+    return materialise(texts.dropDuplicates(["node"]), "texts")  # rows that repeat a doc_id
 
 
 def _propose(similarity: int, forest: bool):
     """Rows sorted by (key, block): pairs across components within the Hamming bound. With ``forest`` only the pairs, closest
-    first, that join the key's members if all of them are links; else all of them."""
+    first, that join the key's members if all of them are links; else all of them, some at a time."""
 
-    def group(a: np.ndarray, n: np.ndarray, label: np.ndarray, minor: np.ndarray, sketch: np.ndarray):
-        out, root = [], {int(x): int(x) for x in label}
+    def group(a: np.ndarray, n: np.ndarray, label: np.ndarray, minor: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        root = {int(x): int(x) for x in label} if forest else {}
 
         def top(x: int) -> int:
             while root[x] != x:
@@ -299,22 +313,33 @@ def _propose(similarity: int, forest: bool):
                 continue
             apart = _apart(sketch[j], sketch[i])
             within = apart * (100 + similarity) <= (100 - similarity) * (n[j] + n[i])
-            for x in j[within][np.argsort(apart[within], kind="stable")].tolist():
-                if forest:
+            j = j[within][np.argsort(apart[within], kind="stable")]
+            if forest:
+                joins = []
+                for x in j.tolist():
                     one, other = top(int(label[i])), top(int(label[x]))
-                    if one == other:
-                        continue
-                    root[max(one, other)] = min(one, other)
-                out.append((min(int(a[i]), int(a[x])), max(int(a[i]), int(a[x]))))
-        return out
+                    if one != other:
+                        root[max(one, other)] = min(one, other)
+                        joins.append(x)
+                j = np.array(joins, np.int64)
+            if len(j):
+                yield np.minimum(a[i], a[j]), np.maximum(a[i], a[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush():
+        def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            out = group(*(t.column(c).to_numpy() for c in ("node", "n", "label")), t.column("minor").to_numpy(zero_copy_only=False), _bits(t.column("sketch")))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for pair in group(*(t.column(c).to_numpy() for c in ("node", "n", "label")), t.column("minor").to_numpy(zero_copy_only=False), _bits(t.column("sketch"))):
+                out.append(pair)
+                size += len(pair[0])
+                if size >= PAIRS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
 
         at = None
         for batch in batches:
@@ -324,12 +349,12 @@ def _propose(similarity: int, forest: bool):
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(key)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if at not in (None, (key[lo], block[lo])):
-                    yield flush()
+                    yield from flush()
                     held = []
                 at = (key[lo], block[lo])
                 held.append(batch.slice(lo, hi - lo))
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -359,7 +384,7 @@ def _all_large_pairs(large: DataFrame, nodes: DataFrame, similarity: int) -> Dat
 
 
 def _candidates(documents: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, bool]:
-    """rows (doc_id, node, n), nodes, pairs of small keys within the Hamming bound, large keys' members, sets, whether there are large keys."""
+    """rows (doc_id, node, n), nodes, pairs of small keys within the Hamming bound, large keys' members, their texts, whether there are large keys."""
     spark = documents.sparkSession
     size = int(str(documents.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = min(max((size // BUCKET_BYTES).bit_length(), BUCKET_BITS), 24)
@@ -380,19 +405,19 @@ def _candidates(documents: DataFrame, similarity: int, k: int) -> tuple[DataFram
         large = materialise(large.withColumn("band", F.col("key").bitwiseAND(255).cast("int")).join(bound, ["node", "band"]).select("key", "node"), "large")
         any_large = not large.isEmpty()
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(large.select("node")).distinct()
-    sets = _sets_of(documents, materialise(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted"), k)
+    texts = _texts_of(documents, materialise(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted"), k)
     reclaim(spark)
-    return rows, nodes, pairs, large, sets, any_large
+    return rows, nodes, pairs, large, texts, any_large
 
 
 def links(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, node, n; links: a, b): every document's node, and every link between different nodes, a < b. Rows of
     one node (with n > 0) are linked too, as are their copies to those of a linked node; these are not written out."""
-    rows, nodes, pairs, large, sets, any_large = _candidates(documents, similarity, k)
+    rows, nodes, pairs, large, texts, any_large = _candidates(documents, similarity, k)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if any_large:
         pairs = materialise(pairs.unionAll(_all_large_pairs(large, nodes, similarity)).distinct(), "proposed")
-    return rows, materialise(_verified(pairs, sets, similarity), "links", SET_ROWS)
+    return rows, materialise(_verified(pairs, texts, similarity, k), "links", SET_ROWS)
 
 
 def link_counts(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
@@ -410,28 +435,28 @@ def link_counts(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHI
 def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, node, n; labels: node, label): every document's node, and the component of each node with links."""
     spark = documents.sparkSession
-    rows, nodes, pairs, large, sets, any_large = _candidates(documents, similarity, k)
+    rows, nodes, pairs, large, texts, any_large = _candidates(documents, similarity, k)
     # a node's closest pair first; what then still lies across components is verified in full
     ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "apart").unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "apart"))
     closest = ends.groupBy("u").agg(F.min_by("v", "apart").alias("v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    links = materialise(_verified(materialise(closest, "closest"), sets, similarity), "links", SET_ROWS)
+    links = materialise(_verified(materialise(closest, "closest"), texts, similarity, k), "links", SET_ROWS)
     labels = components(links)
     reclaim(spark)
     label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     across = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
     across = materialise(across.select("a", "b"), "across")
     if not across.isEmpty():
-        links = links.unionAll(materialise(_verified(across, sets, similarity), "links", SET_ROWS))
+        links = links.unionAll(materialise(_verified(across, texts, similarity, k), "links", SET_ROWS))
         labels = components(links)
     if any_large:  # keys of several blocks: their members against one of them, so that few are strays afterwards
         vast = materialise(large.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("a")).where(F.col("c") > BLOCK_NODES), "vast")
         if not vast.isEmpty():
             stars = materialise(large.join(vast, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
-            links = links.unionAll(materialise(_verified(stars, sets, similarity), "links", SET_ROWS))
+            links = links.unionAll(materialise(_verified(stars, texts, similarity, k), "links", SET_ROWS))
             labels = components(links)
     for forest in (True, False) if any_large else ():  # a spanning choice of pairs; then all that still lie across components
         found = materialise(_large_pairs(large, nodes, labels, similarity, forest), "proposed")
-        more = materialise(_verified(found, sets, similarity), "links", SET_ROWS)
+        more = materialise(_verified(found, texts, similarity, k), "links", SET_ROWS)
         reclaim(spark)
         if not more.isEmpty():
             links = links.unionAll(more)
