@@ -2,7 +2,8 @@
 
 ``build_index`` splits the documents into blocks and stores, per block, the postings (term -> word positions) of
 every term that a benchmark can look up. ``search_index`` intersects, per benchmark window, the offset-adjusted
-posting lists starting from the window's rarest term in that block. Blocks are independent, so no key is hot, no
+posting lists starting from the window's rarest term in that block: a place stays if the next rarest term's sorted list
+holds the place that it must stand at. The benchmark meets the stored index in parts of bounded size. Blocks are independent, so no key is hot, no
 document leaves its block, and a lost executor costs its own blocks only.
 
 Null text has no words; repeated rows are separate documents; an empty benchmark hits nothing; null item ids take
@@ -25,7 +26,7 @@ WINDOW = 13
 #: Text bytes of a block of the index.
 BLOCK_BYTES = 6_000_000
 #: Benchmark text bytes searched at a time; a larger benchmark is searched in several blocks over the same stored index.
-BENCHMARK_BYTES = 16_000_000
+BENCHMARK_BYTES = 4_000_000
 #: Candidate places looked at together.
 CANDIDATES = 2_000_000
 
@@ -37,13 +38,22 @@ def _term(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) or 1
 
 
-def windows_of(items: list[tuple], size: int = WINDOW) -> dict[tuple[int, ...], set]:
-    """Term-hash window -> ids of the items that hold it."""
-    out: dict[tuple[int, ...], set] = {}
+def windows_of(items: list[tuple], size: int = WINDOW) -> dict[int, tuple[np.ndarray, list[list[str]]]]:
+    """By length: the different windows of term hashes [n, length], and the ids (sorted strings, without null) that hold each."""
+    found: dict[int, list[tuple[np.ndarray, object]]] = {}
     for item, text in items:
-        t = [_term(w) for w in plain_words(text or b"")]
-        for i in range(max(1, len(t) - size + 1) if t else 0):
-            out.setdefault(tuple(t[i : i + size]), set()).add(item)
+        t = np.fromiter(map(_term, plain_words(text or b"")), np.uint64)
+        if len(t):
+            found.setdefault(min(size, len(t)), []).append((np.lib.stride_tricks.sliding_window_view(t, min(size, len(t))), item))
+    out = {}
+    for length, parts in found.items():
+        rows = np.concatenate([w for w, _ in parts])
+        owner = np.repeat(np.arange(len(parts)), [len(w) for w, _ in parts])
+        order = np.lexsort((owner, *rows.T))
+        fresh = np.concatenate([[True], (rows[order][1:] != rows[order][:-1]).any(1)])
+        bounds = [*np.flatnonzero(fresh).tolist(), len(order)]
+        ids = [sorted({str(parts[o][1]) for o in owner[order[x:y]].tolist() if parts[o][1] is not None}) for x, y in zip(bounds, bounds[1:])]
+        out[length] = (rows[order[fresh]], ids)
     return out
 
 
@@ -73,7 +83,20 @@ def build_index(documents: DataFrame, vocabulary: set[int] | None) -> DataFrame:
     return map_arrow(documents.select("doc_id", as_bytes().alias("text")), index, INDEX)
 
 
-def _exact(tokens, terms, offsets, positions, rows, windows):
+class _Lists:
+    """All posting lists of a block as one sorted array: term * span + place."""
+
+    def __init__(self, offsets: np.ndarray, positions: np.ndarray, span: int):
+        self.span = span
+        self.all = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets)) * span + positions
+
+    def hold(self, term: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether a term's list holds a place from ``first`` to ``last``."""
+        base = term * self.span
+        return (term >= 0) & (first <= last) & (np.searchsorted(self.all, base + first) < np.searchsorted(self.all, base + last, "right"))
+
+
+def _exact(lists, offsets, positions, rows, windows):
     """(window, start) of every place where all terms of a window stand consecutively; ``windows``: [n, k] indices into terms."""
     df = np.diff(offsets)
     freq = df[windows]
@@ -88,11 +111,11 @@ def _exact(tokens, terms, offsets, positions, rows, windows):
         begin = offsets[windows[part, anchor]]
         shift = np.repeat(begin - np.concatenate([[0], np.cumsum(n[part])[:-1]]), n[part])
         at = positions[np.arange(len(w)) + shift].astype(np.int64) - np.repeat(anchor, n[part])
-        keep = (at >= 0) & (at + windows.shape[1] <= len(tokens))
+        keep = (at >= 0) & (at + windows.shape[1] <= lists.span)
         w, at = w[keep], at[keep]
         for j in range(1, windows.shape[1]):  # the next rarest list, adjusted by its offset
             off = order[w, j]
-            keep = tokens[at + off] == windows[w, off]
+            keep = lists.hold(windows[w, off], at + off, at + off)
             w, at = w[keep], at[keep]
             if not len(w):
                 break
@@ -101,7 +124,7 @@ def _exact(tokens, terms, offsets, positions, rows, windows):
     return (np.concatenate(found_w), np.concatenate(found_at)) if found_w else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _near(tokens, offsets, positions, starts, n_words, windows, slop: int, share: float):
+def _near(lists, offsets, positions, starts, n_words, windows, slop: int, share: float):
     """Proximity matches: places where at least ``share`` of a window's terms stand within ``slop`` places of theirs, and one in its own.
 
     A match lacks at most ``allowed`` terms, so it holds one of any ``allowed + 1``: each of the rarest so many (absent
@@ -126,24 +149,20 @@ def _near(tokens, offsets, positions, starts, n_words, windows, slop: int, share
             stands = positions[np.arange(len(places)) + shift].astype(np.int64)
             doc = np.searchsorted(starts, stands, "right") - 1
             for off in range(-slop, slop + 1):
-                out.append(_verified(tokens, starts, n_words, windows, order, places, doc, stands - np.repeat(anchor, n[part]) + off, slop, allowed))
+                out.append(_verified(lists, starts, n_words, windows, order, places, doc, stands - np.repeat(anchor, n[part]) + off, slop, allowed))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def _verified(tokens, starts, n_words, windows, order, w, doc, at, slop: int, allowed: int):
+def _verified(lists, starts, n_words, windows, order, w, doc, at, slop: int, allowed: int):
     """Document and place, as one number, of those places ``at`` of the windows ``w`` that are proximity matches."""
     missed, placed = np.zeros(len(w), np.int16), np.zeros(len(w), bool)
     for j in range(windows.shape[1]):
         off = order[w, j]
         want, own = windows[w, off], at + off
-        seen = np.zeros(len(w), bool)
-        for d in range(-slop, slop + 1):
-            p = own + d
-            same = (tokens[np.clip(p, 0, len(tokens) - 1)] == want) & (p >= starts[doc]) & (p < starts[doc] + n_words[doc])
-            seen |= same
-            if d == 0:
-                placed |= same & (want >= 0)
-        missed += ~(seen & (want >= 0))
+        low, high = starts[doc], starts[doc] + n_words[doc] - 1
+        seen = lists.hold(want, np.maximum(own - slop, low), np.minimum(own + slop, high))
+        placed |= lists.hold(want, np.maximum(own, low), np.minimum(own, high))
+        missed += ~seen
         keep = missed <= allowed
         w, doc, at, missed, placed = w[keep], doc[keep], at[keep], missed[keep], placed[keep]
         if not len(w):
@@ -151,22 +170,19 @@ def _verified(tokens, starts, n_words, windows, order, w, doc, at, slop: int, al
     return np.unique((doc[placed] << 32) + at[placed] - starts[doc[placed]] + (1 << 16))
 
 
-def search_index(index: DataFrame, windows: dict[tuple[int, ...], set], slop: int = 2, share: float = 0.8) -> DataFrame:
+def search_index(index: DataFrame, windows: dict[int, tuple[np.ndarray, list[list[str]]]], slop: int = 2, share: float = 0.8) -> DataFrame:
     """Per document: merged word spans under exact windows, the items found, and the number of proximity places."""
-    keys = list(windows)
-    items = [sorted(str(i) for i in windows[k] if i is not None) for k in keys]
-    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size in {len(k) for k in keys}:
-        rows = np.array([i for i, k in enumerate(keys) if len(k) == size])
-        by_size[size] = (rows, np.array([keys[i] for i in rows], np.uint64))
+    items, by_size = [], {}
+    for size, (hashes, ids) in windows.items():
+        by_size[size] = (np.arange(len(items), len(items) + len(ids)), hashes)
+        items += ids
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 terms, offsets, positions = np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["offsets"], np.int32).astype(np.int64), np.frombuffer(r["positions"], np.int32)
                 starts, n_words = np.array(r["starts"], np.int64), np.array(r["n_words"], np.int64)
-                tokens = np.full(int(starts[-1] + n_words[-1]) + 1, -2, np.int64)
-                tokens[positions] = np.repeat(np.arange(len(terms)), np.diff(offsets))
+                lists = _Lists(offsets, positions, int(starts[-1] + n_words[-1]) + 1)
                 got_w, got_a, got_n, near = [], [], [], []
                 for size, (rows, hashes) in by_size.items():
                     if not len(terms):
@@ -174,12 +190,12 @@ def search_index(index: DataFrame, windows: dict[tuple[int, ...], set], slop: in
                     at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
                     at = np.where(terms[at] == hashes, at, -1)
                     whole = (at >= 0).all(1)
-                    w, a = _exact(tokens, terms, offsets, positions, rows[whole], at[whole])
+                    w, a = _exact(lists, offsets, positions, rows[whole], at[whole])
                     got_w.append(w)
                     got_a.append(a)
                     got_n.append(np.full(len(w), size))
                     if slop and size > 4:
-                        near.append(_near(tokens, offsets, positions, starts, n_words, at, slop, share))
+                        near.append(_near(lists, offsets, positions, starts, n_words, at, slop, share))
                 w, a, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (got_w, got_a, got_n))
                 near = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
                 doc = np.searchsorted(starts, a, "right") - 1
@@ -216,7 +232,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, slop: int = 2, sha
     n = -(-total // benchmark_bytes) or 1
     if n == 1:
         found = windows_of([(r.item_id, bytes(r.text)) for r in bench.collect()])
-        index = materialise(build_index(documents, {t for k in found for t in k}), "postings")
+        index = materialise(build_index(documents, {t for hashes, _ in found.values() for t in np.unique(hashes).tolist()}), "postings")
         out = search_index(index, found, slop, share).drop("block", "ordinal")
     else:
         index, parts = materialise(build_index(documents, None), "postings"), None
