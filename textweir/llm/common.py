@@ -138,13 +138,19 @@ class Memo(dict):
         return value
 
 
-#: Ids (16 bytes each) that may be broadcast to take rows out; more are joined by a shuffle.
+#: Row keys (24 bytes each) that may be broadcast to take rows out; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``documents`` less the rows whose doc_id is in ``ids`` (null takes out null)."""
-    gone = materialise(ids.select(F.col("doc_id").alias("_tw_gone")).distinct(), "gone")
+def row_hash():
+    """With doc_id, what a row is told by: rows that repeat both are alike."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def without(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``documents`` less the rows whose doc_id and ``row_hash`` are in ``rows`` (doc_id, row): not those that share the id only."""
+    gone = materialise(rows.select(F.col("doc_id").alias("_tw_gone"), F.col("row").alias("_tw_gone_row")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_tw_gone"]), "left_anti")
+    keyed = documents.withColumn("_tw_row", row_hash())
+    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_tw_gone"]) & (keyed["_tw_row"] == gone["_tw_gone_row"]), "left_anti").drop("_tw_row")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, blocks, map_arrow, materialise, plain_words, without
+from .common import Memo, as_bytes, blocks, map_arrow, materialise, plain_words, row_hash, without
 
 WINDOW = 13
 #: Text bytes of a block of the index.
@@ -30,8 +30,8 @@ BENCHMARK_BYTES = 4_000_000
 #: Candidate places looked at together.
 CANDIDATES = 2_000_000
 
-INDEX = "block string, doc_ids array<bigint>, starts array<int>, n_words array<int>, terms binary, offsets binary, positions binary"
-HITS = "doc_id bigint, n_words bigint, hit_from array<int>, hit_to array<int>, items array<string>, n_near bigint, block string, ordinal int"
+INDEX = "block string, doc_ids array<bigint>, rows array<bigint>, starts array<int>, n_words array<int>, terms binary, offsets binary, positions binary"
+HITS = "doc_id bigint, row bigint, n_words bigint, hit_from array<int>, hit_to array<int>, items array<string>, n_near bigint, block string, ordinal int"
 
 
 def _term(word: bytes) -> int:
@@ -64,6 +64,7 @@ def build_index(documents: DataFrame, vocabulary: set[int] | None) -> DataFrame:
         memo = Memo(lambda w: t if (t := _term(w)) and (vocabulary is None or t in vocabulary) else 0)
         for table in blocks(batches, BLOCK_BYTES):
             ids, lengths, parts = table.column("doc_id").to_pylist(), [], []
+            rows = table.column("row").to_pylist()
             for text in table.column("text").to_pylist():
                 words = plain_words(text)
                 lengths.append(len(words))
@@ -76,11 +77,11 @@ def build_index(documents: DataFrame, vocabulary: set[int] | None) -> DataFrame:
             terms, first = np.unique(tokens[order], return_index=True)
             first = np.append(first, len(order))
             yield pa.RecordBatch.from_pydict(
-                {"block": [xxhash.xxh64_hexdigest(repr((ids[0], len(ids), ids[-1])).encode() + order.tobytes())], "doc_ids": [ids], "starts": [starts.tolist()], "n_words": [lengths], "terms": [terms.tobytes()], "offsets": [first.astype(np.int32).tobytes()], "positions": [order.astype(np.int32).tobytes()]},
-                schema=pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("offsets", pa.binary()), ("positions", pa.binary())]),
+                {"block": [xxhash.xxh64_hexdigest(repr((ids[0], len(ids), ids[-1])).encode() + order.tobytes())], "doc_ids": [ids], "rows": [rows], "starts": [starts.tolist()], "n_words": [lengths], "terms": [terms.tobytes()], "offsets": [first.astype(np.int32).tobytes()], "positions": [order.astype(np.int32).tobytes()]},
+                schema=pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("offsets", pa.binary()), ("positions", pa.binary())]),
             )
 
-    return map_arrow(documents.select("doc_id", as_bytes().alias("text")), index, INDEX)
+    return map_arrow(documents.select("doc_id", row_hash().alias("row"), as_bytes().alias("text")), index, INDEX)
 
 
 class _Lists:
@@ -216,15 +217,15 @@ def search_index(index: DataFrame, windows: dict[int, tuple[np.ndarray, list[lis
                     out["hit_to"].append([e for _, e in spans])
                     out["items"].append(sorted({i for x in np.unique(w[lo:hi]).tolist() for i in items[x]}))
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": r["doc_ids"], "n_words": r["n_words"], **out, "n_near": near_of.tolist(), "block": [r["block"]] * len(starts), "ordinal": list(range(len(starts)))},
-                    schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit_from", pa.list_(pa.int32())), ("hit_to", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("n_near", pa.int64()), ("block", pa.string()), ("ordinal", pa.int32())]),
+                    {"doc_id": r["doc_ids"], "row": r["rows"], "n_words": r["n_words"], **out, "n_near": near_of.tolist(), "block": [r["block"]] * len(starts), "ordinal": list(range(len(starts)))},
+                    schema=pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("hit_from", pa.list_(pa.int32())), ("hit_to", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("n_near", pa.int64()), ("block", pa.string()), ("ordinal", pa.int32())]),
                 )
 
     return map_arrow(index, search, HITS)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, slop: int = 2, share: float = 0.8, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans of hit words, items found, n_hit, n_near (proximity places) of every document.
+    """doc_id, row (its hash), n_words, spans of hit words, items found, n_hit, n_near (proximity places) of every document.
 
     The benchmark is read to the driver only in blocks of about ``benchmark_bytes`` of text."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), as_bytes().alias("text"))
@@ -241,7 +242,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, slop: int = 2, sha
             part = search_index(index, windows_of([(r.item_id, bytes(r.text)) for r in one.collect()]), slop, share)
             parts = part if parts is None else parts.unionByName(part)
         merged = parts.groupBy("block", "ordinal").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sum("n_near").alias("n_near"),
+            F.first("doc_id").alias("doc_id"), F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.sum("n_near").alias("n_near"),
             F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
         merged = merged.withColumn(
@@ -252,7 +253,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, slop: int = 2, sha
                 lambda acc, x: F.when((F.size(acc) > 0) & (x["hit_from"] <= F.element_at(acc, -1)["hit_to"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["hit_from"].alias("hit_from"), F.greatest(F.element_at(acc, -1)["hit_to"], x["hit_to"]).alias("hit_to"))))).otherwise(F.concat(acc, F.array(x))),
             ),
         )
-        out = merged.select("doc_id", "n_words", F.col("spans.hit_from").alias("hit_from"), F.col("spans.hit_to").alias("hit_to"), "items", "n_near")
+        out = merged.select("doc_id", "row", "n_words", F.col("spans.hit_from").alias("hit_from"), F.col("spans.hit_to").alias("hit_to"), "items", "n_near")
     return out.withColumn("n_hit", F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda x, y: x + y))
 
 

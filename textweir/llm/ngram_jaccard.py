@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, map_arrow, materialise, reclaim, shuffle_parts, without
+from .common import as_bytes, blocks, map_arrow, materialise, reclaim, row_hash, shuffle_parts, without
 from .shingles import components, mix, shingle_set, word_memo
 
 SIMILARITY = 80  # per cent
@@ -49,8 +49,8 @@ NULL_ID = -(2**63)
 #: Nodes (16 bytes each) that may be broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 
-_SCHEMA = "kind int, bucket bigint, doc_id bigint, node bigint, n bigint, surplus array<int>, sketch binary, keys binary, nodes binary"
-_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("surplus", pa.list_(pa.int32())), ("sketch", pa.binary()), ("keys", pa.binary()), ("nodes", pa.binary())])
+_SCHEMA = "kind int, bucket bigint, doc_id bigint, row bigint, node bigint, n bigint, surplus array<int>, sketch binary, keys binary, nodes binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("surplus", pa.list_(pa.int32())), ("sketch", pa.binary()), ("keys", pa.binary()), ("nodes", pa.binary())])
 NODE, PAIRS, LARGE, KEYS = 0, 1, 2, 3
 
 
@@ -133,7 +133,7 @@ def _map_blocks(bucket_bits: int, similarity: int, k: int):
                 sketches.append(sketch)
                 room.append(surplus)
             at = np.array(nodes, np.uint64)
-            yield _rows(kind=[NODE] * len(ids), bucket=(at % np.uint64(1 << 20)).astype(np.int64).tolist(), doc_id=ids, node=_signed(at), n=sizes, surplus=room, sketch=sketches)
+            yield _rows(kind=[NODE] * len(ids), bucket=(at % np.uint64(1 << 20)).astype(np.int64).tolist(), doc_id=ids, row=table.column("row").to_pylist(), node=_signed(at), n=sizes, surplus=room, sketch=sketches)
             if not keys:
                 continue
             key = np.concatenate(keys)
@@ -384,15 +384,15 @@ def _all_large_pairs(large: DataFrame, nodes: DataFrame, similarity: int) -> Dat
 
 
 def _candidates(documents: DataFrame, similarity: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, bool]:
-    """rows (doc_id, node, n), nodes, pairs of small keys within the Hamming bound, large keys' members, their texts, whether there are large keys."""
+    """rows (doc_id, row, node, n), nodes, pairs of small keys within the Hamming bound, large keys' members, their texts, whether there are large keys."""
     spark = documents.sparkSession
     size = int(str(documents.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = min(max((size // BUCKET_BYTES).bit_length(), BUCKET_BITS), 24)
-    d = documents.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), as_bytes().alias("text"))
+    d = documents.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), row_hash().alias("row"), as_bytes().alias("text"))
     keyed = map_arrow(d, _map_blocks(bits, similarity, k), _SCHEMA).repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket")
     found = materialise(map_arrow(keyed, _match, _SCHEMA), "found")
     reclaim(spark)
-    rows = found.where(F.col("kind") == NODE).select("doc_id", "node", "n")
+    rows = found.where(F.col("kind") == NODE).select("doc_id", "row", "node", "n")
     nodes = found.where((F.col("kind") == NODE) & F.col("sketch").isNotNull())
     nodes = materialise(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("surplus").alias("surplus"), F.first("sketch").alias("sketch")), "nodes")
     pairs = materialise(_within_sketch(_unpack(found.where(F.col("kind") == PAIRS), ("a", "b")).distinct(), nodes, similarity), "pairs")
@@ -411,7 +411,7 @@ def _candidates(documents: DataFrame, similarity: int, k: int) -> tuple[DataFram
 
 
 def links(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, node, n; links: a, b): every document's node, and every link between different nodes, a < b. Rows of
+    """(rows: doc_id, row, node, n; links: a, b): every document's node, and every link between different nodes, a < b. Rows of
     one node (with n > 0) are linked too, as are their copies to those of a linked node; these are not written out."""
     rows, nodes, pairs, large, texts, any_large = _candidates(documents, similarity, k)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -433,7 +433,7 @@ def link_counts(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHI
 
 
 def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, node, n; labels: node, label): every document's node, and the component of each node with links."""
+    """(rows: doc_id, row, node, n; labels: node, label): every document's node, and the component of each node with links."""
     spark = documents.sparkSession
     rows, nodes, pairs, large, texts, any_large = _candidates(documents, similarity, k)
     # a node's closest pair first; what then still lies across components is verified in full
@@ -464,26 +464,38 @@ def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE)
     return rows, labels
 
 
+def _null(c: str):
+    return F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+
+
+def _labelled(documents: DataFrame, similarity: int, k: int) -> DataFrame:
+    """rows with the label of their component."""
+    rows, labels = linked(documents, similarity, k)
+    return materialise(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+
+
 def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) of every row."""
-    rows, labels = linked(documents, similarity, k)
-    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = materialise(rows, "labelled")
+    rows = _labelled(documents, similarity, k)
     many = materialise(rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c"), "components")
     out = rows.join(many, "label", "left").withColumn("component_id", F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id"))
-    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return out.select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"))
+    return out.select(_null("doc_id"), F.col("n").alias("n_shingles"), _null("component_id"))
 
 
 def one_of_each(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """``documents`` with one document of each component: that with the smallest doc_id, of rows that repeat it one."""
-    found = materialise(near_duplicates(documents, similarity, k), "near")
-    out = without(documents, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    twice = materialise(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1"), "twice")
+    """``documents`` with one row of each component: that with the smallest doc_id (null first), of several such rows that with
+    the smallest text hash, of alike ones any. Rows that share an id but no link stay."""
+    rows = _labelled(documents, similarity, k).where("n > 0")
+    many = rows.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    many = materialise(many.select("label", F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row")), "components")
+    members = materialise(rows.join(many, "label").select(_null("doc_id"), "row", ((F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row"))).alias("stays")), "members")
+    out = without(documents, members.where("not stays"))
+    twice = materialise(members.where("stays").groupBy("doc_id", "row").count().where("count > 1"), "twice")
     if twice.isEmpty():
         return out
-    repeated = out.join(twice.select("doc_id"), "doc_id", "left_semi").select(documents.columns)
-    return without(out, twice).unionByName(repeated.dropDuplicates(["doc_id"]))
+    alike = out.withColumn("_tw_row", row_hash())
+    alike = alike.join(twice.select(F.col("doc_id").alias("_tw_id"), F.col("row").alias("_tw_twice")), F.col("doc_id").eqNullSafe(F.col("_tw_id")) & (F.col("_tw_row") == F.col("_tw_twice")), "left_semi")
+    return without(out, twice).unionByName(alike.dropDuplicates(["doc_id", "_tw_row"]).select(documents.columns))
 
 
 def op3(documents: DataFrame) -> DataFrame:
