@@ -306,6 +306,17 @@ def test_packing(docs, rows, empty):
     assert packing.op6(empty).collect() == []
 
 
+def test_local_search_empties_bins():
+    sizes = np.array([4, 4, 3, 3, 3, 3])
+    before = np.array(packing.best_fit(sizes.tolist(), 10))
+    assert len(set(before)) == 3 and len(set(packing.improve(sizes, before, 10).tolist())) == 2
+    for low, high in ((300, 1500), (600, 1100)):
+        sizes = -np.sort(-np.random.default_rng(2).integers(low, high, 1500))
+        before = np.array(packing.best_fit(sizes.tolist()))
+        after = packing.improve(sizes, before)
+        assert len(np.unique(after)) < len(np.unique(before)) and np.bincount(after, weights=sizes).max() <= packing.CAPACITY
+
+
 def test_local_search_only_improves():
     r = np.random.default_rng(0)
     for low, high in ((300, 1500), (1, 2049), (600, 1100)):

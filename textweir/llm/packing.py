@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -22,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_arrow, materialise, parts_for
+from .common import Memo, as_bytes, map_arrow, materialise, parts_for
 
 CAPACITY = 2048
 #: Pieces a shard; its bins waste less than one sequence.
 SHARD_ITEMS = 40_000
-#: Bins in a row, emptiest first, that the local search fails to empty before it ends.
-PATIENCE = 24
 
 #: Marks that may close a chunk; no apostrophe, which the tokenizer joins with letters.
 CLOSING = ".,;:!?#%&*$|"
@@ -48,61 +47,102 @@ class ChunkEncoder:
 
     The tokenizer drops white space and never looks across it, so space-separated chunks are encoded once and kept. It
     also splits letters from marks and lower-cases, so a chunk of letters and closing marks is put together from its
-    lower-cased letters and its marks; letters not met before are encoded together, as words of one text. Both stores
-    empty themselves at ``limit`` entries."""
+    lower-cased letters and its marks. A block's chunks are found and told apart in numpy, by a 64-bit hash; only its
+    different chunks are looked up. The store empties itself at ``limit`` entries."""
 
     def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.chunks: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
         self.marks = Memo(self.whole, 10_000)
+        self.powers = np.ones(1, np.uint64)
 
     def whole(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, cores: list[str]) -> None:
-        """Lower-cased words of letters only: each is one pre-token, numbered in order."""
-        got = self.tokenizer.encode(" ".join(cores), add_special_tokens=False)
-        at = np.array(got.word_ids, np.int64)
-        ends = 4 * np.searchsorted(at, np.arange(len(cores)), "right")
-        data = np.array(got.ids, "<u4").tobytes()
-        if len(at) and at[-1] == len(cores) - 1 and np.all(np.diff(at) >= 0):
-            self.cores.update(zip(cores, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
-        else:
-            self.cores.update((c, self.whole(c)) for c in cores)
-
-    def prepare(self, fresh: list[str]) -> None:
-        if len(self.cores) + len(fresh) > self.limit:
-            self.cores = {"": b""}
-        split: list[tuple[str, str, str]] = []
-        for chunk in fresh:
+    def learn(self, cores: list[bytes]) -> None:
+        """Lower-cased words of letters only: each is one pre-token, which the model takes by its bytes' symbols."""
+        tokenize, known = self.tokenizer.model.tokenize, self.known
+        for core in cores:
+            symbols = core.decode("latin-1")
+            ids = [t.id for t in tokenize(symbols if core.isascii() else symbols.translate(_SYMBOLS))]
+            known[core] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def prepare(self, fresh: list[bytes]) -> None:
+        known = self.known
+        split: list[tuple[bytes, bytes, str]] = []
+        new = []
+        for raw in fresh:
+            if raw.isalpha() and raw.islower():  # ASCII letters
+                new.append(raw)
+                continue
+            chunk = raw.decode()
             letters = chunk.rstrip(CLOSING)
             core = letters.lower() if letters.isascii() else unicodedata.normalize("NFC", letters).lower()
-            if core.isalpha() and (letters.isascii() or not _SPECIAL.intersection(letters)):
-                split.append((chunk, core, chunk[len(letters) :]))
+            if core.isalpha() and (letters.isascii() or _SPECIAL.isdisjoint(letters)):
+                split.append((raw, core.encode(), chunk[len(letters) :]))
             else:
-                self.chunks[chunk] = self.whole(chunk)
-        if new := list(dict.fromkeys(core for _, core, _ in split if core not in self.cores)):
+                known[raw] = self.whole(chunk)
+        new = list({core for _, core, _ in split if core not in known}.union(new))
+        if new:
             self.learn(new)
-        self.chunks.update((chunk, self.cores[core] + self.marks[mark] if mark else self.cores[core]) for chunk, core, mark in split)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        found = [t.replace("\n", " ").split(" ") for t in texts]
-        every: set[str] = set()
-        for f in found:
-            every.update(f)
-        if len(self.chunks) + len(every) > self.limit:
-            self.chunks.clear()
-        fresh = [c for c in every if c not in self.chunks]
-        if fresh:
+        known.update((raw, known[core] + self.marks[mark] if mark else known[core]) for raw, core, mark in split if raw != core)
+
+    def _hashes(self, letters: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A hash of each chunk; ``letters``: the chunks' bytes without what separates them."""
+        if int(lengths.max()) > len(self.powers):
+            self.powers = np.cumprod(np.full(2 * int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+        place = np.arange(len(letters)) - np.repeat(begins, lengths)
+        return np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * self.powers[place], begins)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        data = b"\n".join([*texts, b""])
+        if not any(x in data for x in _CASED):
+            data = data.lower()
+        b = np.frombuffer(data, np.uint8)
+        gap = (b == 32) | (b == 10)
+        # a comma or full stop at the end of a chunk stands by itself, unless it belongs to a run of marks, which is one pre-token
+        mark = (b == 44) | (b == 46)
+        mark[1:] &= _LETTERS[b[:-1]]
+        mark[:-1] &= gap[1:]
+        mark[0] = False
+        breaks = gap | mark
+        starts = np.flatnonzero(~gap & (mark | np.append(True, gap[:-1])))
+        ends = np.flatnonzero(~gap & np.append(breaks[1:], True)) + 1
+        if not len(starts):
+            return [b""] * len(texts)
+        lengths = ends - starts
+        begins = np.cumsum(lengths) - lengths
+        _, first, inverse = np.unique(self._hashes(b[~gap], begins, lengths), return_index=True, return_inverse=True)
+        words = [data[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())]
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            fresh = [w for w, v in zip(words, ids) if v is None]
+            if len(self.known) + len(fresh) > self.limit:
+                self.known.clear()
+                fresh = words
             self.prepare(fresh)
-        return [b"".join(map(self.chunks.__getitem__, f)) for f in found]
-
-
+            ids = list(map(self.known.__getitem__, words))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, at = np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(size) - size)[inverse]
+        n = size[inverse]
+        total = np.cumsum(n)
+        out = table[np.repeat(at - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
+        cuts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        cuts = np.append(0, total)[cuts]
+        return [out[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+#: Symbols of bytes in byte-level vocabularies: printable Latin-1 characters stand for themselves, the others follow from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SYMBOLS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 #: Letters whose lower case depends on their neighbours or grows.
 _SPECIAL = frozenset("Σİ")
+#: Bytes of a text whose ASCII letters keep their case: perhaps a special token, or marks that compose with a letter.
+_CASED = (b"<|", b"\xcc", b"\xcd")
+#: Bytes of ASCII letters and digits.
+_LETTERS = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -111,16 +151,17 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def encode_blocks(encode: ChunkEncoder, texts: list[str], chars: int = 4_000_000) -> Iterator[bytes]:
-    """Encode so much text at a time that its distinct chunks fit the stores."""
-    held, size = [], 0
+def encode_blocks(encode: ChunkEncoder, texts: list[bytes], size: int = 2_000_000) -> Iterator[bytes]:
+    """Encode so much text at a time that its chunks fit in memory."""
+    held, total = [], 0
     for t in texts:
         held.append(t)
-        size += len(t)
-        if size >= chars:
+        total += len(t)
+        if total >= size:
             yield from encode(held)
-            held, size = [], 0
-    yield from encode(held)
+            held, total = [], 0
+    if held:
+        yield from encode(held)
 
 
 def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -131,8 +172,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
         encode = _encoder(path)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_blocks(encode, texts)):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_blocks(encode, batch.column("text").to_pylist())):
                 ids += b"\0\0\0\0"
                 n = len(ids) // 4
                 for k, start in enumerate(range(0, n, capacity)):
@@ -143,7 +183,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
                     out["ids_crc32"].append(zlib.crc32(ids[4 * start : 4 * (start + capacity)]))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
-    return map_arrow(documents.select("doc_id", "text"), cut, PIECES)
+    return map_arrow(documents.select("doc_id", as_bytes().alias("text")), cut, PIECES)
 
 
 def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
@@ -169,16 +209,18 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY, patience: int = PATIENCE) -> np.ndarray:
-    """Local search over underfull bins: move, one-for-one, then two-for-one, each only if the squared fill grows."""
+def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """Local search over underfull bins: move, one-for-one, then two-for-one, each only if the squared fill grows. It ends when
+    no bin has an exchange left, or when there are no more bins than the tokens fill."""
     bins = bins.copy()
     fill = np.bincount(bins, weights=sizes).astype(np.int64)
     of: list[list[int]] = [[] for _ in fill]
     loose = np.flatnonzero(fill[bins] < capacity)
     for i in loose:
         of[bins[i]].append(int(i))
-    tried: set[int] = set()
-    failed = 0
+    tried: set[int] = set()  # bins without an exchange in this pass, unless they changed since; a pass without any is the last
+    again = False
+    least = -(-int(sizes.sum()) // capacity)
 
     def shift(item: int, to: int) -> None:
         of[bins[item]].remove(item)
@@ -186,12 +228,16 @@ def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY, patie
         bins[item] = to
         of[to].append(item)
         fill[to] += sizes[item]
+        tried.discard(to)
 
     open_bins = np.flatnonzero((fill < capacity) & (fill > 0))
-    while failed < patience and len(open_bins) > 1:
+    while len(open_bins) > 1 and int((fill > 0).sum()) > least:
         live = [b for b in open_bins.tolist() if b not in tried and 0 < fill[b] < capacity]
         if not live:
-            break
+            if not again:
+                break
+            tried, again = set(), False
+            continue
         source = min(live, key=lambda b: (fill[b], b))
         changed = False
         for item in sorted(of[source], key=lambda i: -sizes[i]):
@@ -228,10 +274,8 @@ def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY, patie
                     shift(other, source)
                     changed = True
                     break
-        if not fill[source]:
-            failed, tried = 0, set()
-        elif not changed or fill[source] >= capacity:
-            failed += 1
+        again |= changed
+        if not changed:
             tried.add(source)
         open_bins = open_bins[fill[open_bins] > 0]
     return bins
