@@ -43,8 +43,11 @@ CROWD = 64
 #: Text bytes of a map block; bytes of estimated input a bucket of keys, and the fewest bits of a bucket's number, so that a
 #: block's keys travel in rows of some kilobytes; nodes of a block of a large key; entries of a row of the stash.
 BLOCK_BYTES, BUCKET_BYTES, BUCKET_BITS, BLOCK_NODES, STASH = 6_000_000, 4_000_000, 12, 8192, 4096
-#: Rows of whole texts in an Arrow batch, sets that a worker keeps, pairs that it hands on at once.
-SET_ROWS, KEPT_SETS, PAIRS_AT_ONCE = 100, 32, 100_000
+#: Bytes of estimated input whose keys (about twice as many bytes) are matched in one task. A pair goes out once a task.
+PARTITION_BYTES = 32_000_000
+#: Rows of whole texts in an Arrow batch, sets that a worker keeps, pairs that it hands on at once, pairs that it holds to drop
+#: repeated ones.
+SET_ROWS, KEPT_SETS, PAIRS_AT_ONCE, PAIRS_HELD = 100, 32, 100_000, 3_000_000
 NULL_ID = -(2**63)
 #: Nodes (16 bytes each) that may be broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
@@ -106,6 +109,24 @@ def part_keys(tokens: np.ndarray, bands: list[int], similarity: int) -> tuple[li
     return keys, surplus
 
 
+def _packed(key: np.ndarray) -> bytes:
+    """Keys of one bucket, five bytes each: 32 bits below the bucket's and the band. Keys that coincide in these only propose more."""
+    return ((key >> np.uint64(64 - BUCKET_BITS - 32)) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (key & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def _unpacked(bucket: int, packed: bytes) -> np.ndarray:
+    """The keys again, told apart across buckets by the bucket's bits (the lower ones where it has more than BUCKET_BITS)."""
+    n = len(packed) // 5
+    low = np.frombuffer(packed, "<u4", n).astype(np.uint64) << np.uint64(8) | np.frombuffer(packed, np.uint8, n, 4 * n)
+    return low | np.uint64(bucket) << np.uint64(40)
+
+
+def _shortened(key: np.ndarray, bucket_bits: int) -> np.ndarray:
+    """Whole keys as ``_unpacked`` gives them."""
+    low = ((key >> np.uint64(64 - BUCKET_BITS - 32)) & np.uint64(0xFFFFFFFF)) << np.uint64(8) | key & np.uint64(255)
+    return low | (key >> np.uint64(64 - bucket_bits)) << np.uint64(40)
+
+
 def _signed(a: np.ndarray) -> list[int]:
     return a.view(np.int64).tolist()
 
@@ -144,7 +165,8 @@ def _map_blocks(bucket_bits: int, similarity: int, k: int):
             count = np.diff(np.append(starts, len(key)))
             crowd = np.repeat(count > CROWD, count)
             if crowd.any():
-                parts = [(key[crowd][i : i + STASH], node[crowd][i : i + STASH]) for i in range(0, int(crowd.sum()), STASH)]
+                crowded = _shortened(key[crowd], bucket_bits)
+                parts = [(crowded[i : i + STASH], node[crowd][i : i + STASH]) for i in range(0, int(crowd.sum()), STASH)]
                 yield _rows(kind=[LARGE] * len(parts), bucket=[int(n[0] % np.uint64(1 << 20)) for _, n in parts], keys=[k.tobytes() for k, _ in parts], nodes=[n.tobytes() for _, n in parts])
                 marks = key[starts[count > CROWD]]  # node 0 tells the bucket that the key is large
                 key, node = np.concatenate([key[~crowd], marks]), np.concatenate([node[~crowd], np.zeros(len(marks), np.uint64)])
@@ -153,7 +175,7 @@ def _map_blocks(bucket_bits: int, similarity: int, k: int):
             bucket = (key >> np.uint64(64 - bucket_bits)).astype(np.int64)
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = np.append(starts[1:], len(key))
-            yield _rows(kind=[KEYS] * len(starts), bucket=bucket[starts].tolist(), keys=[key[a:b].tobytes() for a, b in zip(starts, ends)], nodes=[node[a:b].tobytes() for a, b in zip(starts, ends)])
+            yield _rows(kind=[KEYS] * len(starts), bucket=bucket[starts].tolist(), keys=[_packed(key[a:b]) for a, b in zip(starts, ends)], nodes=[node[a:b].tobytes() for a, b in zip(starts, ends)])
 
     return run
 
@@ -167,18 +189,34 @@ def _small_pairs(starts: np.ndarray, count: np.ndarray, node: np.ndarray) -> tup
         b.append(node[at[:, j]].ravel())
     if not a:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    return both[:, 0], both[:, 1]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _in_rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    cuts = range(0, len(a), STASH)
+    return _rows(kind=[kind] * len(cuts), keys=[a[i : i + STASH].tobytes() for i in cuts], nodes=[b[i : i + STASH].tobytes() for i in cuts])
+
+
+def _once(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[fresh], b[fresh]
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by bucket: other rows pass; a bucket's keys become pairs of small keys and memberships of large ones."""
+    """Batches sorted by bucket: other rows pass; a bucket's keys become pairs of small keys and memberships of large ones.
+    Two alike sets share nearly all their keys: of the buckets that a task has at hand each pair goes out once."""
     held, at = [], None
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
     def flush():
+        nonlocal size
         if not held:
             return
-        key, node = (np.concatenate([np.frombuffer(x[i], np.uint64) for x in held]) for i in (0, 1))
+        key, node = np.concatenate([_unpacked(at, k) for k, _ in held]), np.concatenate([np.frombuffer(n, np.uint64) for _, n in held])
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
@@ -188,10 +226,17 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = (count > SMALL_KEY) | (node[starts] == 0)
         a, b = _small_pairs(starts[~large & (count > 1)], count[~large & (count > 1)], node)
         if len(a):
-            yield _rows(kind=[PAIRS], keys=[a.tobytes()], nodes=[b.tobytes()])
+            waiting.append((a, b))
+            size += len(a)
         keep = np.repeat(large, count) & (node != 0)
         if keep.any():
-            yield _rows(kind=[LARGE], keys=[key[keep].tobytes()], nodes=[node[keep].tobytes()])
+            yield _in_rows(LARGE, key[keep], node[keep])
+        if size >= PAIRS_HELD:
+            waiting[:] = [_once(waiting)]
+            size = len(waiting[0][0])
+            if size >= PAIRS_HELD // 2:
+                yield _in_rows(PAIRS, *waiting.pop())
+                size = 0
 
     for batch in batches:
         kinds = batch.column("kind").to_numpy()
@@ -203,6 +248,8 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, at = [], r["bucket"]
             held.append((r["keys"], r["nodes"]))
     yield from flush()
+    if waiting:
+        yield _in_rows(PAIRS, *_once(waiting))
 
 
 def _unpack(df: DataFrame, names: tuple[str, str]) -> DataFrame:
@@ -389,7 +436,8 @@ def _candidates(documents: DataFrame, similarity: int, k: int) -> tuple[DataFram
     size = int(str(documents.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = min(max((size // BUCKET_BYTES).bit_length(), BUCKET_BITS), 24)
     d = documents.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), row_hash().alias("row"), as_bytes().alias("text"))
-    keyed = map_arrow(d, _map_blocks(bits, similarity, k), _SCHEMA).repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket")
+    tasks = max(spark.sparkContext.defaultParallelism, size // PARTITION_BYTES) if size < 1 << 50 else shuffle_parts(spark)  # else unknown
+    keyed = map_arrow(d, _map_blocks(bits, similarity, k), _SCHEMA).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     found = materialise(map_arrow(keyed, _match, _SCHEMA), "found")
     reclaim(spark)
     rows = found.where(F.col("kind") == NODE).select("doc_id", "row", "node", "n")
