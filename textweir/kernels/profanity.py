@@ -121,20 +121,27 @@ _ATOM = regex.compile(r"\[\^?\]?[^\]]*\]|\\p\{[^}]*\}|\\.|\(\?[:=!<][=!]?|\(|\)|
 def loosened(source: str, stretch: bool) -> str:
     """The pattern with separators allowed between its letters, and repeats of them if ``stretch``."""
     atoms, out, plain = _ATOM.findall(source), [], []
+    first, opened = True, [True]  # whether a match can begin here; the same at the start of each open group
     for i, a in enumerate(atoms):
         if a.startswith("("):
             plain.append(a == "(?:")
+            opened.append(first)
             out.append(a)
         elif a == ")":
             plain and plain.pop()
+            len(opened) > 1 and opened.pop()
+            first = False
             out.append(a)
-        elif a == "|" or a[0] in "?*+{":
+        elif a == "|":
+            first = opened[-1]
+            out.append(a)
+        elif a[0] in "?*+{":
             out.append(a)
         elif all(plain):
             quantifier = atoms[i + 1] if i + 1 < len(atoms) and atoms[i + 1][0] in "?*+{" else ""
             letter = f"{a}+" if stretch and not quantifier else a
-            first = not any(x for x in out if x not in ("(?:", "|"))
             out.append(letter if first else f"(?:{_BETWEEN}{letter})")
+            first = False
         else:
             out.append(a)
     return "".join(out)
@@ -149,15 +156,16 @@ _SHORT, _REMEMBERED = 64, 200_000
 MODES = ("strict", "loose")
 
 #: Two views in which the letters of a loosened match stand together: with the digits that stand for letters, and without.
-_SQUEEZE = (regex.compile(r"[^\p{L}@\n]+|([\p{L}@])(?=\1)"), regex.compile(r"[^\p{L}@0369\n]+|([\p{L}@])(?=\1)"))
+_STRIPPED = (regex.compile(r"[^\p{L}@\n]+"), regex.compile(r"[^\p{L}@0369\n]+"))
+_DOUBLED = regex.compile(r"([\p{L}@])\1+")
 _DIGITS, _MARKS = regex.compile("[0369]"), regex.compile(rf"[\p{{M}}{_GONE}]+")
 
 
 def _views(s: str) -> Iterator[str]:
     """The squeezed views of lines: letters only, then with the digits if there are any."""
-    yield _SQUEEZE[0].sub("", s)
+    yield _DOUBLED.sub(r"\1", _STRIPPED[0].sub("", s))
     if _DIGITS.search(s):
-        yield _SQUEEZE[1].sub("", s)
+        yield _DOUBLED.sub(r"\1", _STRIPPED[1].sub("", s))
 
 
 def _squeezed(source: str) -> str:
@@ -208,7 +216,8 @@ class ProfanityFilter:
         d, strategy = self.dictionary, self.strategy
         rules = sorted(d.rules if d else (), key=lambda r: -len(r.source))
         strict = [(p, r) for r in rules if r.strict and (p := _compiled(f"(?:{fold_pattern(r.source)})"))]
-        loose = [(p, r) for r in rules if r.loose and (p := _compiled(f"{_BEGIN}(?:{loosened(fold_pattern(r.source), r.loose.stretch)}){_END_OF}"))]
+        # longest match: between spread letters every ending, the empty one too, would do
+        loose = [(p, r) for r in rules if r.loose and (p := _compiled(f"(?p){_BEGIN}(?:{loosened(fold_pattern(r.source), r.loose.stretch)}){_END_OF}"))]
         known = [t for t in terms(self.strict_terms)]
         words = {fold(t, strategy): t for t in known if _TOKEN.fullmatch(fold(t, strategy))}
         phrases = [p for t in known if fold(t, strategy) not in words and (p := _compiled(literal_pattern(t, False, strategy)))]
@@ -229,6 +238,18 @@ class ProfanityFilter:
     def with_loose(self, *values: object) -> ProfanityFilter:
         return replace(self, loose_terms=tuple(terms([*self.loose_terms, *values])))
 
+    def replace_strict(self, *values: object) -> ProfanityFilter:
+        return replace(self, strict_terms=tuple(terms(values)))
+
+    def replace_loose(self, *values: object) -> ProfanityFilter:
+        return replace(self, loose_terms=tuple(terms(values)))
+
+    def without_strict(self, *values: object) -> ProfanityFilter:
+        return replace(self, strict_terms=tuple(t for t in self.strict_terms if t not in terms(values)))
+
+    def without_loose(self, *values: object) -> ProfanityFilter:
+        return replace(self, loose_terms=tuple(t for t in self.loose_terms if t not in terms(values)))
+
     def _token(self, token: str) -> tuple[tuple[int, int, Rule | None], ...] | None:
         """Matches inside a token, None if there are none; remembered for up to 200,000 tokens."""
         memo = self._any[2]
@@ -244,10 +265,10 @@ class ProfanityFilter:
 
         clean = token if token.isascii() else _MARKS.sub("", token)
         hit = first(clean) or first(clean.strip("-_"))
-        out: list[tuple[int, int, Rule | None]] = []
-        if hit or clean in words:
-            out = [(0, len(token), hit)]
-        elif "-" in token:
+        out: list[tuple[int, int, Rule | None]] = [(0, len(token), None)] if clean in words else []
+        if hit:
+            out.insert(0, (0, len(token), hit))
+        if not out and "-" in token:
             at = 0
             for part in token.split("-"):
                 hit = first(_MARKS.sub("", part))
@@ -371,22 +392,35 @@ def _one_word(part: str) -> bool:
 
 # --- English ---------------------------------------------------------------
 
-_EN = [
-    ("en.obscene.fuck.family", "OBSCENE_MAT", "high", "(?:f[uυ]ck(?:ed|[iι]ng|en)?|f[aα]ck|f[iι]ck)", True),
-    ("en.obscene.shit", "OBSCENE_MAT", "high", "shit", True),
-    ("en.vulgar.dick", "VULGAR", "medium", "d[iι]ck(?:heads?)?", False),
-    ("en.insult.motherfucker", "STRONG_INSULT", "high", "motherfucker", False),
-    ("en.vulgar.cock", "VULGAR", "medium", "cock", False),
-    ("en.insult.bitch", "STRONG_INSULT", "medium", "b[iι]t?ch", True),
-    ("en.insult.whore", "STRONG_INSULT", "high", "whore", True),
-    ("en.insult.nigga", "STRONG_INSULT", "high", "nigga", True),
-    ("en.vulgar.suck", "VULGAR", "medium", "s[uυ]ck(?:ed|[iι]ng)?", True),
-    ("en.insult.fag", "STRONG_INSULT", "high", "fag", True),
-    ("en.insult.faggot", "STRONG_INSULT", "high", "f[aα]ggots?", True),
-    ("en.insult.asshole", "STRONG_INSULT", "high", "[aα]ssholes?", False),
-    ("en.insult.bastard", "STRONG_INSULT", "medium", "bastard", False),
-]
-ENGLISH = Dictionary("en", tuple(Rule(i, c, s, p, True, Loose() if loose else None) for i, c, s, p, loose in _EN), "latin-preserving")
+#: English rules by what users see of them (fixed values: id, category, severity), with the words that each covers, as stems and
+#: their endings, and whether spread and stretched spellings count.
+ENGLISH_WORDS = {
+    "en.insult.asshole": ("STRONG_INSULT", "high", {"asshole": "s"}, False),
+    "en.insult.bastard": ("STRONG_INSULT", "medium", {"bastard": ""}, False),
+    "en.insult.bitch": ("STRONG_INSULT", "medium", {"bitch": "", "bich": ""}, True),
+    "en.insult.fag": ("STRONG_INSULT", "high", {"fag": ""}, True),
+    "en.insult.faggot": ("STRONG_INSULT", "high", {"faggot": "s"}, True),
+    "en.insult.motherfucker": ("STRONG_INSULT", "high", {"motherfucker": ""}, False),
+    "en.insult.nigga": ("STRONG_INSULT", "high", {"nigga": ""}, True),
+    "en.insult.whore": ("STRONG_INSULT", "high", {"whore": ""}, True),
+    "en.obscene.fuck.family": ("OBSCENE_MAT", "high", {"fuck": "ed en ing", "fack": "", "fick": ""}, True),
+    "en.obscene.shit": ("OBSCENE_MAT", "high", {"shit": ""}, True),
+    "en.vulgar.cock": ("VULGAR", "medium", {"cock": ""}, False),
+    "en.vulgar.dick": ("VULGAR", "medium", {"dick": "head heads"}, False),
+    "en.vulgar.suck": ("VULGAR", "medium", {"suck": "ed ing"}, True),
+}
+#: Greek letters that stand for Latin ones (fixed values).
+_GREEK = {"a": "α", "i": "ι", "u": "υ"}
+
+
+def word_pattern(words: dict[str, str]) -> str:
+    """A pattern of stems with their endings, each letter also as its look-alike."""
+    spelt = lambda w: "".join(f"[{c}{_GREEK[c]}]" if c in _GREEK else c for c in w)
+    endings = lambda e: f"(?:{'|'.join(map(spelt, e.split()))})?" if e else ""
+    return "|".join(spelt(stem) + endings(e) for stem, e in words.items())
+
+
+ENGLISH = Dictionary("en", tuple(Rule(i, category, severity, word_pattern(words), True, Loose() if loose else None) for i, (category, severity, words, loose) in ENGLISH_WORDS.items()), "latin-preserving")
 
 _LINKISH = regex.compile(r"(?<![\p{L}\p{N}])(?:[a-z][a-z0-9+.-]*://\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?:[\w-]+\.)+[a-z]{2,}(?:/\S*)?|/[\w./-]+)", regex.IGNORECASE)
 _MENTION = regex.compile(r"(?<![\p{L}\p{N}@])@[\w-]+")
@@ -487,11 +521,11 @@ class Profile:
 
 
 def russian_profile() -> Profile:
-    return Profile("ru", "ru", russian_filter())
+    return Profile("ru:default", "ru", russian_filter())
 
 
 def english_profile() -> Profile:
-    return Profile("en", "en", english_filter())
+    return Profile("en:default", "en", english_filter())
 
 
 @dataclass(frozen=True)

@@ -87,6 +87,10 @@ class _View:
                 raw.append("." if c in DOTS or f in DOTS else " " if f in SPACES else f)
             self.raw = "".join(raw)
         self.text = text
+        self.dots: dict[tuple[int, bool], tuple[int, bool] | None] = {}
+        self.labels: dict[tuple[int, bool], tuple[int, str] | None] = {}
+        self.pieces: dict[int, tuple[int, str] | None] = {}
+        self.known: dict[str, bool] = {}
         self.skeleton = self.raw if text.isascii() else self.raw.translate(LOOKALIKES)
         self.n = len(text)
 
@@ -119,6 +123,20 @@ _RAW_DOT = regex.compile(rf"т[\s{Z}]*о[\s{Z}]*ч[\s{Z}]*к[\s{Z}]*а(?![\p{{L}
 
 
 def _dot(v: _View, i: int, explicit: bool) -> tuple[int, bool] | None:
+    """``_read_dot``, once a place: in a chain of labels each one's rest is looked at again."""
+    if (i, explicit) not in v.dots:
+        v.dots[i, explicit] = _read_dot(v, i, explicit)
+    return v.dots[i, explicit]
+
+
+def _label(v: _View, i: int, explicit: bool) -> tuple[int, str] | None:
+    """``_read_label``, once a place."""
+    if (i, explicit) not in v.labels:
+        v.labels[i, explicit] = _read_label(v, i, explicit)
+    return v.labels[i, explicit]
+
+
+def _read_dot(v: _View, i: int, explicit: bool) -> tuple[int, bool] | None:
     """(end, spaced) of a dot at ``i`` with the blanks around it: a real one, a bracketed one, or a word in blanks."""
     j = v.skip_blank(i)
     if j >= v.n:
@@ -151,7 +169,7 @@ def _dot(v: _View, i: int, explicit: bool) -> tuple[int, bool] | None:
     return None
 
 
-def _label(v: _View, i: int, explicit: bool) -> tuple[int, str] | None:
+def _read_label(v: _View, i: int, explicit: bool) -> tuple[int, str] | None:
     """(end, folded text) of a host label: letters, digits, inner hyphens, zero-width marks inside."""
     j, out, last = i, [], i
     while j < v.n:
@@ -185,6 +203,13 @@ def _label(v: _View, i: int, explicit: bool) -> tuple[int, str] | None:
 
 
 def _split_label(v: _View, i: int) -> tuple[int, str] | None:
+    """``_read_pieces``, once a place."""
+    if i not in v.pieces:
+        v.pieces[i] = _read_pieces(v, i)
+    return v.pieces[i]
+
+
+def _read_pieces(v: _View, i: int) -> tuple[int, str] | None:
     """Letters set apart by single blanks: 'e x a m p l e'."""
     out, j, end = [], i, i
     while v.word(j) and not v.word(j + 1):
@@ -215,6 +240,13 @@ def _host(v: _View, i: int, cfg: UrlConfig, explicit: bool) -> _Host | None:
             return None
         return _Host(close + 1, [inner])
     labels, best, spaced, at, used = [], None, False, i, 0
+    zeros, known = Z in v.raw, v.known
+
+    def is_known(label: str) -> bool:
+        if label not in known:
+            known[label] = _known(label, cfg)
+        return known[label]
+
     while len(labels) < 127:
         got = (_split_label(v, at) if explicit or labels and spaced else None) or _label(v, at, explicit)
         if not got:
@@ -224,12 +256,12 @@ def _host(v: _View, i: int, cfg: UrlConfig, explicit: bool) -> _Host | None:
         if labels:
             if not explicit or spaced:
                 head = text.split("-")[0]
-                if not _known(text, cfg) and _known(head, cfg) and "-" in text:  # example.com-like
+                if not is_known(text) and is_known(head) and "-" in text:  # example.com-like
                     tld, tld_end = head, at + len(head)
-                zero = v.raw.find(Z, at, end)
-                if not _known(tld, cfg) and zero > 0 and _known(v.raw[at:zero], cfg):  # example.com<zero width>next
+                zero = v.raw.find(Z, at, end) if zeros else -1
+                if not is_known(tld) and zero > 0 and is_known(v.raw[at:zero]):  # example.com<zero width>next
                     tld, tld_end = v.raw[at:zero], zero
-            if _known(tld, cfg):
+            if is_known(tld):
                 best = _Host(tld_end, [*labels, tld], spaced)
             elif explicit and not spaced:
                 best = _Host(end, [*labels, text], spaced)
@@ -246,7 +278,7 @@ def _host(v: _View, i: int, cfg: UrlConfig, explicit: bool) -> _Host | None:
             break
         if best and dot[1] and not spaced and best.end == end:
             nxt = (_split_label(v, dot[0]) if explicit else None) or _label(v, dot[0], explicit)
-            if not nxt or not _known(nxt[1], cfg):
+            if not nxt or not is_known(nxt[1]):
                 break
         at, spaced = dot[0], spaced or dot[1]
     return best
