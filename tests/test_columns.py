@@ -14,6 +14,17 @@ def test_merge_adjacent_and_drop_bad(spark):
     assert T.merge([(0, 2), (2, 4), (5, 8), (6, 7)]) == [(0, 4), (5, 8)]
 
 
+def test_merge_of_many_ranges(spark):
+    import random
+
+    r = random.Random(2)
+    for n in (0, 1, 255, 256, 257, 512, 513, 3000):
+        for reach in (1, 40, 3000):
+            given = [(float(a), float(a + r.randrange(1, reach + 1))) for a in (r.randrange(0, 20_000) for _ in range(n))]
+            got = one(spark, C.merge_ranges("r"), r=given)
+            assert [(x.start, x.end) for x in got] == T.merge([(int(a), int(b)) for a, b in given])
+
+
 def test_masks(spark):
     cases = [("a😀z", [(1.0, 2.0)], "*", "a*z", "a**z"), ("a😀z", [(1.0, 2.0)], "#", "a#z", "a##z"), ("abc", [(1.0, 9.0)], "", "a**", "a**"), ("abc", [], "x", "abc", "abc"), (None, [(0.0, 1.0)], "*", "", ""), ("abcd", [(-2.0, 1.0), (3.0, 4.0)], "ab", "abca"[:0] + "abca"[:1] + "bc" + "a", "abca"[:1] + "bc" + "a")]
     for text, ranges, mask, plain, preserved in cases:

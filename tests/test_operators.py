@@ -53,6 +53,16 @@ def test_guards_stop_rows_before_later_guards(spark):
     assert seen[0] == [1, 4]
 
 
+def test_two_spam_guards_in_one_pass_each(spark):
+    rows, df = messages(spark)
+    first, second = K.SpamConfig(duplicate_window_ms=0), K.SpamConfig(min_interval_ms=0, duplicate_window_ms=9000, burst_max_messages=2)
+    a, b, want = K.SpamGuard(first), K.SpamGuard(second), {}
+    for seq, actor, text, now in rows:
+        want[seq] = a.check(actor, text, now) or b.check(actor, text, now)
+    out = TextPipeline().guard(spam.guard(first)).guard(spam.guard(second)).check(df)
+    assert {r.seq: r.reason for r in out.collect()} == want and out.where("allowed <> (reason is null)").isEmpty()
+
+
 def fold(steps, **options):
     g = K.SpamGuard(**options)
     return [g.check(*s) for s in steps]

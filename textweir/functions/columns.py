@@ -89,13 +89,38 @@ def normalize_ranges(ranges: Column | str) -> Column:
     return F.filter(whole, lambda r: F.coalesce(r["end"] > r["start"], F.lit(False)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, inside an expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Ranges that are joined in one fold; growing an array by one copies it, so longer arrays are folded in parts.
+_FOLD = 256
+
+
 def merge_ranges(ranges: Column | str) -> Column:
-    """Sorted by start, with overlapping and adjacent ranges joined."""
-    none = F.array().cast(RANGES)
-    last = lambda acc: F.element_at(acc, -1)
-    joined = lambda acc, r: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], r["end"]).alias("end"))))
-    step = lambda acc, r: F.when((F.size(acc) > 0) & (r["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined(acc, r)).otherwise(F.concat(acc, F.array(r)))
-    return F.aggregate(F.array_sort(normalize_ranges(ranges)), none, step)
+    """Sorted by start, with overlapping and adjacent ranges joined. One open range is carried over the sorted ones."""
+    none, closed = F.lit(None).cast(RANGE), F.array().cast(RANGES)
+
+    def step(acc: Column, r: Column) -> Column:
+        joins = acc["open"].isNotNull() & (r["start"] <= acc["open"]["end"])
+        grown = F.struct(acc["open"]["start"].alias("start"), F.greatest(acc["open"]["end"], r["end"]).alias("end"))
+        done = F.when(joins | acc["open"].isNull(), acc["closed"]).otherwise(F.concat(acc["closed"], F.array(acc["open"])))
+        return F.struct(F.when(joins, grown).otherwise(r).alias("open"), done.alias("closed"))
+
+    def fold(part: Column, first: Column) -> Column:
+        return F.aggregate(part, F.struct(first.alias("open"), closed.alias("closed")), step)
+
+    def ended(acc: Column, parts: Column) -> Column:
+        return F.when(acc["open"].isNull(), parts).otherwise(F.concat(parts, F.array(acc["open"])))
+
+    def long(rs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rs) - 1) / _FOLD).cast("int")), lambda c: F.slice(rs, c * _FOLD + 1, _FOLD))
+        next_ = lambda acc, part: let(fold(part, acc["open"]), lambda x: F.struct(x["open"].alias("open"), F.concat(acc["closed"], F.array(x["closed"])).alias("closed")))
+        return F.aggregate(parts, F.struct(none.alias("open"), F.array().cast(ArrayType(RANGES)).alias("closed")), next_, lambda acc: ended(acc, F.flatten(acc["closed"])))
+
+    short = lambda rs: let(fold(rs, none), lambda acc: ended(acc, acc["closed"]))
+    return let(F.array_sort(normalize_ranges(ranges)), lambda rs: F.when(F.size(rs) <= _FOLD, short(rs)).otherwise(long(rs)))
 
 
 def _masked(text: Column, ranges: Column, fill: Callable[[Column], Column]) -> Column:

@@ -27,8 +27,8 @@ def normalized_text(c: Column | str) -> Column:
     return F.trim(F.substring(folded, 1, K.MAX_TEXT_UNITS))
 
 
-def decide(df: DataFrame, cfg: SpamConfig | None = None, actor: str = "actor_key", text: str = "text", now_ms: str = "now_ms", order: str | list[str] = "seq", exact_eviction: bool = False) -> DataFrame:
-    """``df`` with ``decision``. Arrival order is ``order``, not the clock.
+def decide(df: DataFrame, cfg: SpamConfig | None = None, actor: str = "actor_key", text: str = "text", now_ms: str = "now_ms", order: str | list[str] = "seq", exact_eviction: bool = False, live: Column | None = None) -> DataFrame:
+    """``df`` with ``decision``; where ``live`` is given and false, a row is passed over and its decision is null. Arrival order is ``order``, not the clock.
 
     Rows are hashed by actor, sorted and streamed through the fold, so memory is one actor's bounded state, whatever an
     actor's number of rows. Actors are never evicted unless ``exact_eviction``, which couples all actors and therefore
@@ -36,14 +36,18 @@ def decide(df: DataFrame, cfg: SpamConfig | None = None, actor: str = "actor_key
     cfg = cfg or SpamConfig()
     order = [order] if isinstance(order, str) else order
     names = df.columns
-    keyed = df.withColumn("_actor", actor_key(actor)).withColumn("_now", F.col(now_ms).cast("double"))
+    keyed = df.withColumn("_actor", actor_key(actor)).withColumn("_now", F.col(now_ms).cast("double")).withColumn("_live", F.lit(True) if live is None else F.coalesce(live, F.lit(False)))
     sorted_ = keyed.coalesce(1).sortWithinPartitions(*order) if exact_eviction else keyed.repartition("_actor").sortWithinPartitions("_actor", *order)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guard, key, state = K.SpamGuard(cfg), None, K.Actor()
         for batch in batches:
             allowed, reasons = [], []
-            for a, t, now in zip(*(batch.column(c).to_pylist() for c in ("_actor", text, "_now"))):
+            for a, t, now, judged in zip(*(batch.column(c).to_pylist() for c in ("_actor", text, "_now", "_live"))):
+                if not judged:
+                    allowed.append(None)
+                    reasons.append(None)
+                    continue
                 if exact_eviction:
                     reason = guard.check(None if a == K.UNKNOWN_ACTOR else a, t, now)
                 else:
@@ -53,7 +57,7 @@ def decide(df: DataFrame, cfg: SpamConfig | None = None, actor: str = "actor_key
                     reason = reason or state.decide(normal, K.clock(now, cfg), cfg)
                 allowed.append(reason is None)
                 reasons.append(reason)
-            decision = pa.StructArray.from_arrays([pa.array(allowed, pa.bool_()), pa.array(reasons, pa.string())], names=["allowed", "reason"])
+            decision = pa.StructArray.from_arrays([pa.array(allowed, pa.bool_()), pa.array(reasons, pa.string())], names=["allowed", "reason"], mask=pa.array([a is None for a in allowed], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), decision], names=[*names, "decision"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -84,5 +88,10 @@ def decide_tracked(df: DataFrame, cfg: SpamConfig | None = None, actor: str = "a
 
 
 def guard(cfg: SpamConfig | None = None, **columns):
-    """The guard as a step of a :class:`textweir.plans.pipeline.TextPipeline`."""
-    return lambda df: decide(df, cfg, **columns)
+    """The guard as a step of a :class:`textweir.plans.pipeline.TextPipeline`; it passes over rows that an earlier guard blocked."""
+
+    def run(df: DataFrame, live: Column | None = None) -> DataFrame:
+        return decide(df, cfg, live=live, **columns)
+
+    run.skips = True
+    return run

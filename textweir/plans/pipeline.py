@@ -95,15 +95,22 @@ class TextPipeline:
         return out
 
     def check(self, df: DataFrame) -> DataFrame:
-        """Guards only: ``allowed`` and ``reason`` (null when allowed)."""
-        blocked, rest = None, df
-        for guard in self.guards:
-            judged = guard(rest)
-            stopped = judged.where(~F.col("decision.allowed")).withColumns({"allowed": F.lit(False), "reason": F.col("decision.reason")}).drop("decision")
-            blocked = stopped if blocked is None else blocked.unionByName(stopped)
-            rest = judged.where(F.col("decision.allowed")).drop("decision")
-        passed = rest.withColumns({"allowed": F.lit(True), "reason": F.lit(None).cast("string")})
-        return passed if blocked is None else passed.unionByName(blocked)
+        """Guards only: ``allowed`` and ``reason`` (null when allowed).
+
+        The table is split only before a second guard that cannot pass over blocked rows itself (``skips``, as the spam guard
+        can), so with such guards nothing is computed twice."""
+        out = df.withColumns({"allowed": F.lit(True), "reason": F.lit(None).cast("string")})
+        for i, guard in enumerate(self.guards):
+            if not i or getattr(guard, "skips", False):
+                judged = guard(out, F.col("allowed")) if i else guard(out.drop("allowed", "reason"))
+                stopped = ~F.col("decision.allowed")
+                before = {"allowed": F.col("allowed") & ~F.coalesce(stopped, F.lit(False)), "reason": F.coalesce("reason", "decision.reason")} if i else {"allowed": ~stopped, "reason": F.col("decision.reason")}
+                out = judged.withColumns(before).drop("decision")
+                continue
+            judged = guard(out.where("allowed").drop("allowed", "reason"))
+            live = judged.withColumns({"allowed": F.col("decision.allowed"), "reason": F.col("decision.reason")}).drop("decision")
+            out = live.unionByName(out.where("not allowed"))
+        return out
 
     def process(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``check`` plus ``output``: the censored text, null where blocked."""
