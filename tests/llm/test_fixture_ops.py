@@ -2,6 +2,7 @@
 brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -495,6 +496,72 @@ def test_quality(spark, docs, empty):
     assert quality.op8(empty).collect() == [] and quality.keep_good(empty).collect() == []
 
 
+def test_quality_model_does_not_depend_on_the_order_of_rows(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(words_of(r, 60)) + r.choice(["", "###"])) for i in range(300)] + [(7, "alike " * 30)] * 50
+    one, other = (quality.fit(spark.createDataFrame(x, "doc_id bigint, text string").repartition(n), 100) for x, n in ((rows, 2), (rows[::-1], 5)))
+    assert np.array_equal(one[0], other[0]) and one[1] == other[1]
+
+
+def test_expectation_maximisation_against_a_loop():
+    r = random.Random(8)
+    patterns = np.array([quality.pattern([r.randrange(3) for _ in quality.LABELLERS]) for _ in range(12)])
+    counts = np.array([r.randrange(1, 9) for _ in patterns], float)
+    prior, p = quality.expectation_maximisation(patterns, counts, 5)
+    votes = [quality.unpack(int(x)) for x in patterns]
+    bad = [0.9 if 2 in v else 0.1 for v in votes]
+    for _ in range(5):
+        n = sum(counts)
+        share = (sum(b * c for b, c in zip(bad, counts)) + 1) / (n + 20)
+        table = [[[0.0] * 3 for _ in (0, 1)] for _ in quality.LABELLERS]
+        for i in range(len(quality.LABELLERS)):
+            for cls in (0, 1):
+                weight = [(b if cls else 1 - b) * c for b, c in zip(bad, counts)]
+                for x in range(3):
+                    table[i][cls][x] = (sum(w for w, v in zip(weight, votes) if v[i] == x) + 0.5) / (sum(weight) + 1.5)
+        fresh = []
+        for v in votes:
+            odds = [1 - share, share]
+            for i, x in enumerate(v):
+                if x:
+                    odds = [o * table[i][cls][x] / (1 - table[i][cls][0]) for cls, o in enumerate(odds)]
+            fresh.append(odds[1] / sum(odds))
+        bad = fresh
+    assert abs(prior - share) < 1e-9 and np.allclose(p, np.array(table))
+
+
+def test_toxicity_scores_against_loops():
+    """The batched scorer against one word, one window and one filter at a time."""
+    net = toxicity.Network(3)
+    net.b[:] = np.linspace(-0.3, 0.2, len(net.b))
+    docs = [b"one two three four", b"", b"single", b"repeat repeat repeat"]
+    got = net.scorer()([toxicity.words(d) for d in docs])
+    for text, z in zip(docs, got):
+        vectors = [np.mean([net.e[s] for s in toxicity.grams(w)], axis=0) for w in toxicity.words(text)]
+        pooled, column = [], 0
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                best = -np.inf
+                for start in range(max(1, len(vectors))):
+                    total = 0.0
+                    for j in range(width):
+                        if start + j < len(vectors):
+                            total += float(vectors[start + j] @ net.w[:, (column + j) * toxicity.FILTERS + f])
+                    best = max(best, total)
+                pooled.append(best)
+            column += width
+        want = sum(max(x + b, 0) * v for x, b, v in zip(pooled, net.b, net.v)) + net.c[0]
+        assert abs(float(z) - float(want)) < 1e-4, text
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are not here")
+def test_toxicity_ranks_held_out_documents(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.op2(d, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
+    bad, good = out.score[out.toxic == 1].to_numpy(), out.score[out.toxic == 0].to_numpy()
+    assert len(bad) and (bad[:, None] > good[None]).mean() + 0.5 * (bad[:, None] == good[None]).mean() > 0.8
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(4)
     rows, labels = [], []

@@ -19,9 +19,13 @@ BATCH_ROWS = 1000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, one on this machine if all of
+    Spark runs in this process (tests), else an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("textweir.local.work.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textweir-")
         spark.conf.set("textweir.local.work.dir", base)
     return f"{base.rstrip('/')}/textweir-{uuid.uuid4().hex}"

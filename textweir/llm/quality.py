@@ -170,8 +170,9 @@ def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray,
         return np.zeros(DIMENSIONS + 1), 0.5, np.full((len(LABELLERS), 2, 3), 1 / 3)
     prior, p = expectation_maximisation(np.array([r["pattern"] for r in seen]), np.array([r["count"] for r in seen], float))
     share = min(1.0, train_rows / sum(r["count"] for r in seen))
-    chosen = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = map_arrow(chosen.select(as_bytes().alias("text")), _features_of, "pattern bigint, slots array<bigint>, shares array<double>").limit(2 * train_rows).collect()
+    # by hash, alike rows once, in the order of the hashes: the same model however the rows are dealt out
+    chosen = documents.select(F.xxhash64("doc_id", "text").alias("_tw_hash"), as_bytes().alias("text")).where(F.pmod("_tw_hash", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["_tw_hash"])
+    sample = map_arrow(chosen, _features_of, "hash bigint, pattern bigint, slots array<bigint>, shares array<double>").orderBy("hash").limit(2 * train_rows).collect()
     v = np.array([unpack(r["pattern"]) for r in sample]).reshape(-1, len(LABELLERS))
     return train([(np.array(r["slots"], np.int64), np.array(r["shares"])) for r in sample], posterior(v, prior, p)), prior, p
 
@@ -183,7 +184,8 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             stats, counts, n = statistics(text)
             got.append((pattern(votes(stats)), *(x.tolist() for x in features(stats, counts, n, memo))))
-        yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))], names=["pattern", "slots", "shares"])
+        columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))]
+        yield pa.RecordBatch.from_arrays([batch.column("_tw_hash"), *columns], names=["hash", "pattern", "slots", "shares"])
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float, np.ndarray], prefix: str = "") -> DataFrame:

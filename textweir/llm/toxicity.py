@@ -163,7 +163,7 @@ class Network:
                     known.update(zip(new, range(len(known) + 1, len(known) + 1 + len(new))))
                     table.append((self.vectors([grams(w) for w in new]) @ self.w).astype(np.float32))
                 table[:] = [np.concatenate(table)]
-            n = np.array([len(d) + 2 for d in docs])
+            n = np.array([max(len(d), 1) + 2 for d in docs])  # an empty text is one zero word
             flat = np.zeros(int(n.sum()), np.int64)
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
             for s, d in zip(starts.tolist(), docs):
