@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,12 +21,12 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 class SpamProcessor(StatefulProcessor):
     """One value per actor, read and written once a micro-batch; rows of a batch are folded in sequence order."""
 
-    def __init__(self, cfg: SpamConfig, columns: list[str], text: str, now_ms: str, order: str):
-        self.cfg, self.columns, self.text, self.now_ms, self.order = cfg, columns, text, now_ms, order
+    def __init__(self, cfg: SpamConfig, columns: list[str], text: str, now_ms: str, order: str, idle_ms: int | None):
+        self.cfg, self.columns, self.text, self.now_ms, self.order, self.idle_ms = cfg, columns, text, now_ms, order, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # Expiry by processing time only bounds the state of silent actors; windows are kept exactly by the fold.
-        self.state = handle.getValueState("actor", _STATE)
+        # Each configuration has a state of its own, so a restart with other limits does not go by the old ones' records.
+        self.state = handle.getValueState(f"actor_{zlib.crc32(self.cfg.scope().encode()):08x}", _STATE, self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         actor = K.Actor()
@@ -46,11 +47,16 @@ class SpamProcessor(StatefulProcessor):
         pass
 
 
-def guard_stream(df: DataFrame, cfg: SpamConfig | None = None, actor: str = "actor_key", text: str = "text", now_ms: str = "now_ms", order: str = "seq") -> DataFrame:
-    """A streaming DataFrame with ``allowed`` and ``reason``; across micro-batches arrival order holds."""
+def guard_stream(df: DataFrame, cfg: SpamConfig | None = None, actor: str = "actor_key", text: str = "text", now_ms: str = "now_ms", order: str = "seq", idle_ms: int | None = None) -> DataFrame:
+    """A streaming DataFrame with ``allowed`` and ``reason``; across micro-batches arrival order holds.
+
+    ``idle_ms`` bounds the state: an actor that sends nothing for so long (by the cluster's clock, and no less than the windows
+    of the configuration) is forgotten. It is for triggers that run on; Spark does not end an availableNow query whose state
+    expires, so it is off by default. The session must use the RocksDB state store (``PROVIDER``)."""
     cfg = cfg or SpamConfig()
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    if df.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {PROVIDER}")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     grouped = df.withColumn("_actor", actor_key(actor)).groupBy("_actor")
-    processor = SpamProcessor(cfg, df.columns, text, now_ms, order)
-    return grouped.transformWithStateInPandas(processor, f"{fields}, allowed boolean, reason string", "Append", "none")
+    processor = SpamProcessor(cfg, df.columns, text, now_ms, order, idle_ms and max(idle_ms, cfg.retention_ms))
+    return grouped.transformWithStateInPandas(processor, f"{fields}, allowed boolean, reason string", "Append", "processingTime" if idle_ms else "none")
