@@ -422,6 +422,22 @@ def test_token_counts(docs, rows, empty):
 
     assert sorted((tuple(r)[:5] for r in token_counts.op9(docs).collect()), key=repr) == sorted((want(i, s) for i, s in rows), key=repr)
     assert token_counts.op9(empty).collect() == []
+    # a table of edits on kept trees gives the trees of the edited texts
+    numbered = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    trees = token_counts.token_trees(numbered)
+    r = random.Random(9)
+    table = [(r_.doc_id, k, r.randrange(-2, 200), r.choice([0, 1, 30]), r.choice(["", " x", "don't", "\n"])) for r_ in numbered.select("doc_id").collect() if r_.doc_id % 3 for k in range(3)]
+    edits = docs.sparkSession.createDataFrame(table, "doc_id bigint, ordinal int, start int, delete int, insert string")
+    after = {x.doc_id: x for x in token_counts.edit_trees(token_counts.with_edits(trees, edits)).collect()}
+    for x in numbered.collect():
+        out = x.text or ""
+        for _, _, start, delete, insert in sorted(e for e in table if e[0] == x.doc_id):
+            start = max(0, min(start, len(out)))
+            out = out[:start] + insert + out[min(len(out), start + delete) :]
+        y = after[x.doc_id]
+        assert (y.text, y.n_chars, y.n_tokens) == (out, len(out), full(out)) and sum(y.lengths) == len(out) and sum(y.tokens) == full(out)
+        assert not out or (y.sum_chars[1], y.sum_tokens[1]) == (len(out), full(out))
+    assert len(after) == numbered.count()
     count = token_counts.counter(token_counts.default_tokenizer())
     r = random.Random(1)
     for text in ("", "it's", "a  b\n\n c", " ".join(words_of(r, 500))):

@@ -6,6 +6,9 @@ last pre-token that its first character can influence (pre-tokens look at most `
 up to the first old boundary behind the edit where old and new splits meet again; only those pre-tokens are encoded,
 and only their blocks' path of sums is updated.
 
+``token_trees`` keeps a tree per document in a table, ``edit_trees`` takes trees with their edits (a column, or a table that
+``with_edits`` joins) and gives the trees after them: old leaves are neither split nor encoded again.
+
 Strings of special tokens are ordinary text. Null text is empty and has no tokens; repeated rows are counted apart;
 edits outside the text are clipped to it; an empty table gives no rows; other columns are ignored.
 """
@@ -20,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_arrow
+from .common import Memo, map_arrow, materialise
 
 #: How the tokenizer splits text into pre-tokens (fixed value of the public vocabulary).
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -61,6 +64,24 @@ class TokenTree:
         self.blocks = [(lengths[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(found), BLOCK)]
         self._grow()
 
+    @classmethod
+    def kept(cls, row: dict, counts) -> TokenTree:
+        """The tree of a table's row."""
+        tree = cls.__new__(cls)
+        tree.text, tree.counts = row["text"], counts
+        lengths, tokens, at, tree.blocks = row["lengths"], row["tokens"], 0, []
+        for n in row["blocks"]:
+            tree.blocks.append((lengths[at : at + n], tokens[at : at + n]))
+            at += n
+        tree.sums = list(zip(row["sum_chars"], row["sum_tokens"]))
+        tree.size = len(tree.sums) // 2
+        return tree
+
+    def row(self) -> tuple:
+        """The tree as values of the columns TREE."""
+        flat = lambda i: [x for block in self.blocks for x in block[i]]
+        return self.text, len(self.text), self.tokens, flat(0), flat(1), [len(a) for a, _ in self.blocks], [a for a, _ in self.sums], [b for _, b in self.sums]
+
     def _grow(self) -> None:
         """The sums over all blocks, from the leaves' sums up; done when the number of blocks changes."""
         self.size = 1 << max(0, len(self.blocks) - 1).bit_length()
@@ -138,29 +159,78 @@ class TokenTree:
         return position - begin
 
 
-def sample_edits(text: str) -> list[tuple[int, int, str]]:
-    """The edits that ``op9`` counts: from the middle on, 40 code points become the text's first 24; then the first 10 go."""
-    n = len(text)
-    return [(n // 2, 40, text[:24]), (0, 10, "")]
+TREE = "text string, n_chars bigint, n_tokens bigint, lengths array<int>, tokens array<int>, blocks array<int>, sum_chars array<bigint>, sum_tokens array<bigint>"
+_FIELDS = [(c.split(" ")[0], {"string": pa.string(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}[c.split(" ")[1]]) for c in TREE.split(", ")]
+EDITS = "array<struct<start:int,delete:int,insert:string>>"
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FIELDS)]
+
+
+def token_trees(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id and the columns TREE: text, its numbers of characters and tokens, the leaves' lengths and tokens, leaves a block, and
+    the sums of the binary tree over the blocks (root at 1)."""
+    path = tokenizer or default_tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counter(path)
+        for batch in batches:
+            rows = [TokenTree(text, counts).row() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_columns(rows)], names=["doc_id", *(n for n, _ in _FIELDS)])
+
+    return map_arrow(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, f"doc_id bigint, {TREE}")
 
 
-def token_counts(documents: DataFrame, tokenizer: str | None = None, edits=sample_edits) -> DataFrame:
-    """doc_id, n_chars, n_tokens, and after ``edits(text)``: n_edited_chars, n_edited_tokens, n_reencoded (characters)."""
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """``trees`` with the column ``edits`` from a table (doc_id, ordinal, start, delete, insert), in the order of ordinal; a
+    document without edits keeps its tree, null ids have none."""
+    of = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "start", "delete", "insert"))).alias("e"))
+    of = of.select("doc_id", F.transform("e", lambda x: F.struct(x["start"].alias("start"), x["delete"].alias("delete"), x["insert"].alias("insert"))).cast(EDITS).alias("edits"))
+    return trees.join(of, "doc_id", "left")
+
+
+COUNTS = ["n_chars", "n_tokens", "n_edited_chars", "n_edited_tokens", "n_reencoded"]
+
+
+def edit_trees(trees: DataFrame, tokenizer: str | None = None, counts_only: bool = False) -> DataFrame:
+    """Trees (doc_id, TREE) after their ``edits``, applied one after another; with ``counts_only`` doc_id and COUNTS: the numbers
+    before and after, and the characters that were split and encoded again."""
     path = tokenizer or default_tokenizer()
-    names = ["n_chars", "n_tokens", "n_edited_chars", "n_edited_tokens", "n_reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                tree = TokenTree(text, counts)
-                before = tree.tokens
-                again = sum(tree.edit(*e) for e in edits(text))
-                rows.append((len(text), before, len(tree.text), tree.tokens, again))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))], names=["doc_id", *names])
-
-    return map_arrow(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+            for r in batch.to_pylist():
+                tree = TokenTree.kept(r, counts)
+                again = sum(tree.edit(e["start"] or 0, e["delete"] or 0, e["insert"] or "") for e in r["edits"] or ())
+                rows.append((r["n_chars"], r["n_tokens"], len(tree.text), tree.tokens, again) if counts_only else tree.row())
+            if counts_only:
+                out, names = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))], COUNTS
+            else:
+                out, names = _columns(rows), [n for n, _ in _FIELDS]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out], names=["doc_id", *names])
+
+    return map_arrow(trees.select("doc_id", *(n for n, _ in _FIELDS), "edits"), run, "doc_id bigint, " + (", ".join(f"{n} bigint" for n in COUNTS) if counts_only else TREE))
+
+
+def sample_edits(text: str) -> list[tuple[int, int, str]]:
+    """The edits that ``op9`` counts: from the middle on, 40 code points become the text's first 24; then the first 10 go."""
+    n = len(text)
+    return [(n // 2, 40, text[:24]), (0, 10, "")]
+
+
+def sample_edits_of_trees():
+    """``sample_edits`` as a column over trees."""
+    first = F.struct((F.col("n_chars") / 2).cast("int").alias("start"), F.lit(40).alias("delete"), F.substring("text", 1, 24).alias("insert"))
+    return F.array(first, F.struct(F.lit(0).alias("start"), F.lit(10).alias("delete"), F.lit("").alias("insert"))).cast(EDITS)
+
+
+def token_counts(documents: DataFrame, tokenizer: str | None = None, edits=sample_edits_of_trees) -> DataFrame:
+    """doc_id and COUNTS of every document: its tree is kept in a table, then edited from there (``edits()``: a column over trees)."""
+    kept = materialise(token_trees(documents, tokenizer), "trees")
+    return edit_trees(kept.withColumn("edits", edits()), tokenizer, counts_only=True)
 
 
 def op9(documents: DataFrame) -> DataFrame:
