@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from textweir.llm import decontamination, fingerprints, licenses, line_dedup, ngram_jaccard, packing, quality, token_counts, toxicity, warc
+from textweir.llm import common, decontamination, fingerprints, licenses, line_dedup, ngram_jaccard, packing, quality, token_counts, toxicity, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -164,7 +164,10 @@ def lines_left(rows):
     return sorted(out, key=repr)
 
 
-def test_line_dedup(docs, rows, empty):
+@pytest.mark.parametrize("hot,block", [(2_000, 50_000), (2, 3)])
+def test_line_dedup(docs, rows, empty, hot, block, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "_BLOCK", block)
     assert sorted(map(tuple, line_dedup.op5(docs).collect()), key=repr) == lines_left(rows)
     assert line_dedup.op5(empty).collect() == []
     kept = line_dedup.drop_emptied(docs)
@@ -454,7 +457,10 @@ def pages(spark):
     return rows, spark.createDataFrame([(*x, 1) for x in rows], "page_id bigint, url string, html string, payload int").repartition(3)
 
 
-def test_warc(spark, pages):
+@pytest.mark.parametrize("broadcast,hot", [(100_000, 2_000), (0, 2)])
+def test_warc(spark, pages, broadcast, hot, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", broadcast)
+    monkeypatch.setattr(common, "HOT", hot)
     rows, df = pages
     got = sorted((tuple(r)[:5] for r in warc.op1(df).collect()), key=repr)
     first = {}

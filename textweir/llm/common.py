@@ -158,3 +158,18 @@ def without(documents: DataFrame, rows: DataFrame) -> DataFrame:
         gone = F.broadcast(gone)
     keyed = documents.withColumn("_tw_row", row_hash())
     return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_tw_gone"]) & (keyed["_tw_row"] == gone["_tw_gone_row"]), "left_anti").drop("_tw_row")
+
+
+#: Rows of a key that are not shuffled together.
+HOT = 2_000
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (key, c rows of it, ...). Keys of more than ``HOT`` rows, of which there is at most
+    one in ``HOT`` rows, go to the rows; the others' groups are small."""
+    hot = table.where(F.col("c") > HOT).withColumn("_hot", F.lit(True)).drop("c")
+    if hot.isEmpty():
+        return rows.join(table.drop("c"), key)
+    one = rows.join(F.broadcast(hot), key).drop("_hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return one.unionByName(rest.join(table.where(F.col("c") <= HOT).drop("c"), key))

@@ -28,14 +28,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, reclaim, shuffle_parts
+from .common import joined, materialise, reclaim, shuffle_parts
 
 MIN_WORDS = 50
 #: More than the lines of a document, whose number is an int.
 _STEP = 1 << 31
 _KEYS = ["_tw_doc", "_tw_hash"]
-#: Rows of a key that are not shuffled together.
-_HOT = 2_000
 #: Neighbours of the suffix array that are looked through together for the start of their interval.
 _BLOCK = 50_000
 
@@ -76,17 +74,6 @@ def _numbered(df: DataFrame, by: list[str], number: str) -> DataFrame:
     return dealt.join(F.broadcast(before), "_part").withColumn(number, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
-def _joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of ``table`` (key, c rows of it, ...). Keys of more than ``_HOT`` rows, of which there is at most
-    one in ``_HOT`` rows, go to the rows; the others' groups are small."""
-    hot = table.where(F.col("c") > _HOT).withColumn("_hot", F.lit(True)).drop("c")
-    if hot.isEmpty():
-        return rows.join(table.drop("c"), key)
-    one = rows.join(F.broadcast(hot), key).drop("_hot")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return one.unionByName(rest.join(table.where(F.col("c") <= _HOT).drop("c"), key))
-
-
 def suffix_ranks(suffixes: DataFrame, longest: int) -> DataFrame:
     """(s, j, r) of suffixes (s sequence, j, h line id): their order by at least ``longest`` lines. An end ranks lowest."""
     ranks = suffixes.select("s", "j", F.col("h").alias("r"))
@@ -132,14 +119,14 @@ def _later(found: DataFrame, min_words: int) -> DataFrame:
     member = array.join(carried, "block").select("r", "place", "last", "c", F.coalesce("own", "carried").alias("interval"))
     intervals = member.groupBy("interval").agg(F.min("place").alias("first"), F.max("last").alias("last")).where("last > first")
     firsts = materialise(member.join(intervals.select("interval", "first"), "interval").select("r", "first", "c"), "firsts")
-    return materialise(_joined(runs.drop("head"), firsts, "r").where("place > first").select(*_KEYS, "start", "stop"), "later")
+    return materialise(joined(runs.drop("head"), firsts, "r").where("place > first").select(*_KEYS, "start", "stop"), "later")
 
 
 def removed_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document with later copies: its merged runs of lines to remove, ``_tw_runs`` array<struct<start, stop>>."""
     found = materialise(segments(documents, min_words), "segments")
     firsts = materialise(found.groupBy("name").agg(F.min("place").alias("first"), F.count("*").alias("c")), "firsts")
-    found = materialise(_joined(found, firsts, "name"), "segments")
+    found = materialise(joined(found, firsts, "name"), "segments")
     once = found.where("place = first")
     later = found.where("place > first").select(*_KEYS, F.col("lines")[0]["i"].alias("start"), F.element_at("lines", -1)["i"].alias("stop"))
     later = later.unionAll(_later(once, min_words))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import datasource as ds
 
-from .common import materialise, work_dir
+from .common import joined, materialise, work_dir
 
 #: Payloads shorter than this are stored again rather than revisited.
 LEAST_REVISIT = 100
@@ -307,9 +307,14 @@ def archive(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT) ->
     """Write pages (page_id, url, html) as response and revisit records."""
     register(pages.sparkSession)
     p = pages.select("page_id", F.col("url").alias("target_uri"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
-    shared = p.where(F.length("payload") >= least_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").drop("c")
+    shared = p.where(F.length("payload") >= least_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
     shared = materialise(shared, "digests")
-    p = p.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "payload_digest", "left")
+    if shared.count() <= BROADCAST_DIGESTS:
+        p = p.join(F.broadcast(shared.drop("c")), "payload_digest", "left")
+    else:  # the digests' groups meet without payloads; payloads travel by page, of which none is frequent
+        of = joined(p.select("page_id", "payload_digest"), shared, "payload_digest").distinct()
+        of = of.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "first")
+        p = p.join(of, p["page_id"].eqNullSafe(of["_page"]) & (p["payload_digest"] == of["_digest"]), "left").drop("_page", "_digest")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     rows = p.select(urn("page_id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(again, urn("first")).alias("refers_to"), "payload_digest", "payload")
