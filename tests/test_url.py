@@ -75,7 +75,7 @@ def test_options():
 
 def test_gate_is_a_superset():
     for scheme, host, tail in itertools.product(("", "http://", "hxxps[:]//"), HOSTS, TAILS):
-        assert regex.search(K.GATE, scheme + host + tail)
+        assert regex.search(K.gate(K.UrlConfig()), scheme + host + tail)
 
 
 @pytest.mark.parametrize("part", [".", "a", "a.", "h t t p ", "http://", "[.]", "x . ", "a.com ", "dot ", "(", "://", "a@b.", "１."])

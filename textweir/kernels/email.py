@@ -13,7 +13,7 @@ from itertools import islice
 
 import regex
 
-from .text import ZEROS, Range, fold_code_points, lower_nfkc, merge
+from .text import ZEROS, Range, fold_code_points, folded_class, lower_nfkc, merge
 
 # Word lists of the prose policy (fixed values).
 INTRODUCERS = frozenset("bcc cc contact e-mail email forward mail message reach respond reply send try write".split())
@@ -52,8 +52,15 @@ _PHRASE_END = regex.compile(r"[.!?;,\n\r:()\[\]{}<>|]")
 _LAST_LABEL = regex.compile(rf"(?r)(?P<label>(?:[\p{{L}}-]+{_H}+){{0,3}}[\p{{L}}-]+){_H}*(?::{_S}*|-{_H}+)")
 _LISTED = regex.compile(rf"{_S}*(?:,{_S}*)?(?:(?:and|or){_S}+)?")
 _TLD = regex.compile(r"[a-z][a-z0-9-]{1,62}")
-#: What a text must hold before the kernel looks at it.
-GATE = r"(?iu)@|＠|﹫|a[\W_]*t|[^\x00-\x7F]"
+
+
+def gate(cfg: EmailConfig) -> str:
+    """What a text must hold before the kernel looks at it: an at sign, a bracketed or a bare "at" before a word with a dot (or
+    any word, where single labels are hosts), or a character that folds into something else."""
+    if not cfg.match_obfuscated:
+        return "[@＠﹫]"
+    dot = "" if cfg.allow_localhost or cfg.allow_single_label_domain else r"[ \t]*(?:\.|[\[({<]|[ \t]dot[ \t])"
+    return rf"(?i:@|[\[({{<][ \t]*at[ \t]*[\])}}>]|[ \t]at[ \t]+[a-z0-9][a-z0-9-]*{dot})|{folded_class()}"
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ Ranges are half-open. ``cp`` counts code points (Python's own index), ``u16`` co
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterable
 
@@ -111,3 +112,17 @@ def fold_code_points(text: str) -> list[str]:
     if text.isascii():
         return list(text.lower())
     return [c.lower() if c < "\x80" else unicodedata.normalize("NFKC", c).lower() for c in text]
+
+
+@functools.lru_cache(maxsize=1)
+def folded_class() -> str:
+    """A regex class of the characters beyond ASCII whose folding holds an ASCII character, and of zero-width and combining marks:
+    texts without them are what they look like. For gates; worked out on first use."""
+    points = [i for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000 and (any(c < "\x80" for c in unicodedata.normalize("NFKC", chr(i)).lower()) or chr(i) in ZERO_WIDTH or chr(i) in SPACE)]
+    spans: list[list[int]] = []
+    for i in points:
+        if spans and i == spans[-1][1] + 1:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in spans) + r"\p{Mn}\p{Cf}]"

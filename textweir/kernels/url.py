@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import regex
 
-from .text import SPACES, ZEROS, Range, lower_nfkc, merge
+from .text import SPACES, ZEROS, Range, folded_class, lower_nfkc, merge
 
 #: Top-level domains accepted without a scheme (fixed values).
 DEFAULT_TLDS = "ru рф com biz net org io gg me co cc uk ly gl tv dev app xyz online site link top shop store pro info su ua by kz".split()
@@ -31,10 +31,6 @@ DOT_WORDS_RAW = ("точка",)
 
 _SEP = r"[^\p{L}\p{N}:/\\\[\](){}<>]*"
 _SCHEME = regex.compile(rf"(?<![\p{{L}}\p{{N}}])h{_SEP}(?:t{_SEP}t|x{_SEP}x){_SEP}p(?:{_SEP}s)?[\s{Z}]*(?:[\[({{<][\s{Z}]*:[\s{Z}]*[\])}}>][\s{Z}]*/[\s{Z}]*/|[\[({{<][\s{Z}]*:[\s{Z}]*/[\s{Z}]*/[\s{Z}]*[\])}}>]|:[\s{Z}]*/[\s{Z}]*/)")
-#: A superset of what ``scan`` can find, cheap and also used as a filter before the kernel.
-GATE = r"(?iu)[.。｡．·•⋅・․﹒:/\\\[\]]|d[\W_]*[o0о][\W_]*[tт]|т[\W_]*о[\W_]*ч[\W_]*к[\W_]*а|[^\x00-\x7F]"
-
-
 @dataclass(frozen=True)
 class UrlConfig:
     """``tlds``: accepted without a scheme; ``allowed_domains``: exact hosts left alone."""
@@ -53,6 +49,15 @@ class UrlConfig:
         object.__setattr__(self, "_allowed", frozenset(normalize_domains(self.allowed_domains)))
 
 
+def gate(cfg: UrlConfig) -> str:
+    """What a text must hold before the kernel looks at it: the letters of a scheme, a dot (or its name) before a known top-level
+    domain, or a character that folds into something else or belongs to a script with look-alikes."""
+    apart = "[^a-z0-9]*"
+    tlds = "|".join([*(apart.join(t) for t in sorted(cfg._tlds) if t.isascii() and t.isalnum()), *(regex.escape(t) for t in sorted(cfg._tlds) if t.isascii() and not t.isalnum()), "xn--"])
+    scheme = f"h{apart}(?:t{apart}t|x{apart}x){apart}p"
+    return rf"(?i:{scheme}|(?:\.|d{apart}[o0]{apart}t){apart}(?:{tlds})(?![a-z0-9])|xn--)|[\p{{IsCyrillic}}\p{{IsGreek}}{''.join(sorted(DOTS - {'.'}))}]|{folded_class()}"
+
+
 def normalize_tlds(raw: Iterable[object] | None) -> list[str]:
     """NFKC lower case, trimmed, empty and repeated ones dropped, order kept; the defaults where none are given."""
     source = list(raw or ()) or DEFAULT_TLDS
