@@ -13,7 +13,7 @@ from textweir.sources import dictionaries as D
 RU, EN = P.russian_filter(), P.english_filter()
 #: Russian words by family; any spread spelling counts for the first of a family that allows it.
 FAMILIES = {
-    "blya": ["блядь", "бля"], "huy": ["хуйня", "нахуй", "хуета"], "pizda": ["пизда", "распиздяй", "пиздец"], "eb": ["ебаный", "заебали", "объебал"], "pidor": ["пидорас", "пидоры"],
+    "blya": ["блядь", "бля"], "eb_forms": ["ебу", "ебем", "ёбля"], "huy_forms": ["охуительно", "хуетень"], "huy": ["хуйня", "нахуй", "хуета"], "pizda": ["пизда", "распиздяй", "пиздец"], "eb": ["ебаный", "заебали", "объебал"], "pidor": ["пидорас", "пидоры"],
     "mud": ["мудак", "мудила"], "suka": ["сука", "суки"], "shlyuha": ["шлюха", "шлюхи"], "zalupa": ["залупа"], "gandon": ["гандон", "гондоны"], "shit": ["говно", "говнюк", "дерьмо"], "chmo": ["чмо"],
 }
 STRICT_ONLY = ["хер", "нахер", "срать", "дрочить", "манда"]
@@ -41,7 +41,7 @@ def test_russian_spread(family, mark):
     whole(RU, mark.join(FAMILIES[family][0]))
 
 
-@pytest.mark.parametrize("word,disguise", [("сука", "cyкa"), ("хуй", "xyй"), ("бля", "6ля"), ("блядь", "бл9дь"), ("пизда", "п1зда"[:1] + "изда"), ("сука", "сууукаа"), ("пиздец", "пиииздец"), ("мудак", "мууудак"), ("говно", "г0вно"), ("блядь", "бл＠дь"), ("залупа", "за́лупа")])
+@pytest.mark.parametrize("word,disguise", [("сука", "cyкa"), ("хуй", "xyй"), ("бля", "6ля"), ("блядь", "бл9дь"), ("пизда", "п1зда"[:1] + "изда"), ("сука", "сууукаа"), ("пиздец", "пиииздец"), ("мудак", "мууудак"), ("говно", "г0вно"), ("блядь", "бл＠дь"), ("залупа", "за́лупа"), ("пиздец", "п-и-и-з-д-е-ц"), ("пиздец", "п и и з д е ц"), ("сука", "с с у у к а")])
 def test_russian_disguises(word, disguise):
     assert RU.check(word)
     whole(RU, disguise)
@@ -53,7 +53,7 @@ def test_russian_in_latin_letters(word):
     whole(RU, word.upper())
 
 
-@pytest.mark.parametrize("text", ["хлебный", "оскорблять", "корабля", "мудрость", "сукно", "барсуки", "застрахуй", "употребить", "скипидар", "командир", "мандарины", "херувим", "х о л о д и л ь н и к", "небо", "рубли", "учебник", "стебель", "колебания", "гребля", "потреблять", "психуй"])
+@pytest.mark.parametrize("text", ["хлебный", "оскорблять", "корабля", "мудрость", "сукно", "барсуки", "застрахуй", "употребить", "скипидар", "командир", "мандарины", "херувим", "х о л о д и л ь н и к", "небо", "рубли", "учебник", "стебель", "колебания", "гребля", "потреблять", "психуй", "отеб", "хуйлоид", "о-хер-ес", "на-хер-сон", "небеса", "хлебушек", "учёба", "тебе", "себе", "вебинар", "ребята"])
 def test_russian_clean(text):
     assert RU.censor(text) == text and not RU.check(text)
 

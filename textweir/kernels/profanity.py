@@ -121,6 +121,7 @@ _ATOM = regex.compile(r"\[\^?\]?[^\]]*\]|\\p\{[^}]*\}|\\.|\(\?[:=!<][=!]?|\(|\)|
 def loosened(source: str, stretch: bool) -> str:
     """The pattern with separators allowed between its letters, and repeats of them if ``stretch``."""
     atoms, out, plain = _ATOM.findall(source), [], []
+    stretched = False
     first, opened = True, [True]  # whether a match can begin here; the same at the start of each open group
     for i, a in enumerate(atoms):
         if a.startswith("("):
@@ -136,10 +137,13 @@ def loosened(source: str, stretch: bool) -> str:
             first = opened[-1]
             out.append(a)
         elif a[0] in "?*+{":
-            out.append(a)
+            if a != "+" or not stretched:
+                out.append(a)
+            stretched = False
         elif all(plain):
             quantifier = atoms[i + 1] if i + 1 < len(atoms) and atoms[i + 1][0] in "?*+{" else ""
-            letter = f"{a}+" if stretch and not quantifier else a
+            stretched = stretch and quantifier in ("", "+")
+            letter = f"{a}(?:{_BETWEEN}{a})*" if stretched else a
             out.append(letter if first else f"(?:{_BETWEEN}{letter})")
             first = False
         else:
@@ -268,13 +272,15 @@ class ProfanityFilter:
         out: list[tuple[int, int, Rule | None]] = [(0, len(token), None)] if clean in words else []
         if hit:
             out.insert(0, (0, len(token), hit))
-        if not out and "-" in token:
-            at = 0
-            for part in token.split("-"):
+        if not out and "-" in token:  # two words joined, or the same kind throughout; three pieces are more likely syllables
+            at, parts = 0, token.split("-")
+            for part in parts:
                 hit = first(_MARKS.sub("", part))
                 if hit:
                     out.append((at, at + len(part), hit))
                 at += len(part) + 1
+            if len(parts) > 2 and len(out) < len(parts):
+                out = []
         memo[token] = tuple(out) or None
         return memo[token]
 
@@ -448,10 +454,13 @@ _RU = [
     ("blya", "translit", "TRANSLIT", "medium", "[bв6ь]l(?:ya|ja|ea)(?:[dt])?", True, True, False),
     ("blya", "compound", "OBSCENE_MAT", "medium", f"вы{_B}л{_YA}д(?:ок|ка|ки|ков|ку|ком)", True, True, False),
     ("eb", "verb", "OBSCENE_MAT", "high", f"{_PRE}?[ьъ]?[еe]{_B}(?:{_A}(?:л|ла|ли|ло|ть|ться|лся|лась|шь|н|на|ны|нный|нная|нное|нные|нутый|нутая|нутые|нат|нько|ный|ная|ное|ные|ного|ному|ной|ную|ных|ними|нут|шит|ш|рь|ри)?|ут|уч(?:ий|ая|ее|ие)|ет|ешь|ись|ись|и|ло|ла|лан|ланы|лище|ну(?:л|ла|ли|ть|лся|лась|тый|тая|тые|вшийся)|ыва[а-я]+|ошить|ашить|учка)", True, True, True),
+    ("eb", "forms", "OBSCENE_MAT", "high", f"[её]{_B}(?:у|ём|ем|ёт|ут|ешь|ёшь|ите|ля|ли|лей|лю|лись|ись|учк[а-я]+|ливый|анько)", True, True, False),
+    ("eb", "short", "OBSCENE_MAT", "high", "[её]б", True, False, False),
     ("eb", "noun", "STRONG_INSULT", "high", f"(?:долбо|далба|долба|мозго|ш[еи]шко|дурако|козло)[ьъ]?[её]?{_B}(?:{_A}?(?:|ы|ов|ам|ами|е|у|ом|а))", True, True, False),
-    ("eb", "prefix", "OBSCENE_MAT", "high", f"(?:за|вы|на|до|у|про|при|раз[ьъ]?|об[ьъ]?|под[ьъ]|с[ьъ]|от[ьъ]?|из[ьъ]?)[ьъ]?[е]{_B}(?:{_A}[а-я]*|ись|ок|енн?[а-я]*|ыш[а-я]*|ываться|ывать|ывает|у|ем|ете)?", True, True, False),
+    ("eb", "prefix", "OBSCENE_MAT", "high", f"(?:за|вы|на|до|у|про|при|раз[ьъ]?|об[ьъ]?|под[ьъ]|с[ьъ]|от[ьъ]|из[ьъ]?)[ьъ]?[е]{_B}(?:{_A}[а-я]*|ись|ок|енн?[а-я]*|ыш[а-я]*|ываться|ывать|ывает|у|ем|ете)?", True, True, False),
     ("eb", "translit", "TRANSLIT", "high", "(?:za|vy|na|do|u|pro|ob|raz|pod|ot)?(?:yo|e|ye|j[eo])b(?:al|ala|ali|at|an|anat|anyi|aniy|anyy|anut[a-z]*|at'|lo|uchii)", True, True, False),
-    ("huy", "base", "OBSCENE_MAT", "high", f"(?:на|по|ни|не|до|от|о|а|при|за)?[хx]{_U}[йяеюи](?:|м|в|ми|ях|ев|ем|ло|ла|лом|ли|лу|ня|ни|ней|ню|нёй|сос[а-я]*|та|ты|ту|той|к|вый|вая|вое|вые|вого|вину|вина|вин[а-я]*|нул[а-я]*|ть|рить|рил[а-я]*|шечк[а-я]*|шк[а-я]*|плет[а-я]*|л[а-я]{{0,3}}|чить|ачить|ач[а-я]*)", True, True, True),
+    ("huy", "base", "OBSCENE_MAT", "high", f"(?:на|по|ни|не|до|от|о|а|при|за)?[хx]{_U}[йяеюи](?:|м|в|ми|ях|ев|ем|ло|ла|лом|ли|лу|ня|ни|ней|ню|нёй|сос[а-я]*|та|ты|ту|той|к|вый|вая|вое|вые|вого|вину|вина|вин[а-я]*|нул[а-я]*|ть|рить|рил[а-я]*|шечк[а-я]*|шк[а-я]*|плет[а-я]*|лов?|лы|чить|ачить|ач[а-я]*)", True, True, True),
+    ("huy", "forms", "OBSCENE_MAT", "high", f"о?х{_U}(?:ительн[а-я]+|етен[ьи]|етени|ёв[а-я]+|ев[а-я]+|ищ[еа]|ишк[аоу])", True, True, False),
     ("huy", "pri", "OBSCENE_MAT", "high", f"(?:при|о|а|за|на|от|до|под|пере|рас|вы|у)х{_U}[еяю](?:л|ла|ли|ло|ть|вать|вает|вш[а-я]+|вал[а-я]*|рить|рил[а-я]*|чить|чил[а-я]*|нно|нный|нная|ваю|ваем|ем|ешь|ю|ют|вающ[а-я]+)", True, True, True),
     ("huy", "double", "OBSCENE_MAT", "high", f"х{_U}як(?:-?х{_U}як)?", True, True, False),
     ("huy", "translit", "TRANSLIT", "high", "(?:na|po|ni|ne|do|ot|o)?(?:x|h|kh)[uy](?:y|i|j|e|ya|ja|yu|ia)(?:|nya|nia|evo|vo|lo|ta|sos|m|v|yo|li)", True, True, False),
