@@ -56,7 +56,7 @@ class ChunkEncoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.known: dict[bytes, bytes] = {}
         self.marks = Memo(self.whole, 10_000)
-        self.powers = np.ones(1, np.uint64)
+        self.powers = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
 
     def whole(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -91,10 +91,11 @@ class ChunkEncoder:
 
     def _hashes(self, letters: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """A hash of each chunk; ``letters``: the chunks' bytes without what separates them."""
-        if int(lengths.max()) > len(self.powers):
-            self.powers = np.cumprod(np.full(2 * int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
         place = np.arange(len(letters)) - np.repeat(begins, lengths)
-        return np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * self.powers[place], begins)
+        weight = self.powers[place & 0xFFFF]
+        if int(lengths.max()) > len(self.powers):
+            weight += (place >> 16).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * weight, begins)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         data = b"\n".join([*texts, b""])
