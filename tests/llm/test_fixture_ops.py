@@ -76,6 +76,7 @@ def components(rows):
 def test_near_duplicates(docs, rows, empty, small, crowd, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "SMALL_KEY", small)
     monkeypatch.setattr(ngram_jaccard, "CROWD", crowd)
+    monkeypatch.setattr(ngram_jaccard, "HUB_PAIRS", 2 if small == 3 else 500)
     monkeypatch.setattr(ngram_jaccard, "BLOCK_NODES", 4 if small == 3 else 8192)
     got = sorted(map(tuple, ngram_jaccard.op3(docs).collect()), key=repr)
     assert got == components(rows)

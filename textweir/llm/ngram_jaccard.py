@@ -43,6 +43,8 @@ CROWD = 64
 #: Text bytes of a map block; bytes of estimated input a bucket of keys, and the fewest bits of a bucket's number, so that a
 #: block's keys travel in rows of some kilobytes; nodes of a block of a large key; entries of a row of the stash.
 BLOCK_BYTES, BUCKET_BYTES, BUCKET_BITS, BLOCK_NODES, STASH = 6_000_000, 4_000_000, 12, 8192, 4096
+#: Pairs of one hub that are compared in one place.
+HUB_PAIRS = 500
 #: Bytes of estimated input whose keys (about twice as many bytes) are matched in one task. A pair goes out once a task.
 PARTITION_BYTES = 32_000_000
 #: Rows of whole texts in an Arrow batch, sets that a worker keeps, pairs that it hands on at once, pairs that it holds to drop
@@ -286,7 +288,10 @@ def _within_sketch(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataF
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: int, k: int) -> DataFrame:
     """Pairs whose whole sets are similar enough: 100 * both >= similarity * either. Compressed texts travel, a third of the size
-    of their sets; sets are made where they are compared, those of the last few nodes are kept."""
+    of their sets; sets are made where they are compared, those of the last few nodes are kept.
+
+    Of a pair, the end that is in fewer pairs travels with it to the other, the hub, whose text goes out once for every
+    ``HUB_PAIRS`` of its pairs: a group that grows around one document costs what its members' texts do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
@@ -301,20 +306,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: int, k: int) -> Da
 
         for batch in batches:
             keep = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "xa", "xb"))):
-                y, x = set_of(b, y), set_of(a, x)
+            for other, hub, x, y in zip(*(batch.column(c).to_pylist() for c in ("other", "hub", "x", "y"))):
+                y, x = set_of(hub, y), set_of(other, x)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("packed").alias(f"x{c}"))
     pairs = pairs.select("a", "b")
-    if pairs.count() <= BROADCAST_NODES:  # only the texts of these pairs travel: that of a with the pair, that of b to it
-        ends = F.broadcast(pairs.select("b").distinct())
-        both = side("a").join(F.broadcast(pairs), "a").join(side("b").join(ends, "b", "left_semi").hint("merge"), "b")
-    else:
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return map_arrow(both, run, "a bigint, b bigint")
+    small = (lambda df: F.broadcast(df)) if pairs.count() <= BROADCAST_NODES else (lambda df: df)
+    number = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("c"))
+    of = lambda c: number.select(F.col("node").alias(c), F.col("c").alias(f"c{c}"))
+    turned = F.col("ca") > F.col("cb")
+    oriented = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.when(turned, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("ca", "cb").alias("c"))
+    oriented = materialise(oriented.withColumn("salt", F.pmod(F.xxhash64("other"), F.ceil(F.col("c") / HUB_PAIRS))).drop("c"), "oriented")
+    others = texts.select(F.col("node").alias("other"), F.col("packed").alias("x")).join(small(oriented), "other")
+    hubs = texts.select(F.col("node").alias("hub"), F.col("packed").alias("y")).join(small(oriented.select("hub", "salt").distinct()), "hub")
+    both = others.join(hubs.hint("merge"), ["hub", "salt"])
+    return map_arrow(both.select("a", "b", "other", "hub", "x", "y"), run, "a bigint, b bigint")
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
