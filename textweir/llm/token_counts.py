@@ -16,7 +16,9 @@ edits outside the text are clipped to it; an empty table gives no rows; other co
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -54,6 +56,14 @@ def counter(path: str):
     return counts
 
 
+def pack(numbers: Iterable[int]) -> bytes:
+    return array("q", numbers).tobytes()
+
+
+def unpack(packed: bytes) -> list[int]:
+    return array("q", packed).tolist()
+
+
 class TokenTree:
     """Leaves are pre-tokens (characters, tokens) in blocks; ``sums`` is a binary tree of (characters, tokens) over blocks."""
 
@@ -69,18 +79,18 @@ class TokenTree:
         """The tree of a table's row."""
         tree = cls.__new__(cls)
         tree.text, tree.counts = row["text"], counts
-        lengths, tokens, at, tree.blocks = row["lengths"], row["tokens"], 0, []
-        for n in row["blocks"]:
+        lengths, tokens, at, tree.blocks = unpack(row["lengths"]), unpack(row["tokens"]), 0, []
+        for n in unpack(row["blocks"]):
             tree.blocks.append((lengths[at : at + n], tokens[at : at + n]))
             at += n
-        tree.sums = list(zip(row["sum_chars"], row["sum_tokens"]))
+        tree.sums = list(zip(unpack(row["sum_chars"]), unpack(row["sum_tokens"])))
         tree.size = len(tree.sums) // 2
         return tree
 
     def row(self) -> tuple:
         """The tree as values of the columns TREE."""
-        flat = lambda i: [x for block in self.blocks for x in block[i]]
-        return self.text, len(self.text), self.tokens, flat(0), flat(1), [len(a) for a, _ in self.blocks], [a for a, _ in self.sums], [b for _, b in self.sums]
+        flat = lambda i: pack(chain.from_iterable(block[i] for block in self.blocks))
+        return self.text, len(self.text), self.tokens, flat(0), flat(1), pack(len(a) for a, _ in self.blocks), pack(a for a, _ in self.sums), pack(b for _, b in self.sums)
 
     def _grow(self) -> None:
         """The sums over all blocks, from the leaves' sums up; done when the number of blocks changes."""
@@ -159,8 +169,9 @@ class TokenTree:
         return position - begin
 
 
-TREE = "text string, n_chars bigint, n_tokens bigint, lengths array<int>, tokens array<int>, blocks array<int>, sum_chars array<bigint>, sum_tokens array<bigint>"
-_FIELDS = [(c.split(" ")[0], {"string": pa.string(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}[c.split(" ")[1]]) for c in TREE.split(", ")]
+#: The lists are packed, eight bytes a number: lists of Arrow cost more than the tokenizer to read and write.
+TREE = "text string, n_chars bigint, n_tokens bigint, lengths binary, tokens binary, blocks binary, sum_chars binary, sum_tokens binary"
+_FIELDS = [(c.split(" ")[0], {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[c.split(" ")[1]]) for c in TREE.split(", ")]
 EDITS = "array<struct<start:int,delete:int,insert:string>>"
 
 
