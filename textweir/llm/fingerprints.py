@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shuffle_parts
+from .common import Memo, map_arrow, shuffle_parts
 
 #: Chunks average 8 bytes in the first SHORT bytes of a paragraph and 32 after them; sections average 8 paragraphs. The place of
 #: a cut never depends on what follows it, and the cuts of the larger mask are cuts of the smaller one too.
 CHUNK_MASK, SHORT_MASK, SHORT, SECTION_MASK = 31, 7, 256, 7
+#: Leaves that a task keeps (some 200 bytes each).
+KNOWN_LEAVES = 100_000
 _FACTORS = [np.uint32(x | 1) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646C, 0xFD7046C5, 0xB55A4F09)]
 
 
@@ -51,7 +53,11 @@ def _cuts(data: bytes) -> list[int]:
     return ends.tolist() if len(ends) and ends[-1] == len(a) else [*ends.tolist(), len(a)]
 
 
-def tree(data: bytes) -> list[list[list[tuple[bytes, int]]]]:
+def _leaf(chunk: bytes) -> tuple[bytes, int]:
+    return hashlib.blake2b(chunk, digest_size=16).digest(), len(chunk)
+
+
+def tree(data: bytes, leaf: Callable[[bytes], tuple[bytes, int]] = _leaf) -> list[list[list[tuple[bytes, int]]]]:
     """Sections of paragraphs of (leaf hash, bytes)."""
     sections: list = [[]]
     paragraph: list[tuple[bytes, int]] = []
@@ -60,7 +66,7 @@ def tree(data: bytes) -> list[list[list[tuple[bytes, int]]]]:
         return []
     for end in _cuts(data):
         chunk = data[start:end]
-        paragraph.append((hashlib.blake2b(chunk, digest_size=16).digest(), end - start))
+        paragraph.append(leaf(chunk))
         start = end
         if chunk[-1] == 10:
             sections[-1].append(paragraph)
@@ -121,11 +127,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def compare(text: str, following: str) -> tuple:
-    data, changed = text.encode(), edited(text, following).encode()
-    own, other = tree(data), tree(changed)
-    mine = leaves(own)
-    return len(text), hashlib.sha256(changed).hexdigest(), fingerprint(own), fingerprint(other), likeness(mine, leaves(other)), likeness(mine, leaves(tree(following.encode())))
+class Text:
+    """A text with its tree and its leaves, which both its own row and that of the text before use."""
+
+    def __init__(self, text: str, leaf: Callable[[bytes], tuple[bytes, int]]):
+        self.text, self.nodes = text, tree(text.encode(), leaf)
+        self.leaves = leaves(self.nodes)
+
+
+def compare(own: Text, following: Text, leaf: Callable[[bytes], tuple[bytes, int]]) -> tuple:
+    changed = edited(own.text, following.text).encode()
+    other = tree(changed, leaf)
+    return len(own.text), hashlib.sha256(changed).hexdigest(), fingerprint(own.nodes), fingerprint(other), likeness(own.leaves, leaves(other)), likeness(own.leaves, following.leaves)
 
 
 _RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -134,13 +147,14 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ranges in order, each with its follower; a range's last row is the first of the next range, which only follows."""
-    held = None
+    held, leaf = None, Memo(_leaf, KNOWN_LEAVES).__getitem__  # nearly all chunks of an edited text are in the two that it is made of
     for batch in batches:
         out = []
         for part, ahead, doc, text in zip(*(batch.column(c).to_pylist() for c in ("_part", "_ahead", "doc_id", "text"))):
+            own = Text(text, leaf)
             if held and held[0] == part:
-                out.append((held[1], *compare(held[2], text)))
-            held = None if ahead else (part, doc, text)
+                out.append((held[1], *compare(held[2], own, leaf)))
+            held = None if ahead else (part, doc, own)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
 
 
