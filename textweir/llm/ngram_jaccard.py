@@ -11,7 +11,11 @@ d <= (n + m)(1 - s) / (1 + s).
   nodes gives its pairs. A key with many nodes is *large*: nodes that keep enough small keys to be found there leave it
   (same pigeonhole), and the rest are compared by 1024-bit sketches, only across components found so far, in blocks.
   Nodes that crowd a key inside one map block are stashed outside the key's bucket, so no task gathers a hot key.
-* Pairs within the Hamming bound are verified on the whole sets; links give connected components.
+* A pair's shared small keys are counted: linked sets share at least so many as the larger number of parts exceeds their
+  largest allowed d, less the large keys that they may share. Sets of any size are told apart by this; the sketch, whose
+  distance ends at 512, tells only those of up to some 2,300 shingles.
+* Pairs that share enough keys and are within the Hamming bound are verified on the whole sets; links give connected
+  components.
 
 Documents with the same doc_id are one node's rows and share a component; null ids take part as the smallest id; null,
 empty and blank texts have no shingles and no links; other columns are ignored; an empty table gives no rows. Sets are
@@ -194,24 +198,27 @@ def _small_pairs(starts: np.ndarray, count: np.ndarray, node: np.ndarray) -> tup
     return np.concatenate(a), np.concatenate(b)
 
 
-def _in_rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _in_rows(kind: int, a: np.ndarray, b: np.ndarray, shared: np.ndarray | None = None) -> pa.RecordBatch:
     cuts = range(0, len(a), STASH)
-    return _rows(kind=[kind] * len(cuts), keys=[a[i : i + STASH].tobytes() for i in cuts], nodes=[b[i : i + STASH].tobytes() for i in cuts])
+    counts = {} if shared is None else {"sketch": [shared[i : i + STASH].tobytes() for i in cuts]}
+    return _rows(kind=[kind] * len(cuts), keys=[a[i : i + STASH].tobytes() for i in cuts], nodes=[b[i : i + STASH].tobytes() for i in cuts], **counts)
 
 
-def _once(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    a, b = (np.concatenate(x) for x in zip(*pairs))
+def _once(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with the sum of its counts."""
+    a, b, shared = (np.concatenate(x) for x in zip(*pairs))
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return a[fresh], b[fresh]
+    fresh = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[fresh], b[fresh], np.add.reduceat(shared[order], fresh)
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches sorted by bucket: other rows pass; a bucket's keys become pairs of small keys and memberships of large ones.
-    Two alike sets share nearly all their keys: of the buckets that a task has at hand each pair goes out once."""
+    Two alike sets share nearly all their keys: of the buckets that a task has at hand each pair goes out once, with the
+    number of keys that it shares there."""
     held, at = [], None
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush():
@@ -228,7 +235,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = (count > SMALL_KEY) | (node[starts] == 0)
         a, b = _small_pairs(starts[~large & (count > 1)], count[~large & (count > 1)], node)
         if len(a):
-            waiting.append((a, b))
+            waiting.append((a, b, np.ones(len(a), np.int64)))
             size += len(a)
         keep = np.repeat(large, count) & (node != 0)
         if keep.any():
@@ -254,13 +261,15 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _in_rows(PAIRS, *_once(waiting))
 
 
-def _unpack(df: DataFrame, names: tuple[str, str]) -> DataFrame:
+def _unpack(df: DataFrame, **names: str) -> DataFrame:
+    """The packed numbers of the columns ``names.values()`` as columns ``names``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column("keys").to_pylist(), batch.column("nodes").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], names=list(names))
+            for row in zip(*(batch.column(c).to_pylist() for c in names.values())):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in row], names=list(names))
 
-    return map_arrow(df.select("keys", "nodes"), run, f"{names[0]} bigint, {names[1]} bigint")
+    return map_arrow(df.select(*names.values()), run, ", ".join(f"{c} bigint" for c in names))
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -271,6 +280,38 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
+def _parts(surplus: pa.Array, band: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """How many parts each set has in ``band``; 0 where it has no keys there."""
+    at, values = surplus.offsets.to_numpy()[:-1].astype(np.int64), surplus.values.to_numpy()
+    size = np.diff(surplus.offsets.to_numpy())
+    first = np.where(size > 0, values[np.minimum(at, max(len(values) - 1, 0))] if len(values) else 0, 0)
+    there = (band >= first) & (2 * (band - first) < size)
+    out = np.zeros(len(band), np.int64)
+    out[there] = values[at[there] + 2 * (band[there] - first[there]) + 1] + allowed[there] + 1
+    return out
+
+
+def _share_enough(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b, shared) whose sizes and numbers of shared small keys allow a link. ``nodes`` has the columns n, surplus and
+    lost, the number of large keys. Two keys of a set coincide about once in 2^20 sets, so two keys are allowed for that."""
+    bands = np.array(size_bands(similarity), np.int64)
+    apart_in = np.array([most_apart(2 * x, similarity) for x in bands.tolist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb, shared, la, lb = (batch.column(c).to_numpy() for c in ("na", "nb", "shared", "la", "lb"))
+            band = np.searchsorted(bands, np.maximum(na, nb))
+            parts = np.maximum(*(_parts(batch.column(c), band, apart_in[band]) for c in ("ra", "rb")))
+            least = parts - (100 - similarity) * (na + nb) // (100 + similarity) - np.minimum(la, lb) - 2
+            keep = pa.array((shared >= least) & (100 * np.minimum(na, nb) >= similarity * np.maximum(na, nb)))
+            yield batch.select(["a", "b"]).filter(keep)
+
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("surplus").alias(f"r{c}"), F.col("lost").alias(f"l{c}"))
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a bigint, b bigint")
+
+
 def _within_sketch(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow a link, and the sketches' distance (apart)."""
 
@@ -451,9 +492,16 @@ def _candidates(documents: DataFrame, similarity: int, k: int) -> tuple[DataFram
     rows = found.where(F.col("kind") == NODE).select("doc_id", "row", "node", "n")
     nodes = found.where((F.col("kind") == NODE) & F.col("sketch").isNotNull())
     nodes = materialise(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("surplus").alias("surplus"), F.first("sketch").alias("sketch")), "nodes")
-    pairs = materialise(_within_sketch(_unpack(found.where(F.col("kind") == PAIRS), ("a", "b")).distinct(), nodes, similarity), "pairs")
-    large = materialise(_unpack(found.where(F.col("kind") == LARGE), ("key", "node")).distinct(), "large")
+    large = materialise(_unpack(found.where(F.col("kind") == LARGE), key="keys", node="nodes").distinct(), "large")
     any_large = not large.isEmpty()
+    sized = nodes.select("node", "n", "surplus")
+    if any_large:
+        sized = materialise(sized.join(large.groupBy("node").agg(F.count("*").alias("lost")), "node", "left").fillna(0, "lost"), "sized")
+    else:
+        sized = sized.withColumn("lost", F.lit(0).cast("bigint"))
+    pairs = _unpack(found.where(F.col("kind") == PAIRS), a="keys", b="nodes", shared="sketch").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = materialise(_share_enough(pairs, sized, similarity), "enough")
+    pairs = materialise(_within_sketch(pairs, nodes, similarity), "pairs")
     if any_large:  # nodes that keep enough small keys are found by those
         heavy = large.groupBy("node", F.col("key").bitwiseAND(255).cast("int").alias("band")).agg(F.count("*").alias("lost"))
         room = nodes.select("node", F.expr("transform(filter(surplus, (x, i) -> i % 2 = 0), (x, i) -> struct(x as band, surplus[2 * i + 1] as room))").alias("r")).select("node", F.inline("r"))
