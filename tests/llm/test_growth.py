@@ -1,6 +1,7 @@
 """What the near-duplicate join does per row: joins by node, pairs that are verified."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -8,6 +9,42 @@ import pytest
 from textweir.llm import ngram_jaccard
 
 
+def _made(spark, since: int, name: str, desc: str) -> tuple[int, int]:
+    """Rows that the plan nodes of executions after ``since`` have made, and the last execution."""
+    store, seen, rows, last = spark._jsparkSession.sharedState().statusStore(), set(), 0, since
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for i in range(store.executionsList().size()):
+        e = store.executionsList().apply(i).executionId()
+        last = max(last, e)
+        if e <= since:
+            continue
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for x in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                value = values.get(x.accumulatorId())
+                if x.name() == "number of output rows" and re.search(name, node.name()) and re.search(desc, node.desc()) and x.accumulatorId() not in seen and value.isDefined():
+                    seen.add(x.accumulatorId())
+                    rows += int(value.get().replace(",", ""))
+    return rows, last
+
+
+def test_labels_are_joined_to_nodes_not_to_their_large_keys(spark, monkeypatch):
+    """80 near copies of one text and 3 of another one: every node has some dozens of large keys."""
+    monkeypatch.setattr(ngram_jaccard, "SMALL_KEY", 4)
+    rng, rows = random.Random(3), []
+    for group, size in ((0, 80), (1000, 3)):
+        words = [f"w{group}x{i}" for i in range(300)]
+        for i in range(size):
+            own = list(words)
+            own[rng.randrange(300)] = f"own{group + i}"
+            rows.append((group + i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    since = _made(spark, -1, "Join", "x^")[1]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.op3(docs).collect()}
+    assert got == {i: i // 1000 * 1000 for i, _ in rows}
+    assert _made(spark, since, "Join", r"node#.*LeftOuter")[0] <= 6 * len(rows)
+
+
 def test_long_texts_that_share_a_passage_are_not_verified(spark, monkeypatch):
     """The sketch's distance ends at 512 and so tells no sets of more than some 2,300 shingles; the number of shared keys does."""
     rng, seen = random.Random(5), []

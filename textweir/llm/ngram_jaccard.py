@@ -455,14 +455,28 @@ def _propose(similarity: int, forest: bool):
     return run
 
 
-def _large_pairs(large: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: int, forest: bool) -> DataFrame:
-    """Candidate pairs of the large keys across components. A key's members outside its largest component go to all of
-    its blocks, the others to one: the work is members times strays, never all pairs."""
-    m = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _open(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the large keys' members (node, keys: a row a node) those of the keys that lie in several components: a row a node and
+    key, with the key's largest component (major) and its number of blocks; and a row a node again, for the next look.
+
+    Labels are joined to nodes, not to each of their keys."""
+    m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    m = materialise(m.select("node", "label", F.explode("keys").alias("key")), "memberships")
     per = m.groupBy("key", "label").agg(F.count("*").alias("c"))
     keys = per.groupBy("key").agg(F.sum("c").alias("members"), F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("most")).where("labels > 1")
     keys = materialise(keys.select("key", F.col("most.label").alias("major"), F.ceil(F.col("members") / BLOCK_NODES).cast("int").alias("n_blocks")), "keys")
-    m = m.join(keys, "key").join(nodes.select("node", "n", "sketch"), "node")
+    m = materialise(m.join(keys, "key"), "open")
+    return m, _by_node(m)
+
+
+def _by_node(memberships: DataFrame) -> DataFrame:
+    return materialise(memberships.groupBy("node").agg(F.collect_list("key").alias("keys")), "members")
+
+
+def _large_pairs(m: DataFrame, nodes: DataFrame, similarity: int, forest: bool) -> DataFrame:
+    """Candidate pairs of the large keys across components, of ``_open`` memberships. A key's members outside its largest
+    component go to all of its blocks, the others to one: the work is members times strays, never all pairs."""
+    m = m.join(nodes.select("node", "n", "sketch"), "node")
     m = m.withColumn("minor", F.col("label") != F.col("major")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     m = m.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("own"))))
     m = m.select("key", "block", "node", "n", "label", "minor", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "node")
@@ -558,8 +572,10 @@ def linked(documents: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE)
             stars = materialise(large.join(vast, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
             links = links.unionAll(materialise(_verified(stars, texts, similarity, k), "links", SET_ROWS))
             labels = components(links)
+    members = _by_node(large) if any_large else None
     for forest in (True, False) if any_large else ():  # a spanning choice of pairs; then all that still lie across components
-        found = materialise(_large_pairs(large, nodes, labels, similarity, forest), "proposed")
+        m, members = _open(members, labels)  # keys that lie in one component stay there
+        found = materialise(_large_pairs(m, nodes, similarity, forest), "proposed")
         more = materialise(_verified(found, texts, similarity, k), "links", SET_ROWS)
         reclaim(spark)
         if not more.isEmpty():
