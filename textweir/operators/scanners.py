@@ -92,8 +92,8 @@ def url_scanner(tlds=(), allowed_domains=(), mask_char: object = "*") -> Scanner
     return Scanner("url", functools.partial(url.scan, cfg=cfg), functools.partial(url.check, cfg=cfg), url.gate(cfg), T.mask_char(mask_char, True))
 
 
-def email_scanner(match_obfuscated=True, allow_localhost=False, allow_single_label_domain=False, exclude_emails=(), exclude_usernames=(), exclude_domains=(), mask_char: object = "*") -> Scanner:
-    cfg = email.EmailConfig(match_obfuscated, allow_localhost, allow_single_label_domain, tuple(exclude_emails), tuple(exclude_usernames), tuple(exclude_domains))
+def email_scanner(match_obfuscated=True, allow_localhost=False, allow_single_label_domain=False, exclude_emails=(), exclude_usernames=(), exclude_domains=(), mask_char: object = "*", as_written=False) -> Scanner:
+    cfg = email.EmailConfig(match_obfuscated, allow_localhost, allow_single_label_domain, tuple(exclude_emails), tuple(exclude_usernames), tuple(exclude_domains), as_written=as_written)
     return Scanner("email", functools.partial(email.scan, cfg=cfg), functools.partial(email.check, cfg=cfg), email.gate(cfg), T.mask_char(mask_char, True))
 
 
